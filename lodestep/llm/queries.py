@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, secret_scan, sql, toxicity
+from . import bpe, decontaminate, near_dup, secret_scan, sql, toxicity
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 PATTERN = public_tokenizers.PATTERN
@@ -73,8 +73,13 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of documents whose sets of two-word shingles have a similarity of 0.8 or more."""
+    return near_dup.near_duplicates(_read(spark, sf_dir, "documents"), words=2, similarity=0.8)
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_toxicity, op3_byte_bpe, op5_secret_scan, op7_decontaminate)}
+    return {f.__name__: f for f in (op1_toxicity, op3_byte_bpe, op5_secret_scan, op7_decontaminate, op9_near_duplicates)}
 
 
 def oracle_sql() -> dict:
