@@ -6,7 +6,8 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, near_dup, secret_scan, sql, toxicity
+from . import bpe, decontaminate, near_dup, secret_scan, sql, toxicity, warc_zip
+from .session import Scratch
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 PATTERN = public_tokenizers.PATTERN
@@ -47,6 +48,14 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_warc_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page as a record in ZIP archives, and what is read back."""
+    scratch = Scratch(spark, "warc")
+    folder = scratch.path("archives")
+    archives = scratch.table(warc_zip.write(_read(spark, sf_dir, "pages").select("page_id", "url", "html"), folder), "manifest")
+    return warc_zip.read(archives, folder, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def _span_text(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
@@ -79,7 +88,7 @@ def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_toxicity, op3_byte_bpe, op5_secret_scan, op7_decontaminate, op9_near_duplicates)}
+    return {f.__name__: f for f in (op1_toxicity, op3_byte_bpe, op4_warc_zip, op5_secret_scan, op7_decontaminate, op9_near_duplicates)}
 
 
 def oracle_sql() -> dict:

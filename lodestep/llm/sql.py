@@ -19,4 +19,16 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIG
 FROM d LEFT JOIN p USING (doc_id) LEFT JOIN t USING (doc_id)
 """
 
-ORACLES = {"op7_decontaminate": OP7}
+OP4 = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+f AS (SELECT sha1(h) AS sha, min(page_id) AS first, count(*) AS n FROM p GROUP BY 1),
+b AS (SELECT page_id, octet_length(encode(h)) AS payload_bytes, sha1(h) AS sha, CAST(CAST(unhex(sha1(h)) AS BIT) AS VARCHAR) AS bits FROM p)
+SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes,
+       array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + CAST(substr(bits, 5 * i + 1, 1) AS INT) * 16 + CAST(substr(bits, 5 * i + 2, 1) AS INT) * 8
+         + CAST(substr(bits, 5 * i + 3, 1) AS INT) * 4 + CAST(substr(bits, 5 * i + 4, 1) AS INT) * 2 + CAST(substr(bits, 5 * i + 5, 1) AS INT), 1) FOR i IN range(32)], '') AS payload_digest,
+       CASE WHEN n > 1 AND first <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN n > 1 AND first <> page_id THEN first END AS refers_to
+FROM b JOIN f USING (sha)
+"""
+
+ORACLES = {"op4_warc_zip": OP4, "op7_decontaminate": OP7}
