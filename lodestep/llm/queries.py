@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, near_dup, secret_scan, sql, toxicity, warc_zip
+from . import bpe, decontaminate, license_scan, near_dup, preference, secret_scan, sql, toxicity, warc_zip
 from .session import Scratch
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -68,6 +68,14 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", count("assign"), count("access"), count("hex"), count("entropy"), F.sha2(_span_text(base), 256).alias("base_sha256"), _span_text(F.col("spans")).alias("spans"))
 
 
+def op6_preference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation against its curt variant, as prompt and masked completions."""
+    turns = preference.conversations(_read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"))
+    pairs = turns.select(F.col("conv_id").alias("pair_id"), F.col("turns").alias("chosen"), preference.curt(F.col("turns")).alias("rejected"))
+    masks = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws(":", s["start"].cast("string"), s["end"].cast("string"))), ",")
+    return preference.format_pairs(pairs).withColumn("chosen_spans", masks("chosen_spans")).withColumn("rejected_spans", masks("rejected_spans"))
+
+
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark windows of 10 words in every document."""
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
@@ -87,8 +95,13 @@ def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(_read(spark, sf_dir, "documents"), words=2, similarity=0.8)
 
 
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licenses whose notices stand in a document."""
+    return license_scan.scan(_read(spark, sf_dir, "documents").select("doc_id", "text"), license_scan.notices(spark))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_toxicity, op3_byte_bpe, op4_warc_zip, op5_secret_scan, op7_decontaminate, op9_near_duplicates)}
+    return {f.__name__: f for f in (op1_toxicity, op3_byte_bpe, op4_warc_zip, op5_secret_scan, op6_preference, op7_decontaminate, op9_near_duplicates, op10_license_scan)}
 
 
 def oracle_sql() -> dict:

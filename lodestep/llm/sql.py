@@ -31,4 +31,19 @@ SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes,
 FROM b JOIN f USING (sha)
 """
 
-ORACLES = {"op4_warc_zip": OP4, "op7_decontaminate": OP7}
+OP6 = """
+WITH t AS (SELECT conv_id AS pair_id, list(struct_pack(role := coalesce(role, ''), body := coalesce(text, '')) ORDER BY turn NULLS FIRST, role, text) AS a FROM conversations GROUP BY conv_id),
+k AS (SELECT pair_id, a, coalesce(list_max([i FOR i IN range(1, len(a) + 1) IF a[i].role = 'assistant']), 0) AS last FROM t),
+b AS (SELECT pair_id, a, [struct_pack(role := a[i].role, body := CASE WHEN i = last THEN split_part(a[i].body, '.', 1) || '.' ELSE a[i].body END) FOR i IN range(1, len(a) + 1)] AS b FROM k),
+n AS (SELECT pair_id, a, b, coalesce(list_min([i FOR i IN range(1, len(a) + 1) IF a[i] <> b[i]]) - 1, len(a)) AS n FROM b),
+r AS (SELECT pair_id, n, ['<|' || x.role || '|>' || chr(10) || x.body || '<|end|>' || chr(10) FOR x IN a] AS ta, ['<|' || x.role || '|>' || chr(10) || x.body || '<|end|>' || chr(10) FOR x IN b] AS tb, a, b FROM n)
+SELECT pair_id, CAST(n AS BIGINT) AS n_prompt_turns, coalesce(array_to_string(ta[1:n], ''), '') AS prompt,
+       coalesce(array_to_string(ta[n + 1:], ''), '') AS chosen_text, coalesce(array_to_string(tb[n + 1:], ''), '') AS rejected_text,
+       coalesce(array_to_string([(coalesce(list_sum([len(ta[j]) FOR j IN range(n + 1, i)]), 0) + len(a[i].role) + 5)::BIGINT::VARCHAR || ':' || (list_sum([len(ta[j]) FOR j IN range(n + 1, i + 1)]))::BIGINT::VARCHAR
+         FOR i IN range(n + 1, len(a) + 1) IF a[i].role = 'assistant'], ','), '') AS chosen_spans,
+       coalesce(array_to_string([(coalesce(list_sum([len(tb[j]) FOR j IN range(n + 1, i)]), 0) + len(b[i].role) + 5)::BIGINT::VARCHAR || ':' || (list_sum([len(tb[j]) FOR j IN range(n + 1, i + 1)]))::BIGINT::VARCHAR
+         FOR i IN range(n + 1, len(b) + 1) IF b[i].role = 'assistant'], ','), '') AS rejected_spans
+FROM r
+"""
+
+ORACLES = {"op6_preference": OP6, "op4_warc_zip": OP4, "op7_decontaminate": OP7}
