@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, license_scan, near_dup, preference, secret_scan, sql, toxicity, warc_zip
+from . import bpe, decontaminate, license_scan, near_dup, pii, preference, secret_scan, sql, toxicity, warc_zip
 from .session import Scratch
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -17,6 +17,17 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+#: Queries must give the same pseudonyms each time; a corpus of one's own takes a secret key.
+PII_KEY = b"lodestep documentation key"
+
+
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its personal data replaced by pseudonyms, and how many of each kind."""
+    named = pii.pseudonymise(_read(spark, sf_dir, "documents").select("doc_id", "text"), PII_KEY)
+    count = lambda kind: F.coalesce(F.size(F.filter("pii_spans", lambda s: s["kind"] == kind)), F.lit(0)).cast("long").alias(f"n_{kind}")
+    return named.select("doc_id", "text", *(count(k) for k in pii.KINDS))
+
+
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every document and the bytes that they decode to, as digests."""
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
@@ -101,7 +112,7 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_toxicity, op3_byte_bpe, op4_warc_zip, op5_secret_scan, op6_preference, op7_decontaminate, op9_near_duplicates, op10_license_scan)}
+    return {f.__name__: f for f in (op1_toxicity, op2_pii, op3_byte_bpe, op4_warc_zip, op5_secret_scan, op6_preference, op7_decontaminate, op9_near_duplicates, op10_license_scan)}
 
 
 def oracle_sql() -> dict:
