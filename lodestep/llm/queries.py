@@ -6,14 +6,15 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, license_scan, near_dup, pii, preference, secret_scan, sql, toxicity, warc_zip
-from .session import Scratch
+from . import bpe, decontaminate, license_scan, media, near_dup, pii, preference, secret_scan, sql, toxicity, warc_zip
+from .session import Scratch, ensure_importable
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 PATTERN = public_tokenizers.PATTERN
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    ensure_importable(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
@@ -101,6 +102,12 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Copies among images of the embeddings, the one table that holds signals: each vector drawn as a square."""
+    vectors = _read(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return media.copies(vectors.select("vec_id", media.rendered(F.col("embedding")).alias("image")), "vec_id")
+
+
 def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of documents whose sets of two-word shingles have a similarity of 0.8 or more."""
     return near_dup.near_duplicates(_read(spark, sf_dir, "documents"), words=2, similarity=0.8)
@@ -112,7 +119,7 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_toxicity, op2_pii, op3_byte_bpe, op4_warc_zip, op5_secret_scan, op6_preference, op7_decontaminate, op9_near_duplicates, op10_license_scan)}
+    return {f.__name__: f for f in (op1_toxicity, op2_pii, op3_byte_bpe, op4_warc_zip, op5_secret_scan, op6_preference, op7_decontaminate, op8_media, op9_near_duplicates, op10_license_scan)}
 
 
 def oracle_sql() -> dict:
