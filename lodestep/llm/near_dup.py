@@ -1,26 +1,30 @@
 """Near-duplicate documents by bottom-k sketches, with exact verification.
 
-A document's set holds its distinct word shingles, as 63-bit hashes.  Its sketch
-is the k least of them: for sets of at most k shingles, the set itself.
-Documents of equal sets form a class, and only one of a class goes on.
-
-Inverted lists of retained values give the candidates.  A global order of the
-values, rare before frequent, makes a prefix of each sketch enough: two sketches
-that share at least c values share one of the m - c + 1 first.  c follows from
-the threshold exactly where both sets are whole, and else from the binomial
-spread of a union sketch at ``SPREAD`` standard deviations (finite population).
-Positions in the order rule out more pairs, as do the sets' sizes.
-
-A list is not expanded into pairs.  First its members meet two pivots (the one
-whose values are most frequent, at the heart of a group of copies, and one by
-hash); pairs that pass the union-sketch estimate are verified on the full sets,
-and the links make components.  Then only lists whose members still lie in
-several components are joined with themselves, across components.  So every
-pair that shares a listed value is either in one component already or tested,
-and no link between components is lost.
-
-Frequencies for the order are counted over all sketches, in ``BUCKETS`` hash
-buckets; only buckets well above the mean, a bounded number, go to the workers.
+A document's set holds its distinct word shingles, as 63-bit hashes of one hash
+function.  Its sketch is the ``K`` least of them: for sets of at most K
+shingles, the set itself.  Documents of equal sets form a class, and only one of
+a class goes on.
+
+Inverted lists are keyed by runs of three neighbours in a sketch.  In the sorted
+union of two sketches, three common values in a row are neighbours in both, and
+nowhere else does a key say so much: documents that share only frequent
+shingles, or a passage, share few or none.  At similarity 0.8 a union has no such run with a
+probability of 0.7 ** (K - 2), below one in a million; whole sets of similarity
+0.8 always have one (pairs of neighbours do for up to five shingles).
+
+A list is not expanded into pairs.  First its members meet two pivots (the
+member whose lists are longest, at the heart of a group of copies, and one by
+hash); each pair is estimated on the union sketch and verified on the full sets,
+and the links make components.  What is left are lists whose members lie in
+several components.  Of those, lists of at most ``SHORT`` members are joined
+with themselves across components, and pairs with ``OVERLAP`` common lists are
+tested (whole sets: with one).  The members of longer ones are compared
+exactly another way: by prefix filtering on their full sets, rare shingles
+first, with bounds by position and size, so that documents around one common
+text don't meet in pairs.
+
+So all pairs with a common list are either in one component or tested, and what
+any task holds is bounded by the longest document.
 
 Null ids are taken for ids beyond all others; their rows join groups but never
 name one.  Rows with the same id count as one document for links.
@@ -28,12 +32,13 @@ name one.  Rows with the same id count as one document for links.
 
 from __future__ import annotations
 
-import math
+from collections.abc import Iterator
+from contextlib import contextmanager
 from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import shingles
@@ -42,129 +47,133 @@ from .session import Scratch
 
 #: What separates words.
 SEPARATORS = b"\x20\x09\x0a\x0b\x0c\x0d"
-K, SPREAD, BUCKETS = 256, 4.5, 1 << 20
+K, SHORT, OVERLAP = 42, 64, 3
+#: Standard deviations that a union-sketch estimate may fall short.
+SPREAD = 4.5
+#: Rows of ids (16 bytes each) that are broadcast; beyond, they are joined by a shuffle.
+BROADCAST_ROWS = 1_000_000
 #: Keys of rows without an id start here.
 NO_ID = 1 << 62
+_U = np.uint64
+
+
+@contextmanager
+def _batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Smaller Arrow batches for steps that hold two texts a row."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
 
 
 def _key(id_: Column, text: Column) -> Column:
     return F.coalesce(id_.cast("long"), F.xxhash64(text).bitwiseAND(NO_ID - 1) + F.lit(NO_ID))
 
 
-def _least_shared(n: np.ndarray, k: int, t: float) -> np.ndarray:
-    """Values that the sketch of a set of n shares at least with any set of similarity t."""
-    union = np.maximum(n / t, k + 1)
-    spread = SPREAD * np.sqrt(k * t * (1 - t) * (union - k) / (union - 1))
-    whole = np.ceil(t * n - 1e-9)
-    return np.where(n / t <= k, whole, np.minimum(whole, np.floor(k * t - spread))).clip(1).astype(np.int64)
+def _few(ids: DataFrame) -> DataFrame:
+    """A written table of ids, to be broadcast if it is small enough."""
+    return F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
 
 
-def _pair_shared(na: Column, nb: Column, k: int, t: float) -> Column:
-    """Values that the sketches of two sets of similarity t share at least."""
-    union = F.greatest((na + nb) / F.lit(1 + t), F.lit(k + 1.0))
-    spread = F.lit(SPREAD) * F.sqrt(F.lit(k * t * (1 - t)) * (union - k) / (union - 1))
-    return F.when((na <= k) & (nb <= k), F.ceil((na + nb) * F.lit(t / (1 + t)) - 1e-9)).otherwise(F.floor(F.lit(k * t) - spread))
+def run_keys(sketch: np.ndarray) -> np.ndarray:
+    """Keys of the runs of three neighbours in a sketch, and of two where three can't be relied on."""
+    v = sketch.astype(_U)
+    step = _U(shingles._STEP)
+    two = shingles.mix(v[:-1] * step + v[1:]) if len(v) > 1 else v[:0]
+    three = shingles.mix(two[:-1] * step + v[2:]) if len(v) > 2 else v[:0]
+    return (np.concatenate([two + _U(1), three]) if len(v) <= 5 else three).astype(np.int64)
 
 
-def _alike(a: str, b: str, k: int, t: Fraction) -> Column:
-    """Whether sizes and positions leave a pair of list entries possible."""
-    col = lambda side, name: F.col(f"{side}.{name}")
-    na, nb = col(a, "n"), col(b, "n")
-    left = F.least(col(a, "rest"), col(b, "rest"))
-    return (F.least(na, nb) * t.denominator >= F.greatest(na, nb) * t.numerator) & (left >= _pair_shared(na, nb, k, float(t)))
+def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
+    bounds = np.cumsum([0, *map(len, arrays)])
+    return pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(np.concatenate([np.empty(0, np.int64), *arrays])))
 
 
 def _sketched(rows: DataFrame, words: int, k: int) -> DataFrame:
     def sketch(batches):
         for batch in batches:
-            n, sig, sk = [], [], []
+            n, sig, keys = [], [], []
             for s in shingles.sets(batch.column("text"), words, SEPARATORS):
                 n.append(len(s))
                 sig.append(shingles.signature(s))
-                sk.append(s[:k])
-            lengths = np.cumsum([0, *map(len, sk)])
-            lists = pa.ListArray.from_arrays(pa.array(lengths, pa.int32()), pa.array(np.concatenate([np.empty(0, np.int64), *sk])))
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("key"), pa.array(n, pa.int64()), pa.array(sig, pa.binary()), lists], ["id", "key", "n", "sig", "sk"])
+                keys.append(run_keys(s[:k]))
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("key"), pa.array(n, pa.int64()), pa.array(sig, pa.binary()), _lists(keys)], ["id", "key", "n", "sig", "keys"])
 
-    return rows.mapInArrow(sketch, "id long, key long, n long, sig binary, sk array<long>")
+    return rows.mapInArrow(sketch, "id long, key long, n long, sig binary, keys array<long>")
 
 
-def _entries(reps: DataFrame, frequent: dict[int, int], k: int, t: float) -> DataFrame:
-    """(value, cid, n, rest, heart) for each value in the prefix of a sketch.
+def _texts(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """(cid, text) of the documents whose keys are in ``ids``, a written table."""
+    return rows.select(F.col("key").alias("cid"), "text").join(_few(ids), "cid")
 
-    ``rest`` is how many values stand at or after this one in the order, and
-    ``heart`` how frequent the prefix's values are on average.
-    """
-    buckets = np.array(sorted(frequent), np.int64)
-    counts = np.array([frequent[b] for b in buckets.tolist()], np.int64)
 
-    def listed(batches):
-        count_of = np.zeros(BUCKETS, np.int64)
-        count_of[buckets] = counts
-        for batch in batches:
-            n = batch.column("n").to_numpy()
-            least = _least_shared(n, k, t)
-            flat = batch.column("sk").flatten().to_numpy()
-            bounds = np.concatenate([[0], np.cumsum(np.minimum(n, k))])
-            out: list[list[np.ndarray]] = [[], [], [], [], []]
-            for i, cid in enumerate(batch.column("cid").to_pylist()):
-                own = flat[bounds[i] : bounds[i + 1]]
-                count = count_of[own % BUCKETS]
-                size = len(own) - int(least[i]) + 1
-                order = np.lexsort((own, count))[:size]
-                heart = float(np.log1p(count[order]).mean())
-                for x, y in zip(out, (own[order], np.full(size, cid), np.full(size, n[i]), len(own) - np.arange(size), np.full(size, heart))):
-                    x.append(y)
-            if out[0]:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(x)) for x in out],
-                    ["value", "cid", "n", "rest", "heart"],
-                )
-
-    return reps.select("cid", "n", "sk").mapInArrow(listed, "value long, cid long, n long, rest long, heart double")
-
-
-def _estimated(pairs: DataFrame, reps: DataFrame, k: int, t: float) -> DataFrame:
-    """Pairs (a, b) whose union sketch doesn't rule out similarity t."""
-    side = lambda x: reps.select(F.col("cid").alias(x), F.col("n").alias(f"n{x}"), F.col("sk").alias(f"s{x}"))
-    union = F.slice(F.array_sort(F.array_union("sa", "sb")), 1, k)
-    shared = F.size(F.array_intersect(F.array_intersect("sa", "sb"), F.col("u")))
-    size = F.greatest((F.col("na") + F.col("nb")) / F.lit(1 + t), F.col("k") + 1.0)
-    spread = F.when(F.col("k") < k, 0.0).otherwise(F.lit(SPREAD) * F.sqrt(F.col("k") * F.lit(t * (1 - t)) * (size - F.col("k")) / (size - 1)))
-    return (
-        pairs.join(side("a"), "a")
-        .join(side("b"), "b")
-        .withColumn("u", union)
-        .withColumn("k", F.size("u").cast("double"))
-        .where(shared >= F.col("k") * F.lit(t) - spread - 1e-6)
-        .select("a", "b")
-    )
+def estimate(a: np.ndarray, b: np.ndarray, k: int) -> tuple[float, float]:
+    """Similarity of two sets by the union of their sketches of k, and its standard deviation at 0.8."""
+    union = np.union1d(a[:k], b[:k])[:k]
+    common = np.intersect1d(a[:k], b[:k], assume_unique=True)
+    shared = int(np.searchsorted(common, union[-1], "right")) if len(union) else 0
+    most = len(a) + len(b)
+    spread = 0.0 if most <= k else (0.16 / len(union)) ** 0.5
+    return shared / max(1, len(union)), spread
 
 
-def _verified(pairs: DataFrame, rows: DataFrame, words: int, t: Fraction, scratch: Scratch, name: str) -> DataFrame:
-    """Pairs (a, b) whose full sets have similarity t, from the texts."""
+def _verified(pairs: DataFrame, rows: DataFrame, words: int, t: Fraction, scratch: Scratch, name: str, k: int) -> DataFrame:
+    """Pairs (a, b) whose full sets have similarity t, from the texts; pairs that the estimate rules out aren't compared."""
 
-    def whole(batches):
+    def compare(batches):
         for batch in batches:
-            s = list(shingles.sets(batch.column("text"), words, SEPARATORS))
-            lengths = np.cumsum([0, *map(len, s)])
-            lists = pa.ListArray.from_arrays(pa.array(lengths, pa.int32()), pa.array(np.concatenate([np.empty(0, np.int64), *s])))
-            sig = pa.array([shingles.signature(x) for x in s], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column("cid"), sig, lists], ["cid", "sig", "s"])
+            firsts = batch.column("a").to_pylist()
+            fresh = [i for i, x in enumerate(firsts) if i == 0 or x != firsts[i - 1] or batch.column("ta")[i] != batch.column("ta")[i - 1]]
+            own = shingles.sets(batch.column("ta").take(pa.array(fresh, pa.int64())), words, SEPARATORS)
+            starts, s, linked = set(fresh), None, []
+            for i, other in enumerate(shingles.sets(batch.column("tb"), words, SEPARATORS)):
+                if i in starts:
+                    s = next(own)
+                guess, spread = estimate(s, other, k)
+                if not len(s) or not len(other) or guess < float(t) - SPREAD * spread - 1e-9:
+                    continue
+                both = len(np.intersect1d(s, other, assume_unique=True))
+                if both * t.denominator >= (len(s) + len(other) - both) * t.numerator:
+                    linked.append(i)
+            if linked:
+                yield batch.select(["a", "b"]).take(pa.array(linked, pa.int64()))
 
     pairs = scratch.table(pairs, f"{name}-pairs")
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct()
-    full = rows.select(F.col("key").alias("cid"), "text").join(needed, "cid").mapInArrow(whole, "cid long, sig binary, s array<long>")
-    full = scratch.table(full.dropDuplicates(["cid", "sig"]).select("cid", "s"), f"{name}-sets")
-    side = lambda x: full.select(F.col("cid").alias(x), F.col("s").alias(f"s{x}"))
-    both = F.size(F.array_intersect("sa", "sb"))
-    union = F.size("sa") + F.size("sb") - F.col("both")
-    links = (
-        pairs.join(side("a"), "a").join(side("b"), "b").withColumn("both", both).where((F.col("both") * t.denominator >= union * t.numerator) & (F.col("both") > 0)).select("a", "b").distinct()
-    )
-    links = scratch.table(links, f"{name}-links")
-    scratch.drop(f"{name}-sets")
-    return links
+    ids = scratch.table(pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct(), f"{name}-ids")
+    with _batches_of(rows.sparkSession, 500):
+        full = _texts(rows, ids)
+        b = pairs.join(full.select(F.col("cid").alias("b"), F.col("text").alias("tb")), "b")
+        both = b.join(full.select(F.col("cid").alias("a"), F.col("text").alias("ta")), "a").select("a", "b", "ta", "tb")
+        return scratch.table(both.mapInArrow(compare, "a long, b long").distinct(), f"{name}-links")
+
+
+def _exact_candidates(members: DataFrame, rows: DataFrame, words: int, t: Fraction, scratch: Scratch) -> DataFrame:
+    """Pairs (a, b) among members (cid, least) of different components that prefixes, positions and sizes leave possible."""
+
+    def tokens(batches):
+        for batch in batches:
+            s = list(shingles.sets(batch.column("text"), words, SEPARATORS))
+            yield pa.RecordBatch.from_arrays([batch.column("cid"), pa.array([len(x) for x in s], pa.int64()), _lists(s)], ["cid", "n", "s"])
+
+    texts = _texts(rows, members.select("cid").distinct())
+    token = scratch.table(texts.mapInArrow(tokens, "cid long, n long, s array<long>").select("cid", "n", F.explode("s").alias("v")).distinct(), "tokens")
+    often = token.groupBy("v").agg(F.count("*").alias("df")).where("df > 1")
+    ordered = token.join(often, "v").groupBy("cid", "n").agg(F.array_sort(F.collect_list(F.struct("df", "v"))).alias("s"))
+    # what stands in one document only comes first, and isn't listed
+    alone = F.col("n") - F.size("s")
+    prefix = F.col("n") - F.ceil(F.col("n") * F.lit(float(t)) - 1e-9) + 1
+    listed = ordered.select("cid", "n", F.posexplode(F.slice("s", 1, F.greatest(prefix - alone, F.lit(0)).cast("int"))).alias("i", "x"), alone.alias("alone"))
+    entry = listed.select("cid", "n", F.col("x.v").alias("v"), (F.col("n") - F.col("alone") - F.col("i")).alias("rest")).join(members, "cid")
+    entry = scratch.table(entry, "prefix")
+    scratch.drop("tokens")
+    x, y = entry.alias("x"), entry.alias("y")
+    na, nb = F.col("x.n"), F.col("y.n")
+    enough = F.least("x.rest", "y.rest") * (t.numerator + t.denominator) >= (na + nb) * t.numerator
+    alike = F.least(na, nb) * t.denominator >= F.greatest(na, nb) * t.numerator
+    return x.join(y, (F.col("x.v") == F.col("y.v")) & (F.col("x.cid") < F.col("y.cid")) & (F.col("x.least") != F.col("y.least")) & alike & enough).select(F.col("x.cid").alias("a"), F.col("y.cid").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, id_: str = "doc_id", text: str = "text", words: int = 5, similarity: float = 0.8, k: int = K) -> DataFrame:
@@ -184,44 +193,47 @@ def _grouped(docs: DataFrame, id_: str, text: str, words: int = 5, similarity: f
     scratch = Scratch(docs.sparkSession, "near")
     rows = docs.select(F.col(id_).cast("long").alias("id"), _key(F.col(id_), F.col(text)).alias("key"), F.col(text).alias("text"))
     sketched = scratch.table(_sketched(rows, words, k), "sketched")
-    ids = scratch.table(sketched.select("id", "key", "n", "sig"), "ids")
-    reps = sketched.where("n > 0").groupBy("sig").agg(F.min("key").alias("cid"), F.first("n").alias("n"), F.first("sk").alias("sk"))
-    reps = scratch.table(reps, "reps")
-    scratch.drop("sketched")
-
-    bucket = reps.select(F.explode("sk").alias("v")).groupBy((F.col("v") % BUCKETS).alias("bucket")).agg(F.count("*").alias("c"))
-    mean = bucket.agg(F.sum("c").alias("c")).first().c or 0
-    floor = max(16, math.ceil(4 * mean / BUCKETS))  # so at most a quarter of the buckets
-    frequent = {r.bucket: r.c for r in bucket.where(F.col("c") >= floor).toLocalIterator()}
-    entries = scratch.table(_entries(reps, frequent, k, float(t)), "entries")
-
-    entry = F.struct("heart", "cid", "n", "rest")
-    lists = entries.groupBy("value").agg(F.count("*").alias("members"), F.max(entry).alias("p"), F.min(F.struct(F.xxhash64("cid").alias("h"), "cid", "n", "rest")).alias("q")).where("members > 1")
-    shared = scratch.table(entries.join(lists, "value"), "shared")
-    scratch.drop("entries")
-    me = shared.select("cid", F.struct("n", "rest").alias("x"), F.explode(F.array(F.struct("p.cid", "p.n", "p.rest"), F.struct("q.cid", "q.n", "q.rest"))).alias("y"))
-    met = me.where((F.col("cid") != F.col("y.cid")) & _alike("x", "y", k, t)).select(F.least("cid", "y.cid").alias("a"), F.greatest("cid", "y.cid").alias("b")).distinct()
-    first = _verified(_estimated(met, reps, k, float(t)), rows, words, t, scratch, "first")
-
-    stars = scratch.table(components(first, scratch, "one"), "stars")
-    member = shared.select("value", "cid", "n", "rest").join(stars.withColumnRenamed("node", "cid"), "cid", "left").withColumn("least", F.coalesce("least", "cid"))
+    reps = scratch.table(sketched.where("n > 0").groupBy("sig").agg(F.min("key").alias("cid"), F.first("n").alias("n"), F.first("keys").alias("keys")), "reps")
+
+    entries = reps.select("cid", "n", F.explode("keys").alias("k"))
+    lists = scratch.table(entries.groupBy("k").agg(F.count("*").alias("members")).where("members > 1"), "lists")
+    shared = scratch.table(entries.join(_few(lists), "k"), "shared")
+    heart = shared.groupBy("cid").agg(F.avg(F.ln("members")).alias("heart"))
+    alike = lambda a, b: F.least(F.col(a), F.col(b)) * t.denominator >= F.greatest(F.col(a), F.col(b)) * t.numerator
+    pivots = (
+        shared.join(heart, "cid")
+        .withColumn("h", F.xxhash64("cid"))
+        .groupBy("k")
+        .agg(F.max(F.struct("heart", "h", "cid", "n")).alias("p"), F.min(F.struct("h", "cid", "n")).alias("q"))
+        .select("k", F.explode(F.array(F.struct("p.cid", "p.n"), F.struct("q.cid", "q.n"))).alias("pivot"))
+    )
+    met = shared.join(pivots, "k").where((F.col("cid") != F.col("pivot.cid")) & alike("n", "pivot.n"))
+    met = met.select(F.least("cid", "pivot.cid").alias("a"), F.greatest("cid", "pivot.cid").alias("b")).distinct()
+    first = _verified(met, rows, words, t, scratch, "first", k)
+
+    stars = scratch.table(components(first, scratch, "one").withColumnRenamed("node", "cid"), "stars")
+    member = shared.join(stars, "cid", "left").withColumn("least", F.coalesce("least", "cid"))
     member = scratch.table(member, "member")
-    scratch.drop("shared")
-    torn = member.groupBy("value").agg(F.min("least").alias("low"), F.max("least").alias("high")).where("low < high").select("value")
-    open_ = scratch.table(member.join(torn, "value"), "open")
-    scratch.drop("member")
+    torn = member.groupBy("k").agg(F.min("least").alias("low"), F.max("least").alias("high")).where("low < high").select("k")
+    open_ = scratch.table(member.join(torn, "k"), "open")
+    scratch.drop("shared", "member")
+    x, y = open_.where(F.col("members") <= SHORT).alias("x"), open_.where(F.col("members") <= SHORT).alias("y")
     across = (
-        open_.alias("x")
-        .join(open_.alias("y"), (F.col("x.value") == F.col("y.value")) & (F.col("x.cid") < F.col("y.cid")) & (F.col("x.least") != F.col("y.least")) & _alike("x", "y", k, t))
-        .select(F.col("x.cid").alias("a"), F.col("y.cid").alias("b"))
-        .distinct()
+        x.join(y, (F.col("x.k") == F.col("y.k")) & (F.col("x.cid") < F.col("y.cid")) & (F.col("x.least") != F.col("y.least")) & alike("x.n", "y.n"))
+        .groupBy(F.col("x.cid").alias("a"), F.col("y.cid").alias("b"))
+        .agg(F.count("*").alias("common"), F.least(F.first("x.n"), F.first("y.n")).alias("n"))
+        .where((F.col("common") >= OVERLAP) | (F.col("n") <= k))
+        .select("a", "b")
     )
+    crowd = scratch.table(open_.where(F.col("members") > SHORT).select("cid", "least").distinct(), "crowd")
+    if not crowd.isEmpty():
+        across = across.unionByName(_exact_candidates(crowd, rows, words, t, scratch)).distinct()
     tested = docs.sparkSession.read.parquet(scratch.path("first-pairs"))
-    second = _verified(_estimated(across.join(tested, ["a", "b"], "left_anti"), reps, k, float(t)), rows, words, t, scratch, "second")
+    second = _verified(across.join(tested, ["a", "b"], "left_anti"), rows, words, t, scratch, "second", k)
     linked = components(first.unionByName(second), scratch, "two")
 
     group = reps.select("sig", "cid").join(linked.withColumnRenamed("node", "cid"), "cid", "left").select("sig", F.coalesce("least", "cid").alias("group"))
-    out = ids.join(group, "sig", "left").withColumn("group", F.coalesce("group", "key"))
+    out = sketched.select("id", "key", "n", "sig").join(group, "sig", "left").withColumn("group", F.coalesce("group", "key"))
     component = F.when(F.col("group") < NO_ID, F.col("group"))
     return out.select(
         "id",
