@@ -58,7 +58,8 @@ def _chunk_sets(raw: np.ndarray, bounds: np.ndarray, words: int, separators: byt
     at = np.searchsorted(starts, bounds)  # first word of each text
     joined = word.copy()
     for i in range(1, words):
-        joined[: len(word) - i] = mix(joined[: len(word) - i] * _U(_STEP) + word[i:])
+        n = max(0, len(word) - i)
+        joined[:n] = mix(joined[:n] * _U(_STEP) + word[i:])
     for d in range(docs):
         a, b = at[d], at[d + 1]
         if b - a >= words:
