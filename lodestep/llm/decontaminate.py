@@ -28,12 +28,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .session import Scratch
+
 # What lies between words, and the letters that are lower-cased.
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]++"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SIZE = 10
 #: Benchmark words up to which its hash sets are broadcast: some 100 bytes for each.
 BROADCAST_WORDS = 1_000_000
+#: Digests of texts to be removed (16 bytes each) that are broadcast; beyond, texts are joined by a shuffle.
+BROADCAST_DIGESTS = 1_000_000
 
 
 def normalised(text: Column) -> Column:
@@ -152,9 +156,12 @@ def contamination(docs: DataFrame, benchmark: DataFrame, size: int = SIZE, text:
 def remove_documents(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """``docs`` without the rows that hold a window of the benchmark."""
     text = options.get("text", "text")
-    hit = occurrences(docs, benchmark, **options).select("digest").distinct().withColumnRenamed("digest", "_digest")
+    hit = occurrences(docs, benchmark, **options).select(F.col("digest").alias("_digest")).distinct()
+    hit = Scratch(docs.sparkSession, "hits").table(hit, "digests")
+    if hit.count() <= BROADCAST_DIGESTS:  # so the texts stay where they are
+        hit = F.broadcast(hit)
     keyed = docs.withColumn("_digest", F.unhex(F.md5(normalised(F.col(text)))))
-    return keyed.join(hit, "_digest", "left_anti").drop("_digest")
+    return keyed.join(hit, "_digest", "left_anti").select(*docs.columns)
 
 
 def remove_spans(docs: DataFrame, benchmark: DataFrame, size: int = SIZE, text: str = "text", mark: str = " ", **options) -> DataFrame:

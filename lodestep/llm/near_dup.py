@@ -251,5 +251,5 @@ def deduplicate(docs: DataFrame, id_: str = "doc_id", text: str = "text", **opti
     together, and so do rows without an id that share their text.
     """
     found = _grouped(docs, id_, text, **options)
-    gone = found.where(~F.col("kept")).select(F.col("key").alias("_key")).distinct()
-    return docs.withColumn("_key", _key(F.col(id_), F.col(text))).join(gone, "_key", "left_anti").select(*docs.columns)
+    gone = Scratch(docs.sparkSession, "gone").table(found.where(~F.col("kept")).select(F.col("key").alias("_key")).distinct(), "keys")
+    return docs.withColumn("_key", _key(F.col(id_), F.col(text))).join(_few(gone), "_key", "left_anti").select(*docs.columns)
