@@ -35,12 +35,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .session import ensure_importable
+from .session import Scratch, ensure_importable
 
 DATA, INDEX = "archive/data.warc", "indexes/index.cdxj"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 #: A new archive is begun after so many bytes, and ranges are read by tasks of about as many.
 ARCHIVE_BYTES, BLOCK_BYTES = 1 << 30, 64 << 20
+#: Digests of repeated payloads (28 bytes each) that are broadcast; beyond, pages are joined by a shuffle, whose hot partitions Spark splits.
+BROADCAST_ROWS = 1_000_000
 RECORDS = "page_id long, url string, record_type string, payload_bytes long, payload_digest string, refers_to long, archive string, offset long, length long, payload binary"
 
 
@@ -113,14 +115,18 @@ def write(
     archive_bytes: int = ARCHIVE_BYTES,
 ) -> DataFrame:
     """Write archives to ``folder`` when the result, (archive, bytes, records), is computed; write that to a table once."""
-    ensure_importable(pages.sparkSession)
+    scratch = Scratch(pages.sparkSession, "digests")
     rows = pages.select(
         F.col(id_).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"), F.coalesce(F.encode(F.col(html), "UTF-8"), F.lit(b"")).alias("payload")
-    ).withColumn("sha", F.sha1("payload"))
-    # only digests and ids are gathered; the join's large partitions, of payloads that many pages share, are split by Spark
+    ).withColumn("sha", F.unhex(F.sha1("payload")))
+    # only digests and ids are gathered, and payloads stay where they are while the digests that repeat are few enough to broadcast
     firsts = rows.groupBy("sha").agg(F.min("page_id").alias("first"), F.count("*").alias("pages")).where("pages > 1 and first is not null").select("sha", "first")
+    firsts = scratch.table(firsts, "firsts")
+    few = firsts.count() <= BROADCAST_ROWS
     revisit = F.col("first").isNotNull() & ~F.col("first").eqNullSafe(F.col("page_id")) & (F.length("payload") >= least_bytes)
-    rows = rows.join(firsts, "sha", "left").select("page_id", "url", "payload", "sha", "first", revisit.alias("revisit")).sortWithinPartitions("sha", "page_id", "url")
+    rows = rows.join(F.broadcast(firsts) if few else firsts, "sha", "left").select("page_id", "url", "payload", "sha", "first", revisit.alias("revisit"))
+    if not few:  # the order of rows that were shuffled isn't fixed
+        rows = rows.sortWithinPartitions("sha", "page_id", "url")
 
     def put(batches):
         files, base = fs.FileSystem.from_uri(folder)
@@ -131,7 +137,7 @@ def write(
                 if out is None:
                     out = _Output(files, base, f"part-{part:06d}-{number:04d}")
                     number += 1
-                out.add(record(page_id, u, payload, base64.b32encode(bytes.fromhex(sha)).decode(), first, again, date), page_id)
+                out.add(record(page_id, u, payload, base64.b32encode(sha).decode(), first, again, date), page_id)
                 if out.size >= archive_bytes:
                     done.append(out.close())
                     out = None
