@@ -57,8 +57,9 @@ def both_ways(graph: DataFrame) -> DataFrame:
 
 
 def _expand(frontier: DataFrame, steps: DataFrame) -> DataFrame:
-    reached = frontier.join(steps, (F.col("node") == F.col("a")) & (frontier["dir"] == steps["dir"])).select("pair_id", frontier["dir"], F.col("b").alias("node"), "cnt")
-    return reached.groupBy("pair_id", "dir", "node").agg(F.sum("cnt").cast(COUNT).alias("cnt"))
+    """(pair_id, dir, node, depth, cnt) of the nodes one step on; ``depth`` is the frontier's own, which is to be theirs."""
+    reached = frontier.join(steps, (F.col("node") == F.col("a")) & (frontier["dir"] == steps["dir"])).select("pair_id", frontier["dir"], F.col("b").alias("node"), "depth", "cnt")
+    return reached.groupBy("pair_id", "dir", "node", "depth").agg(F.sum("cnt").cast(COUNT).alias("cnt"))
 
 
 def _levels(ends: DataFrame, steps: DataFrame, force: str | None) -> DataFrame:
@@ -79,9 +80,8 @@ def _levels(ends: DataFrame, steps: DataFrame, force: str | None) -> DataFrame:
         if not chosen:
             return state
         turn = F.broadcast(spark.createDataFrame([(p, d, depth[p, d] + 1) for p, d in chosen], "pair_id long, dir string, next int"))
-        now = frontier.join(turn, ["pair_id", "dir"])
-        new = _expand(now.select("pair_id", "dir", "node", "cnt"), steps)
-        new = new.join(state.select("pair_id", "dir", "node"), ["pair_id", "dir", "node"], "left_anti").join(turn, ["pair_id", "dir"]).select("pair_id", "dir", "node", F.col("next").alias("depth"), "cnt")
+        now = frontier.join(turn, ["pair_id", "dir"]).select("pair_id", "dir", "node", F.col("next").alias("depth"), "cnt")
+        new = _expand(now, steps).join(state.select("pair_id", "dir", "node"), ["pair_id", "dir", "node"], "left_anti")
         # the new level is written once, and what the driver needs is counted from that
         new = cut(new)
         other = state.select("pair_id", F.when(F.col("dir") == "F", "B").otherwise("F").alias("dir"), "node", F.lit(True).alias("hit"))
