@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import same_title, starts_with
+from ..functions.text import COLLATION, same_title, starts_with
 
 
 def matching(page: DataFrame, queries: DataFrame) -> DataFrame:
@@ -15,8 +15,6 @@ def matching(page: DataFrame, queries: DataFrame) -> DataFrame:
 
     Both sides are joined by the collation's key, so this is an equality join.
     """
-    from ..functions.text import COLLATION
-
     a = page.withColumn("_k", F.collate(F.col("title"), COLLATION))
     b = queries.select("query", F.collate(F.col("query"), COLLATION).alias("_q"))
     return a.join(b, F.col("_k") == F.col("_q")).select("query", "page_id", "title")
