@@ -11,7 +11,8 @@ bands is chosen so that 1 - (1 - j) ** bands is at least ``SURE`` for the
 shortest template of the class.  What is found is verified: the share of the
 template's shingles that the window holds, exactly, is at least ``share``.
 
-Documents without any template shingle can't match and aren't cut.  Null and
+A document is cut only if it has one of the templates' anchor words, of which
+each match has to have one.  Null and
 empty texts match nothing; templates of less than two words are left out;
 templates with the same id and different texts are one license in several
 wordings.  The templates go to every task and are refused beyond ``TEMPLATES``
@@ -56,8 +57,25 @@ def _shingles(words: Column) -> Column:
     return F.zip_with(F.slice(words, 1, n), F.slice(words, 2, n), lambda a, b: F.xxhash64(a, b))
 
 
-def _bands(shingles: Column, bands: int) -> Column:
-    return F.transform(F.sequence(F.lit(1), F.lit(bands)), lambda b: F.array_min(F.transform(shingles, lambda h: F.xxhash64(h, b))))
+def _class(n: int) -> int:
+    """Words up to which templates of ``n`` words share a class."""
+    return max(8, 1 << (n - 1).bit_length())
+
+
+def anchors(words: list[str], share: float) -> list[str]:
+    """Words of a template, the longest first, so many that a window without any of them can't hold ``share`` of its shingles."""
+    pairs = set(zip(words, words[1:]))
+    spare = len(pairs) - math.ceil(len(pairs) * share - 1e-9)
+    out: list[str] = []
+    for word in sorted(set(words), key=lambda w: (-len(w), w)):
+        if sum(any(w in p for w in out) for p in pairs) > spare:
+            break
+        out.append(word)
+    return out
+
+
+def _bands(shingles: Column, bands: Column) -> Column:
+    return F.transform(F.sequence(F.lit(1), bands), lambda b: F.array_min(F.transform(shingles, lambda h: F.xxhash64(h, b))))
 
 
 def scan(docs: DataFrame, templates: DataFrame, id_: str = "doc_id", text: str = "text", share: float = SHARE, sure: float = SURE) -> DataFrame:
@@ -68,39 +86,37 @@ def scan(docs: DataFrame, templates: DataFrame, id_: str = "doc_id", text: str =
     begins at ``first_word``.  Repeated rows of one id and text count once.
     """
     side = templates.select("license", F.split(normalised(F.col("text")), " ").alias("words")).where("size(words) > 1")
-    side = side.select("license", F.size("words").alias("n"), F.array_sort(F.array_distinct(_shingles(F.col("words")))).alias("own")).dropDuplicates(["license", "own"])
+    side = side.select("license", "words", F.size("words").alias("n"), F.array_sort(F.array_distinct(_shingles(F.col("words")))).alias("own")).dropDuplicates(["license", "own"])
     known = side.limit(TEMPLATES + 1).collect()
     if len(known) > TEMPLATES:
         raise ValueError(f"more than {TEMPLATES} templates")
     out_type = docs.schema[id_].dataType
-    classes: dict[int, int] = {}
+    least: dict[int, int] = {}
     for row in known:
-        size = max(8, 1 << (row.n - 1).bit_length())
-        least = min(classes.get(size, row.n), len(row.own))
-        classes[size] = least
-    norm = normalised(F.col(text))
-    hashed = docs.select(F.col(id_).alias("id"), _shingles(F.split(norm, " ")).alias("h"))
-    every = sorted({h for row in known for h in row.own})
-    held = hashed.where(F.arrays_overlap("h", F.lit(every))) if every else hashed.where("false")
-    parts = []
-    for size, least in sorted(classes.items()):
-        similar = share * least / (2 * size)
-        bands = math.ceil(math.log(1 - sure) / math.log(1 - similar))
-        width = 2 * size
-        own = side.where((F.col("n") <= size) & (F.col("n") > (size // 2 if size > 8 else 0)))
-        lookup = own.select("license", "own", F.posexplode(_bands(F.col("own"), bands)).alias("band", "least"))
-        starts = F.sequence(F.lit(0), F.greatest(F.size("h") - 1, F.lit(0)), F.lit(size))
-        cut = held.select("id", F.explode(F.transform(starts, lambda s: F.struct(s.alias("start"), F.array_distinct(F.slice("h", s + 1, width - 1)).alias("window")))).alias("w"))
-        cut = cut.select("id", "w.start", "w.window").where(F.arrays_overlap("window", F.lit(every)))
-        found = cut.select("id", "start", "window", F.posexplode(_bands(F.col("window"), bands)).alias("band", "least")).join(F.broadcast(lookup), ["band", "least"])
+        size = _class(row.n)
+        least[size] = min(least.get(size, row.n), len(row.own))
+    bands = {size: math.ceil(math.log(1 - sure) / math.log(1 - share * m / (2 * size))) for size, m in least.items()}
+    # texts are read once, and shingled only if they have a word that no match can do without
+    held = docs.select(F.col(id_).alias("id"), F.split(normalised(F.col(text)), " ").alias("words"))
+    needed = sorted({w for row in known for w in anchors(row.words, share)})
+    held = held.where(F.arrays_overlap("words", F.lit(needed))) if needed else held.where("false")
+    held = held.select("id", _shingles(F.col("words")).alias("h"))
+    if known:
+        every = F.lit(sorted({h for row in known for h in row.own}))
+        kinds = F.array(*(F.struct(F.lit(size).alias("size"), F.lit(n).alias("bands")) for size, n in sorted(bands.items())))
+        cut = held.select("id", "h", F.explode(kinds).alias("kind")).select("id", "h", "kind.size", "kind.bands")
+        starts = F.sequence(F.lit(0), F.greatest(F.size("h") - 1, F.lit(0)), F.col("size"))
+        window = F.transform(starts, lambda s: F.struct(s.alias("start"), F.array_distinct(F.slice("h", s + 1, 2 * F.col("size") - 1)).alias("window")))
+        cut = cut.select("id", "size", "bands", F.explode(window).alias("w")).select("id", "size", "bands", "w.start", "w.window").where(F.arrays_overlap("window", every))
+        found = cut.select("id", "size", "start", "window", F.posexplode(_bands(F.col("window"), F.col("bands"))).alias("band", "least"))
+        kind = F.create_map(*(x for row in sorted(bands.items()) for x in (F.lit(row[0]), F.lit(row[1]))))
+        lookup = side.withColumn("size", F.array_min(F.filter(F.array(*map(F.lit, sorted(bands))), lambda x: x >= F.col("n")))).select("license", "own", "size", F.posexplode(_bands(F.col("own"), kind[F.col("size")])).alias("band", "least"))
         both = F.size(F.array_intersect("window", "own"))
-        parts.append(found.select("id", "license", "start", both.alias("n_found"), F.size("own").alias("n_shingles")).where(F.col("n_found") >= F.ceil(F.col("n_shingles") * share - 1e-9)))
+        found = found.join(F.broadcast(lookup), ["size", "band", "least"]).select("id", "license", "start", both.alias("n_found"), F.size("own").alias("n_shingles"))
+        found = found.where(F.col("n_found") >= F.ceil(F.col("n_shingles") * share - 1e-9))
     schema = "license string, n_found long, n_shingles long, first_word long"
-    if not parts:
+    if not known:
         return docs.select(F.col(id_)).where("false").selectExpr(f"`{id_}`", *(f"cast(null as {c.split()[1]}) as {c.split()[0]}" for c in schema.split(", ")))
-    found = parts[0]
-    for part in parts[1:]:
-        found = found.unionByName(part)
     best = F.max(F.struct((F.col("n_found") / F.col("n_shingles")).alias("share"), "n_shingles", (-F.col("start")).alias("back"), "n_found")).alias("best")
     return found.groupBy("id", "license").agg(best).select(
         F.col("id").cast(out_type).alias(id_),
