@@ -11,15 +11,23 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Arrow batches of Python steps where the session leaves Spark's own: (setting, Spark's default, ours).
+BATCHES = (
+    ("spark.sql.execution.arrow.maxRecordsPerBatch", "10000", "2000"),
+    ("spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", "8388608b"),
+)
 _ROOT = str(Path(__file__).resolve().parents[2])
 
 
 def ensure_importable(spark: SparkSession) -> None:
-    """Let Python workers import this package by adding its root to their PYTHONPATH."""
+    """Let Python workers import this package by adding its root to their PYTHONPATH, and keep what they hold at once small."""
     env = spark.sparkContext.environment
     parts = [p for p in env.get("PYTHONPATH", os.environ.get("PYTHONPATH", "")).split(os.pathsep) if p]
     if _ROOT not in parts:
         env["PYTHONPATH"] = os.pathsep.join([_ROOT, *parts])
+    for name, default, ours in BATCHES:
+        if spark.conf.get(name, default) == default:
+            spark.conf.set(name, ours)
 
 
 def shared_dir(spark: SparkSession) -> str:

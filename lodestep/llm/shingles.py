@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text hashed at once; a longer text is hashed alone.
-CHUNK = 1 << 20
+CHUNK = 1 << 19
 _U = np.uint64
 _STEP, _INVERSE = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64)
 
