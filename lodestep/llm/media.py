@@ -9,10 +9,10 @@ match a pair of corners; each match proposes a similarity transform, and the
 matches of two images that agree on scale, rotation and shift, in bins that
 overlap by half, are their consensus.  Enough of them link the images.
 
-Images of equal bytes form a class, and only one of a class goes on.  A bucket
-isn't expanded into pairs: all its corners meet the bucket's two pivots, the
-least image and the one least by hash; members of buckets of at most ``SHORT``
-also meet each other.  What goes through a bucket is linear in its size.
+Images of equal bytes form a class, and only one of a class goes on.  All
+corners of a bucket meet each other, however many they are, so that links are
+all pairs of images with a consensus; the work grows with the square of crowded
+buckets.  Images are dealt into blocks, and tasks are pairs of blocks.
 
 A null, empty, broken or flat image has no corners and links with nothing but
 images of the same bytes, null excepted.  Rows of equal ids count as one image.
@@ -34,9 +34,11 @@ from .session import Scratch, ensure_importable
 
 #: Scales, and corners kept at each.
 LEVELS = ((1.0, 10), (0.75, 6), (0.5, 4))
-TABLES, BITS, SHORT = 8, 24, 8
+TABLES, BITS = 8, 24
 #: Bits in which descriptors that match differ at most, and matches that must agree.
 NEAR, CONSENSUS = 24, 6
+#: Blocks at least, corners of a block, pairs of corners that a task holds at once, and pixels of a stack.
+BLOCKS, BLOCK, PAIRS, STACK = 8, 1 << 18, 1 << 21, 1 << 21
 _REACH, _MARGIN = 7, 8
 _HEADER = re.compile(rb"P5\s+(?:#[^\n]*\n\s*)*(\d+)\s+(\d+)\s+(\d+)\s")
 
@@ -136,7 +138,7 @@ def describe(stack: np.ndarray) -> dict[str, np.ndarray]:
 
 
 def corners(images: DataFrame, id_: str = "image_id", image: str = "image") -> DataFrame:
-    """(id, x, y, size, angle, descriptor, table, bucket): a row for each corner and table."""
+    """(id, n, places, descriptors): a row for each image with corners; x, y, size and angle as doubles, and 32 bytes, of each."""
     ensure_importable(images.sparkSession)
 
     def find(batches):
@@ -146,36 +148,140 @@ def corners(images: DataFrame, id_: str = "image_id", image: str = "image") -> D
             for i, p in enumerate(pixels):
                 if p is not None:
                     shapes.setdefault(p.shape, []).append(i)
-            for rows in shapes.values():
-                for j in range(0, len(rows), 256):
-                    part = rows[j : j + 256]
+            for (h, w), rows in shapes.items():
+                step = max(1, min(256, STACK // (h * w)))
+                for j in range(0, len(rows), step):
+                    part = rows[j : j + step]
                     d = describe(np.stack([pixels[i] for i in part]))
-                    n = len(d["image"])
-                    if not n:
+                    image = d["image"].astype(int)
+                    if not len(image):
                         continue
-                    ids = pdf["id"].to_numpy()[np.array(part)[d["image"].astype(int)]]
-                    packed = np.packbits(d["bits"].astype(bool), axis=1)
-                    weights = 1 << np.arange(BITS, dtype=np.int64)
-                    for table, chosen in enumerate(_chosen()):
-                        yield pd.DataFrame(
-                            {"id": ids, "x": d["x"], "y": d["y"], "size": d["size"], "angle": d["angle"], "descriptor": [b.tobytes() for b in packed], "table": table, "bucket": d["bits"][:, chosen].astype(np.int64) @ weights}
-                        )
+                    order = np.argsort(image, kind="stable")
+                    places = np.stack([d[k] for k in ("x", "y", "size", "angle")], axis=1)[order]
+                    packed = np.packbits(d["bits"].astype(bool), axis=1)[order]
+                    own, first, n = np.unique(image[order], return_index=True, return_counts=True)
+                    cut = [slice(f, f + k) for f, k in zip(first, n)]
+                    yield pd.DataFrame({"id": pdf["id"].to_numpy()[np.array(part)[own]], "n": n, "places": [places[c].tobytes() for c in cut], "descriptors": [packed[c].tobytes() for c in cut]})
 
     rows = images.select(F.col(id_).cast("long").alias("id"), F.col(image).alias("image")).where("id is not null")
-    return rows.mapInPandas(find, "id long, x double, y double, size double, angle double, descriptor binary, table int, bucket long")
+    return rows.mapInPandas(find, "id long, n long, places binary, descriptors binary")
+
+
+def _keys(packed: np.ndarray) -> np.ndarray:
+    """The bucket of each descriptor in each table."""
+    bits = np.unpackbits(packed, axis=1)
+    weights = 1 << np.arange(BITS, dtype=np.int64)
+    return np.stack([bits[:, chosen].astype(np.int64) @ weights for chosen in _chosen()])
+
+
+def _joined(columns: list[np.ndarray]) -> np.ndarray:
+    """A number for each row that is equal where all columns are."""
+    out, size = np.zeros(len(columns[0]), np.int64), 1
+    for c in columns:
+        c = c.astype(np.int64) - int(c.min())
+        span = int(c.max()) + 1
+        if size * span >= 1 << 62:
+            out = np.unique(out, return_inverse=True)[1]
+            size = int(out.max()) + 1
+        if size * span >= 1 << 62:
+            c = np.unique(c, return_inverse=True)[1]
+            span = int(c.max()) + 1
+        out, size = out * span + c, size * span
+    return out
 
 
-def _agreeing(matches: DataFrame) -> DataFrame:
-    """(a, b, votes): for each pair of images the most matches in one bin of scale, rotation and shift."""
-    ratio = F.col("q.size") / F.col("p.size")
-    turn = F.col("q.angle") - F.col("p.angle")
-    c, s = F.cos(turn) * ratio, F.sin(turn) * ratio
-    dx = F.col("q.x") - c * F.col("p.x") + s * F.col("p.y")
-    dy = F.col("q.y") - s * F.col("p.x") - c * F.col("p.y")
-    half = lambda value, width, shift: F.floor(value / F.lit(width) + shift).cast("int")
-    bins = F.array(*(F.struct(F.lit(i).alias("i"), half(F.log2(ratio), 0.6, sh).alias("s"), F.pmod(half(turn, math.pi / 6, sh), F.lit(12)).alias("r"), half(dx, 12.0, sh).alias("x"), half(dy, 12.0, sh).alias("y")) for i, sh in enumerate((0.0, 0.5))))
-    votes = matches.select(F.col("p.id").alias("a"), F.col("q.id").alias("b"), F.struct("p.x", "p.y", "p.size").alias("corner"), F.explode(bins).alias("bin")).distinct()
-    return votes.groupBy("a", "b", "bin").agg(F.count("*").alias("votes")).groupBy("a", "b").agg(F.max("votes").alias("votes"))
+def _agreeing(p: np.ndarray, q: np.ndarray, image: np.ndarray, places: np.ndarray, consensus: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of images of which so many matches (corners p, q) lie in one bin of scale, rotation and shift; a corner p counts once a bin."""
+    px, py, ps, pa = places[p].T
+    qx, qy, qs, qa = places[q].T
+    ratio, turn = qs / ps, qa - pa
+    c, s = np.cos(turn) * ratio, np.sin(turn) * ratio
+    dx, dy = qx - c * px + s * py, qy - s * px - c * py
+    linked = []
+    for shift in (0.0, 0.5):
+        half = lambda value, width: np.floor(value / width + shift).astype(np.int64)  # noqa: B023, E731
+        bins = _joined([image[p], image[q], half(np.log2(ratio), 0.6), half(turn, math.pi / 6) % 12, half(dx, 12.0), half(dy, 12.0)])
+        _, at = np.unique(_joined([np.unique(bins, return_inverse=True)[1], p]), return_index=True)
+        _, first, votes = np.unique(bins[at], return_index=True, return_counts=True)
+        linked.append(at[first[votes >= consensus]])
+    at = np.concatenate(linked)
+    pairs = np.unique(np.stack([image[p[at]], image[q[at]]]), axis=1)
+    return pairs[0], pairs[1]
+
+
+def _matches(rows: np.ndarray, others: np.ndarray, keys: np.ndarray, words: np.ndarray, image: np.ndarray, ids: np.ndarray, twice: bool) -> tuple[np.ndarray, np.ndarray]:
+    """(p, q) of all corners, of ``rows`` and of ``others``, that share a bucket and are near; p is of the lesser image.
+
+    ``others`` has for each table the corners in the order of their buckets.
+    ``twice``: rows are among the others, so that each pair would come from both.
+    """
+    out = []
+    for table, by in enumerate(others):
+        theirs = keys[table][by]
+        low = np.searchsorted(theirs, keys[table][rows], "left")
+        n = np.searchsorted(theirs, keys[table][rows], "right") - low
+        ends = np.cumsum(n)
+        start = 0
+        while start < len(rows):
+            done = ends[start - 1] if start else 0
+            stop = max(start + 1, int(np.searchsorted(ends, done + PAIRS, "right")))
+            some = n[start:stop]
+            p = np.repeat(rows[start:stop], some)
+            q = by[np.arange(len(p)) + np.repeat(low[start:stop] - (ends[start:stop] - some - done), some)]
+            start = stop
+            apart = np.zeros(len(p), np.int64)
+            for k in range(words.shape[1]):
+                apart += np.bitwise_count(words[p, k] ^ words[q, k])
+                keep = apart <= NEAR
+                p, q, apart = p[keep], q[keep], apart[keep]
+            a, b = ids[image[p]], ids[image[q]]
+            # a pair that shares several tables comes from the first
+            keep = (a < b if twice else a != b) & ~(keys[:table, p] == keys[:table, q]).any(axis=0)
+            p, q, swap = p[keep], q[keep], (a > b)[keep]
+            out.append(np.stack([np.where(swap, q, p), np.where(swap, p, q)]))
+    both = np.concatenate(out, axis=1)
+    return both[0], both[1]
+
+
+def _links(found: DataFrame, parts: int, consensus: int) -> DataFrame:
+    """(a, b), a < b, of all images with so many matches that agree.
+
+    Images are dealt into ``parts`` blocks, and two blocks, or one with itself,
+    meet in a task: it has all matches of its images at hand, so that matches
+    aren't shuffled, and no bucket is a single task however crowded it is.
+    """
+
+    def link(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("id", ignore_index=True)
+        ids, image = pdf["id"].to_numpy(), np.repeat(np.arange(len(pdf)), pdf["n"])
+        places = np.frombuffer(b"".join(pdf["places"]), np.float64).reshape(-1, 4)
+        packed = np.frombuffer(b"".join(pdf["descriptors"]), np.uint8).reshape(-1, 32)
+        keys, words = _keys(packed), packed.view(np.uint64)
+        i, j = int(pdf["i"].iloc[0]), int(pdf["j"].iloc[0])
+        block = pdf["block"].to_numpy()[image]
+        rows, there = np.flatnonzero(block == i), np.flatnonzero(block == j)
+        others = [there[np.argsort(keys[t][there], kind="stable")] for t in range(TABLES)]
+        meet = np.zeros(len(rows), np.int64)
+        for t, by in enumerate(others):
+            theirs = keys[t][by]
+            meet += np.searchsorted(theirs, keys[t][rows], "right") - np.searchsorted(theirs, keys[t][rows], "left")
+        # whole images, as many as meet PAIRS corners
+        own, first = np.unique(image[rows], return_index=True)
+        edges, total = [0], np.cumsum(np.add.reduceat(meet, first)) if len(own) else np.zeros(0)
+        while edges[-1] < len(own):
+            done = total[edges[-1] - 1] if edges[-1] else 0
+            edges.append(max(edges[-1] + 1, int(np.searchsorted(total, done + PAIRS, "right"))))
+        first, out = np.append(first, len(rows)), []
+        for x, y in zip(edges, edges[1:]):
+            p, q = _matches(rows[first[x] : first[y]], others, keys, words, image, ids, i == j)
+            if len(p):
+                a, b = _agreeing(p, q, image, places, consensus)
+                out.append(pd.DataFrame({"a": ids[a], "b": ids[b]}))
+        return pd.concat(out) if out else pd.DataFrame({"a": ids[:0], "b": ids[:0]})
+
+    dealt = found.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(parts)))
+    met = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))).withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
+    return met.drop("other").groupBy("i", "j").applyInPandas(link, "a long, b long")
 
 
 def copies(images: DataFrame, id_: str = "image_id", image: str = "image", consensus: int = CONSENSUS) -> DataFrame:
@@ -186,20 +292,11 @@ def copies(images: DataFrame, id_: str = "image_id", image: str = "image", conse
     named = scratch.table(rows.select("id", "digest").join(classes, "digest", "left").withColumn("rep", F.coalesce("rep", "id")), "named")
     first = rows.join(classes, (rows["digest"] == classes["digest"]) & (F.col("id") == F.col("rep"))).select("id", "image").dropDuplicates(["id"])
     found = scratch.table(corners(first, "id"), "corners")
-    buckets = found.groupBy("table", "bucket").agg(F.count("*").alias("members"), F.min("id").alias("p1"), F.min(F.struct(F.xxhash64("id").alias("h"), "id")).alias("p2")).where("members > 1")
-    corner = F.struct("id", "x", "y", "size", "angle", "descriptor")
-    held = scratch.table(found.join(buckets, ["table", "bucket"]).select("table", "bucket", "members", "p1", F.col("p2.id").alias("p2"), corner.alias("q")), "held")
-    hub = held.where((F.col("members") <= SHORT) | (F.col("q.id") == F.col("p1")) | (F.col("q.id") == F.col("p2"))).select("table", "bucket", F.col("q").alias("p"))
-    # one corner stands for a pivot in a bucket, so that a bucket's rows grow with its members only
-    hub = hub.groupBy("table", "bucket", F.col("p.id").alias("_id")).agg(F.min("p").alias("p")).drop("_id")
-    words = lambda c: [F.conv(F.hex(F.substring(c, 1 + 7 * i, 7 if i < 4 else 4)), 16, 10).cast("long") for i in range(5)]
-    near = sum((F.bit_count(a.bitwiseXOR(b)) for a, b in zip(words(F.col("p.descriptor")), words(F.col("q.descriptor")))), F.lit(0))
-    matches = held.join(hub, ["table", "bucket"]).where((F.col("p.id") < F.col("q.id")) & (near <= NEAR)).select("p", "q")
-    swapped = held.where(F.col("members") > SHORT).join(hub, ["table", "bucket"]).where((F.col("p.id") > F.col("q.id")) & (near <= NEAR)).select(F.col("q").alias("p"), F.col("p").alias("q"))
-    links = scratch.table(_agreeing(matches.unionByName(swapped)).where(F.col("votes") >= consensus).select("a", "b"), "links")
+    parts = max(BLOCKS, -(-(found.agg(F.sum("n")).first()[0] or 0) // BLOCK))
+    links = scratch.table(_links(found, parts, consensus), "links")
     least = components(links, scratch, "copies").withColumnRenamed("node", "rep")
     degree = links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("n_links"))
-    count = found.where("table = 0").groupBy(F.col("id").alias("rep")).agg(F.count("*").alias("n_corners"))
+    count = found.select(F.col("id").alias("rep"), F.col("n").alias("n_corners"))
     out = named.join(least, "rep", "left").join(degree, "rep", "left").join(count, "rep", "left")
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
     return out.select(F.col("id").alias(id_), zero("n_corners"), zero("n_links"), F.coalesce("least", "rep").alias("component_id"))

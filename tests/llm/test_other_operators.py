@@ -117,6 +117,16 @@ def test_copies(spark):
     assert media.copies(df.where("false")).count() == 0
 
 
+@pytest.mark.parametrize("block", [None, 60])
+def test_all_copies_of_a_crowded_bucket_are_linked(spark, block, monkeypatch):
+    if block:
+        monkeypatch.setattr(media, "BLOCKS", 1)
+        monkeypatch.setattr(media, "BLOCK", block)
+    rows = [(i, media.encode(np.clip(picture(1) * (1 - i / 50) + i, 0, 255))) for i in range(14)] + [(20 + i, media.encode(picture(20 + i))) for i in range(4)]
+    got = {r.image_id: (r.component_id, r.n_links) for r in media.copies(spark.createDataFrame(rows, "image_id long, image binary")).collect()}
+    assert got == {i: (0, 13) for i in range(14)} | {i: (i, 0) for i in range(20, 24)}
+
+
 def test_components(spark):
     r = random.Random(1)
     edges = [(r.randrange(60), r.randrange(60)) for _ in range(45)] + [(100, i) for i in range(101, 140)] + [(7, 7)]
