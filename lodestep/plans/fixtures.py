@@ -42,6 +42,17 @@ VIEWS = {"fx_page": PAGE, "fx_redirect": REDIRECT, "fx_linktarget": LINKTARGET,
 #: (pair_id, source_in, target_in): a link away, redirects at either end, a dropped cycle, equal ends.
 PAIRS = ((1, 0, 100), (2, 1, 15), (3, 5, 0), (4, 3, 150), (5, 45, 46), (6, 10, 190), (7, 25, 26), (8, 85, 75), (9, 7, 7))
 
+#: Ids of no page.
+UNKNOWN = (-1, 999_999_999)
+#: What follows grows with the tables: every page and a few unknown ids; and every page whose id is divisible by 100
+#: to the next such page (the last to the first), after the fixed pairs.
+ALL_IDS = "SELECT page_id FROM fx_page UNION SELECT page_id FROM (VALUES " + ", ".join(f"(CAST({i} AS BIGINT))" for i in UNKNOWN) + ") v(page_id)"
+ALL_PAIRS = """
+SELECT CAST(1000 + page_id AS BIGINT) AS pair_id, page_id AS source_in,
+       coalesce(lead(page_id) OVER (ORDER BY page_id), min(page_id) OVER ()) AS target_in
+FROM fx_page WHERE page_id % 100 = 0
+UNION ALL SELECT CAST(a AS BIGINT), CAST(b AS BIGINT), CAST(c AS BIGINT) FROM (VALUES """ + ", ".join(map(str, PAIRS)) + ") v(a, b, c)"
+
 
 class Fixture:
     """Relations and clean graph of a folder of tables; what is shared is computed once per session and folder."""
@@ -97,6 +108,22 @@ class Fixture:
 
         return self._once("search", run)
 
+    @property
+    def all_pairs(self) -> DataFrame:
+        return self.spark.sql(ALL_PAIRS.replace("FROM fx_page", "FROM {page}"), page=self.page)
+
+    @property
+    def search_all(self) -> search.Search:
+        def run() -> search.Search:
+            found = search.shortest_paths(self.links, self.redirects, self.all_pairs)
+            return search.Search(cut(found.summary), cut(found.links))
+
+        return self._once("search_all", run)
+
+    @property
+    def all_ids(self) -> DataFrame:
+        return self.spark.sql(ALL_IDS.replace("FROM fx_page", "FROM {page}"), page=self.page)
+
     @property
     def ids(self) -> DataFrame:
         """A few pages to look up: plain, redirects, in a dropped cycle, unknown."""

@@ -153,6 +153,18 @@ def lookup_outgoing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _stored(spark, sf_dir).outgoing_links(Fixture(spark, sf_dir).ids).select("page_id", _ids("targets").alias("value"))
 
 
+def lookup_redirect_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _stored(spark, sf_dir).redirect(Fixture(spark, sf_dir).all_ids).select("page_id", F.col("target").alias("value"))
+
+
+def lookup_incoming_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _stored(spark, sf_dir).incoming_links(Fixture(spark, sf_dir).all_ids).select("page_id", _ids("sources").alias("value"))
+
+
+def lookup_outgoing_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _stored(spark, sf_dir).outgoing_links(Fixture(spark, sf_dir).all_ids).select("page_id", _ids("targets").alias("value"))
+
+
 def bfs_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.levels(Fixture(spark, sf_dir).links, 0).groupBy(F.col("depth").cast("long").alias("depth")).agg(F.count("*").alias("n"))
 
@@ -169,6 +181,14 @@ def shortest_path_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Fixture(spark, sf_dir).search.links
 
 
+def shortest_path_summary_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return Fixture(spark, sf_dir).search_all.summary.withColumn("length", F.col("length").cast("long"))
+
+
+def shortest_path_links_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return Fixture(spark, sf_dir).search_all.links
+
+
 def shortest_path_adjacency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.adjacency(Fixture(spark, sf_dir).search).select("pair_id", "source", _ids("targets").alias("targets"))
 
@@ -273,6 +293,7 @@ def queries() -> dict:
     own = (
         page_index, page_key_check, *(_roundtrip(r) for r in BROKEN), parse_stats, redirect_resolve, redirect_skip_reasons, redirect_compress, linktarget_resolve,
         linktarget_skip_reasons, links_resolved, link_skip_reasons, links, incoming_adjacency, outgoing_adjacency, lookup_redirect, lookup_incoming, lookup_outgoing,
+        lookup_redirect_all, lookup_incoming_all, lookup_outgoing_all, shortest_path_summary_all, shortest_path_links_all,
         bfs_levels, shortest_path_summary, shortest_path_summary_sparse, shortest_path_links, shortest_path_adjacency, shortest_path_json, shortest_paths_all,
         shortest_paths_first8, shortest_paths_titled, pages_to_fetch, graph_nodes, graph_edges, path_summary_text, page_urls, title_fold_match, title_suggest,
         name_parse, dump_name_parse, catalog_newest, catalog_cleanup, default_language, link_sources_missing_page, random_page,

@@ -7,6 +7,7 @@ from .queries import BROKEN, NAMES
 
 _FX = ",\n".join(f"{name} AS ({body})" for name, body in fx.VIEWS.items())
 _PAIRS = "pairs AS (SELECT CAST(a AS BIGINT) AS pair_id, CAST(b AS BIGINT) AS source_in, CAST(c AS BIGINT) AS target_in FROM (VALUES " + ", ".join(map(str, fx.PAIRS)) + ") v(a, b, c))"
+_ALL_PAIRS = f"pairs AS ({fx.ALL_PAIRS})"
 _REDIRECTS = """raw AS (SELECT DISTINCT r.rd_from AS s, p.page_id AS t FROM fx_redirect r JOIN fx_page p ON p.namespace = r.rd_namespace AND p.title = r.rd_title WHERE r.rd_from <> p.page_id),
 w(s, t) AS (SELECT s, t FROM raw UNION SELECT w.s, raw.t FROM w JOIN raw ON raw.s = w.t),
 g_redirects AS (SELECT s AS source, t AS target FROM w WHERE t NOT IN (SELECT s FROM raw))"""
@@ -46,6 +47,10 @@ def _paths(body: str, sparse: bool = False) -> str:
     return out.replace("b.l_linenumber = a.l_linenumber + 1", "b.l_linenumber = a.l_linenumber + 1" + fx.SPARSE) if sparse else out
 
 
+def _paths_all(body: str) -> str:
+    return _with(body, _ALL_PAIRS, _REDIRECTS, _ALL_LINKS, _LINKS, _PATHS)
+
+
 def _reasons(relation: str, id_: str, namespace: str, title: str) -> str:
     self_ = "WHEN p.page_id = r.rd_from THEN 'self_redirect'" if relation == "fx_redirect" else ""
     return f"""SELECT CASE {self_} WHEN p.page_id IS NOT NULL THEN 'stored' WHEN r.{namespace} IN (SELECT namespace FROM fx_page) THEN 'missing_target_title' ELSE 'missing_target_namespace' END AS reason
@@ -55,6 +60,7 @@ FROM {relation} r LEFT JOIN fx_page p ON p.namespace = r.{namespace} AND p.title
 _LINK_REASONS = "SELECT CASE WHEN target IS NULL THEN 'missing_linktarget' WHEN source = target THEN 'self_link' ELSE 'stored' END AS reason FROM g_all"
 _ADJACENT = "SELECT {0} AS page_id, CAST(count(*) AS BIGINT) AS n, string_agg(CAST({1} AS VARCHAR), ',' ORDER BY {1}) AS ids FROM g_links GROUP BY 1"
 _LOOKUP = "SELECT k.page_id, coalesce(string_agg(CAST({1} AS VARCHAR), ',' ORDER BY {1}), '') AS value FROM (SELECT unnest(range(200)) AS page_id) k LEFT JOIN g_links l ON l.{0} = k.page_id GROUP BY 1"
+_LOOKUP_ALL = "SELECT k.page_id, coalesce(string_agg(CAST({1} AS VARCHAR), ',' ORDER BY {1}), '') AS value FROM (" + fx.ALL_IDS + ") k LEFT JOIN g_links l ON l.{0} = k.page_id GROUP BY 1"
 _NAMES = "names AS (SELECT unnest([" + ", ".join(f"'{n}'" for n in NAMES) + "]) AS name), parsed AS (SELECT name, nullif(regexp_extract(name, '^wp-([a-zA-Z]+)-([0-9]+)$', 1), '') AS language_code, nullif(regexp_extract(name, '^wp-([a-zA-Z]+)-([0-9]+)$', 2), '') AS date_code FROM names)"
 _NEWEST = "newest AS (SELECT language_code, max(date_code) AS date_code FROM parsed WHERE language_code IS NOT NULL GROUP BY 1)"
 _TITLES = "t AS (SELECT page_id, trim(regexp_extract(html, '<title>([^<]*)</title>', 1)) AS title FROM pages)"
@@ -103,6 +109,9 @@ ORACLES = {
     "lookup_redirect": _clean("SELECT k.page_id, r.target AS value FROM (SELECT unnest(range(200)) AS page_id) k LEFT JOIN g_redirects r ON r.source = k.page_id"),
     "lookup_incoming": _graph(_LOOKUP.format("target", "source")),
     "lookup_outgoing": _graph(_LOOKUP.format("source", "target")),
+    "lookup_redirect_all": _clean(f"SELECT k.page_id, r.target AS value FROM ({fx.ALL_IDS}) k LEFT JOIN g_redirects r ON r.source = k.page_id"),
+    "lookup_incoming_all": _graph(_LOOKUP_ALL.format("target", "source")),
+    "lookup_outgoing_all": _graph(_LOOKUP_ALL.format("source", "target")),
     "bfs_levels": _with(
         "SELECT CAST(d AS BIGINT) AS depth, count(*) AS n FROM (SELECT n, min(d) AS d FROM lv GROUP BY n) GROUP BY 1",
         _REDIRECTS,
@@ -113,6 +122,8 @@ ORACLES = {
     "shortest_path_summary": _paths("SELECT * FROM total"),
     "shortest_path_summary_sparse": _paths("SELECT * FROM total", sparse=True),
     "shortest_path_links": _paths("SELECT pair_id, source, target FROM dag"),
+    "shortest_path_summary_all": _paths_all("SELECT * FROM total"),
+    "shortest_path_links_all": _paths_all("SELECT pair_id, source, target FROM dag"),
     "shortest_path_adjacency": _paths("SELECT pair_id, source, string_agg(CAST(target AS VARCHAR), ',' ORDER BY target) AS targets FROM dag GROUP BY ALL"),
     "shortest_path_json": _paths(
         """SELECT pair_id, concat('{"source":', source, ',"sourceIsRedirect":', source_is_redirect, ',"target":', target, ',"targetIsRedirect":', target_is_redirect,
