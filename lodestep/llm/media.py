@@ -7,7 +7,9 @@ a pattern turned by that orientation.  Descriptors are entered into Hamming
 tables, each keyed by some of the bits.  Images that meet in a table's bucket
 match a pair of corners; each match proposes a similarity transform, and the
 matches of two images that agree on scale, rotation and shift, in bins that
-overlap by half, are their consensus.  Enough of them link the images.
+overlap by half, are candidates; enough of them that lie on one transform, no
+corner twice, and that are a share of the corners in the part that both images show,
+are a consensus and link the images.
 
 Images of equal bytes form a class, and only one of a class goes on.  All
 corners of a bucket meet each other, however many they are, so that links are
@@ -32,11 +34,15 @@ from pyspark.sql import functions as F
 from .components import components
 from .session import Scratch, ensure_importable
 
-#: Scales, and corners kept at each.
-LEVELS = ((1.0, 10), (0.75, 6), (0.5, 4))
+#: Scales; every corner of each is kept.
+LEVELS = (1.0, 0.75, 0.5)
 TABLES, BITS = 8, 24
 #: Bits in which descriptors that match differ at most, and matches that must agree.
 NEAR, CONSENSUS = 24, 6
+#: Pixels, at the coarser of two corners' scales, that a match may lie off the transform of its consensus.
+OFF = 2.0
+#: Share of the corners in the part that two images have in common that must match, as chance matches grow with corners.
+SHARE = 0.25
 #: Blocks at least, corners of a block, pairs of corners that a task holds at once, and pixels of a stack.
 BLOCKS, BLOCK, PAIRS, STACK = 8, 1 << 18, 1 << 21, 1 << 21
 _REACH, _MARGIN = 7, 8
@@ -92,8 +98,8 @@ def _resized(a: np.ndarray, scale: float) -> np.ndarray:
     return out
 
 
-def _corners(a: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(image, y, x) of the strongest corners of a stack, at most ``most`` each."""
+def _corners(a: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(image, y, x) of all corners of a stack."""
     gy, gx = np.gradient(a, axis=(1, 2))
     xx, yy, xy = _smooth(gx * gx), _smooth(gy * gy), _smooth(gx * gy)
     r = xx * yy - xy * xy - 0.05 * (xx + yy) ** 2
@@ -104,11 +110,7 @@ def _corners(a: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarr
     for dy in range(3):
         for dx in range(3):
             peak &= r >= p[:, dy : dy + r.shape[1], dx : dx + r.shape[2]]
-    score = np.where(peak, r, -np.inf).reshape(len(a), -1)
-    best = np.argsort(-score, axis=1, kind="stable")[:, :most]
-    image, rank = np.nonzero(np.isfinite(np.take_along_axis(score, best, 1)))
-    flat = best[image, rank]
-    return image, flat // a.shape[2], flat % a.shape[2]
+    return np.nonzero(peak)
 
 
 def describe(stack: np.ndarray) -> dict[str, np.ndarray]:
@@ -116,11 +118,11 @@ def describe(stack: np.ndarray) -> dict[str, np.ndarray]:
     out: dict[str, list] = {k: [] for k in ("image", "x", "y", "size", "angle", "bits")}
     window = np.arange(-6, 7)
     disc = (window[:, None] ** 2 + window[None, :] ** 2) <= 36
-    for scale, most in LEVELS:
+    for scale in LEVELS:
         a = _smooth(_resized(stack.astype(np.float64), scale))
         if min(a.shape[1:]) <= 2 * _MARGIN:
             continue
-        image, y, x = _corners(a, most)
+        image, y, x = _corners(a)
         if not len(image):
             continue
         patch = a[image[:, None, None], y[:, None, None] + window[None, :, None], x[:, None, None] + window[None, None, :]] * disc
@@ -190,21 +192,58 @@ def _joined(columns: list[np.ndarray]) -> np.ndarray:
     return out
 
 
+def _inside(at: np.ndarray, frame: np.ndarray) -> int:
+    """How many points lie among the corners of an image."""
+    return int(((at.real >= frame.real.min()) & (at.real <= frame.real.max()) & (at.imag >= frame.imag.min()) & (at.imag <= frame.imag.max())).sum())
+
+
+def _on_one_transform(p: np.ndarray, q: np.ndarray, ours: np.ndarray, theirs: np.ndarray, consensus: int) -> bool:
+    """Whether a similarity through two of the matches (x, y, size, angle) takes enough corners p to their q, no corner twice.
+
+    Enough are ``consensus``, and ``SHARE`` of all corners of either image
+    (``ours``, ``theirs``) that it takes into the other.
+    """
+    every, each = ours[:, 0] + 1j * ours[:, 1], theirs[:, 0] + 1j * theirs[:, 1]
+    u, v = p[:, 0] + 1j * p[:, 1], q[:, 0] + 1j * q[:, 1]
+    off = OFF * np.maximum(p[:, 2], q[:, 2])
+    names = [np.unique(x, axis=0, return_inverse=True)[1].ravel() for x in (p[:, :3], q[:, :3])]
+    for i in range(len(u)):
+        other = np.flatnonzero(np.abs(u - u[i]) > 4)
+        if not len(other):
+            continue
+        turn = (v[other] - v[i]) / (u[other] - u[i])
+        lies = np.abs(turn[:, None] * (u - u[i]) + v[i] - v) <= off
+        for row in np.flatnonzero(lies.sum(axis=1) >= consensus):
+            most = min(_inside(turn[row] * (every - u[i]) + v[i], each), _inside((each - v[i]) / turn[row] + u[i], every)) if turn[row] else np.inf
+            if min(len(np.unique(n[lies[row]])) for n in names) >= max(consensus, SHARE * most):
+                return True
+    return False
+
+
 def _agreeing(p: np.ndarray, q: np.ndarray, image: np.ndarray, places: np.ndarray, consensus: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of images of which so many matches (corners p, q) lie in one bin of scale, rotation and shift; a corner p counts once a bin."""
+    """Pairs of images of which so many matches (corners p, q) lie in one bin of scale, rotation and shift, and on one transform."""
     px, py, ps, pa = places[p].T
     qx, qy, qs, qa = places[q].T
     ratio, turn = qs / ps, qa - pa
     c, s = np.cos(turn) * ratio, np.sin(turn) * ratio
     dx, dy = qx - c * px + s * py, qy - s * px - c * py
-    linked = []
+    linked, known, first_of = [], set(), np.searchsorted(image, np.arange(image[-1] + 2))
     for shift in (0.0, 0.5):
         half = lambda value, width: np.floor(value / width + shift).astype(np.int64)  # noqa: B023, E731
         bins = _joined([image[p], image[q], half(np.log2(ratio), 0.6), half(turn, math.pi / 6) % 12, half(dx, 12.0), half(dy, 12.0)])
         _, at = np.unique(_joined([np.unique(bins, return_inverse=True)[1], p]), return_index=True)
         _, first, votes = np.unique(bins[at], return_index=True, return_counts=True)
-        linked.append(at[first[votes >= consensus]])
-    at = np.concatenate(linked)
+        order = np.argsort(bins, kind="stable")
+        for one in at[first[votes >= consensus]]:
+            if (image[p[one]], image[q[one]]) in known:
+                continue
+            low, high = np.searchsorted(bins, bins[one], "left", sorter=order), np.searchsorted(bins, bins[one], "right", sorter=order)
+            some = order[low:high]
+            ours, theirs = (places[first_of[k] : first_of[k + 1]] for k in (image[p[one]], image[q[one]]))
+            if _on_one_transform(places[p[some]], places[q[some]], ours, theirs, consensus):
+                known.add((image[p[one]], image[q[one]]))
+                linked.append(one)
+    at = np.array(linked, np.int64)
     pairs = np.unique(np.stack([image[p[at]], image[q[at]]]), axis=1)
     return pairs[0], pairs[1]
 
@@ -229,9 +268,9 @@ def _matches(rows: np.ndarray, others: np.ndarray, keys: np.ndarray, words: np.n
             p = np.repeat(rows[start:stop], some)
             q = by[np.arange(len(p)) + np.repeat(low[start:stop] - (ends[start:stop] - some - done), some)]
             start = stop
-            apart = np.zeros(len(p), np.int64)
-            for k in range(words.shape[1]):
-                apart += np.bitwise_count(words[p, k] ^ words[q, k])
+            apart = np.zeros(len(p), np.uint16)
+            for word in words:
+                apart += np.bitwise_count(word[p] ^ word[q])
                 keep = apart <= NEAR
                 p, q, apart = p[keep], q[keep], apart[keep]
             a, b = ids[image[p]], ids[image[q]]
@@ -256,7 +295,7 @@ def _links(found: DataFrame, parts: int, consensus: int) -> DataFrame:
         ids, image = pdf["id"].to_numpy(), np.repeat(np.arange(len(pdf)), pdf["n"])
         places = np.frombuffer(b"".join(pdf["places"]), np.float64).reshape(-1, 4)
         packed = np.frombuffer(b"".join(pdf["descriptors"]), np.uint8).reshape(-1, 32)
-        keys, words = _keys(packed), packed.view(np.uint64)
+        keys, words = _keys(packed), np.ascontiguousarray(packed.view(np.uint64).T)
         i, j = int(pdf["i"].iloc[0]), int(pdf["j"].iloc[0])
         block = pdf["block"].to_numpy()[image]
         rows, there = np.flatnonzero(block == i), np.flatnonzero(block == j)

@@ -127,6 +127,15 @@ def test_all_copies_of_a_crowded_bucket_are_linked(spark, block, monkeypatch):
     assert got == {i: (0, 13) for i in range(14)} | {i: (i, 0) for i in range(20, 24)}
 
 
+def test_crops_of_half_and_a_quarter(spark):
+    images, rows = [picture(60 + i, side=24) for i in range(4)], []
+    for i, a in enumerate(images):
+        h, w = a.shape
+        rows += [(10 * i + k, media.encode(np.ascontiguousarray(x))) for k, x in enumerate((a, a[h // 2 :], a[h // 4 : 3 * h // 4, w // 4 : 3 * w // 4], a[h // 2 :, : w // 2]))]
+    got = {r.image_id: r.component_id for r in media.copies(spark.createDataFrame(rows, "image_id long, image binary")).collect()}
+    assert got == {i: i // 10 * 10 for i, _ in rows}
+
+
 def test_components(spark):
     r = random.Random(1)
     edges = [(r.randrange(60), r.randrange(60)) for _ in range(45)] + [(100, i) for i in range(101, 140)] + [(7, 7)]
