@@ -5,10 +5,12 @@ overlap of its own kind.  Kind ``entropy`` is added by the method: candidate
 strings are cut into runs of one character class, a window slides along each
 run, and its Shannon entropy follows from character counts that are updated by
 one character in and one out.  Windows at or above the class's threshold are
-joined to spans.  A span is suppressed if the allow list matches it, or if
-patterned spans cover it already.
+joined to spans.  A span is suppressed if the allow list matches it or the value
+that holds it (the whole candidate string, or what stands between its ``=``), or
+if a patterned span covers it already.  The time is linear in the text.
 
-Starts and ends are code points, ends exclusive.  Null text has no spans.
+Starts and ends are code points, ends exclusive.  Null and empty texts have no
+spans; an empty table gives an empty one; repeated rows get the same spans each.
 """
 
 from __future__ import annotations
@@ -33,18 +35,23 @@ KINDS = (*(p[0] for p in PATTERNS), "entropy")
 SCHEMA = "array<struct<kind:string,start:int,end:int>>"
 
 
+_DIGITS, _LOWER, _UPPER = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+
+
 @dataclass(frozen=True)
 class CharClass:
-    """Runs of ``chars``; a window counts if its entropy reaches ``bits`` and it has a character of each of ``needs``."""
+    """Runs of ``chars``; a window counts if its entropy reaches ``bits`` and it has so many characters of each of ``needs``."""
 
     chars: str
     bits: float
-    needs: tuple[str, ...]
+    needs: tuple[tuple[str, int], ...]
 
 
 CLASSES = (
-    CharClass("0-9a-fA-F", 3.0, ("0123456789", "abcdefABCDEF")),
-    CharClass("A-Za-z0-9+/_-", 3.9, ("0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ")),
+    CharClass("0-9a-fA-F", 3.0, ((_DIGITS, 1), ("abcdefABCDEF", 1))),
+    CharClass("A-Za-z0-9+/_-", 3.9, ((_DIGITS, 1), (_LOWER, 1), (_UPPER, 1))),
+    CharClass("a-z0-9", 3.7, ((_DIGITS, 3), (_LOWER, 3))),
+    CharClass("A-Z0-9", 3.7, ((_DIGITS, 3), (_UPPER, 3))),
 )
 #: Strings that look random and are no secrets.
 ALLOW = (
@@ -82,19 +89,19 @@ class Scanner:
         total, out = 0.0, []
         most = w * (math.log2(w) - kind.bits) + 1e-9  # entropy >= bits iff total <= most
         for i, ch in enumerate(run):
-            n = counts.get(ch, 0)
-            counts[ch] = n + 1
-            total += weight[n + 1] - weight[n]
-            for k, need in enumerate(kind.needs):
-                have[k] += ch in need
-            if i >= w:
+            if i >= w:  # the old one leaves first, so that no count exceeds the window
                 old = run[i - w]
                 n = counts[old]
                 counts[old] = n - 1
                 total += weight[n - 1] - weight[n]
-                for k, need in enumerate(kind.needs):
+                for k, (need, _) in enumerate(kind.needs):
                     have[k] -= old in need
-            if i >= w - 1 and total <= most and all(have):
+            n = counts.get(ch, 0)
+            counts[ch] = n + 1
+            total += weight[n + 1] - weight[n]
+            for k, (need, _) in enumerate(kind.needs):
+                have[k] += ch in need
+            if i >= w - 1 and total <= most and all(h >= least for h, (_, least) in zip(have, kind.needs)):
                 if out and out[-1][1] >= i + 1 - w:
                     out[-1][1] = i + 1
                 else:
@@ -103,35 +110,38 @@ class Scanner:
 
     def spans(self, text: str) -> list[tuple[str, int, int]]:
         found = self.patterned(text)
-        added: list[tuple[int, int]] = []
+        covers = sorted((s, e) for s, _, e in found)
+        k = reach = 0
         for m in self.candidate.finditer(text):
-            base = m.start()
-            for runs, kind in self.classes:
-                for run in runs.finditer(m.group()):
-                    for a, b in self.windows(run.group(), kind):
-                        added.append((base + run.start() + a, base + run.start() + b))
+            string, base = m.group(), m.start()
+            value, spared = None, False
+            for a, b in self.high(string):
+                while k < len(covers) and covers[k][0] <= base + a:
+                    reach = max(reach, covers[k][1])
+                    k += 1
+                if reach >= base + b:
+                    continue
+                start = string.rfind("=", 0, a) + 1
+                if value != start:
+                    end = string.find("=", b)
+                    value, spared = start, self.allowed(string[start : end if end >= 0 else len(string)])
+                if not spared and not self.allowed(string[a:b]):
+                    found.append((base + a, len(KINDS) - 1, base + b))
+        return [(KINDS[k], s, e) for s, k, e in sorted(found)]
+
+    def high(self, string: str) -> list[tuple[int, int]]:
+        """Joined windows of all classes in a candidate string."""
+        added = [(run.start() + a, run.start() + b) for runs, kind in self.classes for run in runs.finditer(string) for a, b in self.windows(run.group(), kind)]
         joined: list[list[int]] = []
         for a, b in sorted(added):
             if joined and a <= joined[-1][1]:
                 joined[-1][1] = max(joined[-1][1], b)
             else:
                 joined.append([a, b])
-        covers = [(s, e) for s, _, e in found]
-        for a, b in joined:
-            if any(s <= a and b <= e for s, e in covers) or self.allowed(text, a, b):
-                continue
-            found.append((a, len(KINDS) - 1, b))
-        return [(KINDS[k], s, e) for s, k, e in sorted(found)]
+        return [(a, b) for a, b in joined]
 
-    def allowed(self, text: str, start: int, end: int) -> bool:
-        """Whether the allow list holds the span, or the whole string around it."""
-        edge = "+/_=-"
-        a, b = start, end
-        while a > 0 and (text[a - 1].isalnum() or text[a - 1] in edge) and start - a < 64:
-            a -= 1
-        while b < len(text) and (text[b].isalnum() or text[b] in edge) and b - end < 64:
-            b += 1
-        return any(p.fullmatch(text[a:b]) or p.fullmatch(text[start:end]) for p in self.allow)
+    def allowed(self, string: str) -> bool:
+        return any(p.fullmatch(string) for p in self.allow)
 
 
 def spans_column(text: Column, scanner: Scanner | None = None) -> Column:
