@@ -1,17 +1,22 @@
 """WARC records in ZIP archives, written by partition and read back by byte ranges.
 
-An archive holds two stored members: the records, and an index with a JSON line
-for each record (offset and length within the record member).  The reader never
-extracts: it parses the end of the file, the central directory and their ZIP64
-forms, finds the stored members, reads the index, and then reads each record's
-range.  An archive without an index is scanned record by record.
+An archive holds two stored members: the records, and an index of lines ``key
+time {...}`` sorted by key, with the offset and length of each record in its
+member.  The reader never extracts: it parses the end of the file, the central
+directory and their ZIP64 forms, finds the stored members, reads the indexes, and
+then reads each record's range.  Records may be gzipped one by one, as in stored
+``.warc.gz`` members, and so may indexes.  Without an index that names every
+member's records, members are scanned record by record.  A member of records that
+the ZIP itself compresses or encrypts can't be read by ranges: it is an error, by
+name.
 
 Of pages with equal payloads the one of the smallest page id has the response;
 the others are revisits of it (identical payload digest) and carry the response's
 HTTP headers only.  Pages share a payload by its SHA-1.  Payloads below
 ``least_bytes`` are written each time.  Null html is an empty payload; a page
 without an id is a revisit if some equal page has one; repeated rows of the
-smallest id are responses each.
+smallest id are responses each, of one record id, as they are one capture.  Line
+ends in addresses are percent-encoded.  A table without rows writes no archive.
 
 Files are written under another name and moved to their own, which follows from
 partition and number, so that a task that runs again replaces what it left.
@@ -21,13 +26,15 @@ Paths are those that ``pyarrow.fs`` opens: file, hdfs, s3 and gs addresses.
 from __future__ import annotations
 
 import base64
-import functools
 import hashlib
 import json
+import re
 import struct
 import uuid
 import zipfile
+import zlib
 from collections.abc import Iterator
+from urllib.parse import urlsplit
 
 import pyarrow as pa
 from pyarrow import fs
@@ -39,8 +46,8 @@ from .session import Scratch, ensure_importable
 
 DATA, INDEX = "archive/data.warc", "indexes/index.cdxj"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-#: A new archive is begun after so many bytes, and ranges are read by tasks of about as many.
-ARCHIVE_BYTES, BLOCK_BYTES = 1 << 30, 64 << 20
+#: A new archive is begun after so many bytes or records, ranges are read by tasks of about as many bytes, and so many are held at once.
+ARCHIVE_BYTES, ARCHIVE_RECORDS, BLOCK_BYTES, HELD_BYTES = 1 << 30, 100_000, 64 << 20, 4 << 20
 #: Digests of repeated payloads (28 bytes each) that are broadcast; beyond, pages are joined by a shuffle, whose hot partitions Spark splits.
 BROADCAST_ROWS = 1_000_000
 RECORDS = "page_id long, url string, record_type string, payload_bytes long, payload_digest string, refers_to long, archive string, offset long, length long, payload binary"
@@ -65,7 +72,7 @@ def record(page_id: int | None, url: str | None, payload: bytes, digest: str, re
         f"Content-Length: {len(block)}",
     ]
     if url is not None:
-        head.append(f"WARC-Target-URI: {''.join(url.splitlines())}")
+        head.append(f"WARC-Target-URI: {one_line(url)}")
     if page_id is not None:
         head.append(f"Page-Id: {page_id}")
     if revisit:
@@ -73,6 +80,22 @@ def record(page_id: int | None, url: str | None, payload: bytes, digest: str, re
     return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
+def one_line(url: str) -> str:
+    return url.replace("\r", "%0D").replace("\n", "%0A")
+
+
+def url_key(url: str | None) -> str:
+    """What an index sorts by: the host's labels from the last to the first, then path and query; the address itself if it has no host."""
+    try:
+        parts = urlsplit(url or "")
+        host = (parts.hostname or "").split(".")
+    except ValueError:
+        host = [""]
+    if host == [""]:
+        return re.sub(r"\s", "%20", (url or "").lower()) or "-"
+    return re.sub(r"\s", "%20", f"{','.join(reversed(host))}){parts.path or '/'}{'?' + parts.query if parts.query else ''}".lower())
+
+
 def base32_sha1(data: bytes) -> str:
     return base64.b32encode(hashlib.sha1(data).digest()).decode()
 
@@ -88,15 +111,16 @@ class _Output:
         self.member = self.zip.open(zipfile.ZipInfo(DATA), "w", force_zip64=True)
         self.size, self.lines = 0, []
 
-    def add(self, data: bytes, page_id: int | None) -> None:
-        self.lines.append(json.dumps({"page_id": page_id, "offset": self.size, "length": len(data)}))
+    def add(self, data: bytes, page_id: int | None, url: str | None, digest: str, date: str) -> None:
+        entry = {"url": one_line(url) if url is not None else None, "page_id": page_id, "digest": f"sha1:{digest}", "filename": DATA.rpartition("/")[2], "offset": self.size, "length": len(data)}
+        self.lines.append(f"{url_key(url)} {re.sub('[^0-9]', '', date)} {json.dumps(entry)}")
         self.member.write(data)
         self.size += len(data)
 
     def close(self) -> tuple[str, int, int]:
         self.member.close()
         with self.zip.open(zipfile.ZipInfo(INDEX), "w", force_zip64=True) as index:
-            for line in self.lines:
+            for line in sorted(self.lines):
                 index.write(line.encode() + b"\n")
         self.zip.close()
         self.stream.close()
@@ -137,8 +161,9 @@ def write(
                 if out is None:
                     out = _Output(files, base, f"part-{part:06d}-{number:04d}")
                     number += 1
-                out.add(record(page_id, u, payload, base64.b32encode(sha).decode(), first, again, date), page_id)
-                if out.size >= archive_bytes:
+                digest = base64.b32encode(sha).decode()
+                out.add(record(page_id, u, payload, digest, first, again, date), page_id, u, digest, date)
+                if out.size >= archive_bytes or len(out.lines) >= ARCHIVE_RECORDS:
                     done.append(out.close())
                     out = None
         if out is not None:
@@ -154,13 +179,19 @@ class Archive:
 
     def __init__(self, file, size: int):
         self.file, self.size = file, size
-        self.members = {name: where for name, where in self._directory()}
+        self.members: dict[str, tuple[int, int]] = {}
+        self.packed: list[str] = []
+        for name, where in self._directory():
+            if where is None:
+                self.packed.append(name)
+            else:
+                self.members[name] = where
 
     def read(self, offset: int, n: int) -> bytes:
         return bytes(self.file.read_at(n, offset))
 
-    def _directory(self) -> Iterator[tuple[str, tuple[int, int]]]:
-        """(name, (local header's offset, size)) of the stored members."""
+    def _directory(self) -> Iterator[tuple[str, tuple[int, int] | None]]:
+        """(name, (local header's offset, size)) of the stored members, and (name, None) of others."""
         tail_at = max(0, self.size - 22 - 0xFFFF)
         tail = self.read(tail_at, self.size - tail_at)
         end = tail.rfind(b"PK\x05\x06")
@@ -192,8 +223,7 @@ class Archive:
                     packed = wide.pop(0) if packed == 0xFFFFFFFF else packed
                     local = wide.pop(0) if local == 0xFFFFFFFF else local
                 extra = extra[4 + size :]
-            if method == 0 and not flags & 1:
-                yield name, (local, packed)
+            yield name, (local, packed) if method == 0 and not flags & 1 else None
             at += 46 + n + m + k
 
     def data_at(self, name: str) -> int:
@@ -206,11 +236,20 @@ class Archive:
         return local + 30 + n + m
 
     def lines(self, name: str, block: int = 1 << 20) -> Iterator[bytes]:
-        """Lines of a stored member."""
+        """Lines of a stored member, gzipped or not."""
         at, left, rest = self.data_at(name), self.members[name][1], b""
+        plain = zlib.decompressobj(31) if name.endswith(".gz") else None
         while left:
             data = self.read(at, min(block, left))
             at, left = at + len(data), left - len(data)
+            if plain is not None:
+                out = plain.decompress(data)
+                while plain.eof and plain.unused_data:  # the next of several in a row
+                    data, plain = plain.unused_data, zlib.decompressobj(31)
+                    out += plain.decompress(data)
+                if plain.eof:
+                    plain = zlib.decompressobj(31)
+                data = out
             *whole, rest = (rest + data).split(b"\n")
             yield from whole
         if rest:
@@ -218,25 +257,53 @@ class Archive:
 
     def ranges(self) -> Iterator[tuple[int, int]]:
         """(offset in the file, length) of every record, from the indexes or else by scanning."""
-        data = [m for m in self.members if m.endswith(".warc")]
-        if len(data) == 1 and any(m.endswith(".cdxj") for m in self.members):
-            begin = self.data_at(data[0])
-            for name in self.members:
-                if name.endswith(".cdxj"):
-                    for line in self.lines(name):
-                        entry = json.loads(line[line.index(b"{") :])
-                        yield begin + int(entry["offset"]), int(entry["length"])
+        if unread := [m for m in self.packed if _DATA.search(m)]:
+            raise ValueError(f"members aren't stored as they are and can't be read by ranges: {', '.join(unread)}")
+        data = [m for m in self.members if _DATA.search(m)]
+        indexes = [m for m in self.members if _INDEX.search(m)]
+        begins = {m.rpartition("/")[2]: self.data_at(m) for m in data} if indexes else {}
+        named = {self._member(line, data) for m in indexes for line in self.lines(m) if b"{" in line}
+        if not data or named != {m.rpartition("/")[2] for m in data}:
+            for name in data:
+                yield from self._scan(name)
             return
-        for name in data:
-            at = self.data_at(name)
-            end = at + self.members[name][1]
-            while at < end:
+        for m in indexes:
+            for line in self.lines(m):
+                if b"{" in line:
+                    entry = json.loads(line[line.index(b"{") :])
+                    yield begins[self._member(line, data)] + int(entry["offset"]), int(entry["length"])
+
+    def _member(self, line: bytes, data: list[str]) -> str | None:
+        """File name of the member of records that an index line points into; one without a name, or without a range, serves if there is but one member."""
+        entry = json.loads(line[line.index(b"{") :])
+        if "offset" not in entry or "length" not in entry:
+            return None
+        name = entry.get("filename")
+        return name.rpartition("/")[2] if name else data[0].rpartition("/")[2] if len(data) == 1 else None
+
+    def _scan(self, name: str) -> Iterator[tuple[int, int]]:
+        at = self.data_at(name)
+        end = at + self.members[name][1]
+        while at < end:
+            if self.read(at, 2) == b"\x1f\x8b":
+                plain, to = zlib.decompressobj(31), at
+                while not plain.eof and to < end:
+                    chunk = self.read(to, min(1 << 16, end - to))
+                    to += len(chunk)
+                    plain.decompress(chunk)
+                if not plain.eof:
+                    raise ValueError(f"a gzipped record of {name} is cut off")
+                length = to - len(plain.unused_data) - at
+            else:
                 head, size = b"", 1 << 12
                 while b"\r\n\r\n" not in head and len(head) < end - at:
                     head, size = self.read(at, min(size, end - at)), size * 4
                 length = head.index(b"\r\n\r\n") + 8 + int(_fields(head)["content-length"])
-                yield at, length
-                at += length
+            yield at, length
+            at += length
+
+
+_DATA, _INDEX = re.compile(r"\.warc(\.gz)?$"), re.compile(r"\.cdxj?(\.gz)?$")
 
 
 def _fields(head: bytes) -> dict[str, str]:
@@ -244,30 +311,46 @@ def _fields(head: bytes) -> dict[str, str]:
     return {k.strip().lower(): v.strip() for k, v in (line.split(":", 1) for line in lines if ":" in line)}
 
 
-@functools.lru_cache(maxsize=8)
-def _file(folder_uri: str, path: str):
-    files, _ = fs.FileSystem.from_uri(folder_uri)
-    return files.open_input_file(path)
+class _Files:
+    """A task's open files."""
+
+    def __init__(self, folder_uri: str):
+        self.files, _ = fs.FileSystem.from_uri(folder_uri)
+        self.open: dict[str, pa.NativeFile] = {}
+
+    def __call__(self, path: str):
+        if path not in self.open:
+            while len(self.open) >= 8:
+                self.open.pop(next(iter(self.open))).close()
+            self.open[path] = self.files.open_input_file(path)
+        return self.open[path]
 
 
 def parse(data: bytes) -> dict:
-    """Fields of one record; the payload is checked against its digest."""
+    """Fields of one record, gzipped or not; a payload with a SHA-1 digest is checked against it.
+
+    Records without HTTP headers have their block as payload; those without a
+    digest have a null one.
+    """
+    if data[:2] == b"\x1f\x8b":
+        data = zlib.decompressobj(31).decompress(data)
     warc = _fields(data)
     body = data.index(b"\r\n\r\n") + 4
     block = data[body : body + int(warc["content-length"])]
-    digest = warc["warc-payload-digest"].removeprefix("sha1:")
-    revisit = warc["warc-type"] == "revisit"
-    payload = None if revisit else block[block.index(b"\r\n\r\n") + 4 :]
-    if payload is not None and base32_sha1(payload) != digest:
-        raise ValueError(f"payload of {warc['warc-record-id']} doesn't have its digest")
-    number = lambda name: int(warc[name]) if name in warc else None
+    kind, digest = warc["warc-type"], warc.get("warc-payload-digest")
+    http = warc.get("content-type", "").startswith("application/http") and b"\r\n\r\n" in block
+    payload = None if kind == "revisit" else block[block.index(b"\r\n\r\n") + 4 :] if http else block
+    if payload is not None and digest and digest.startswith("sha1:") and base32_sha1(payload) != digest.removeprefix("sha1:"):
+        raise ValueError(f"payload of {warc.get('warc-record-id')} doesn't have its digest")
+    number = lambda fields, name: int(fields[name]) if fields.get(name, "").isdecimal() else None
+    told = _fields(block) if http and payload is None else {}
     return {
-        "page_id": number("page-id"),
+        "page_id": int(warc["page-id"]) if "page-id" in warc else None,
         "url": warc.get("warc-target-uri"),
-        "record_type": warc["warc-type"],
-        "payload_bytes": int(_fields(block)["content-length"]),
-        "payload_digest": digest,
-        "refers_to": number("refers-to-page-id"),
+        "record_type": kind,
+        "payload_bytes": len(payload) if payload is not None else number(told, "content-length"),
+        "payload_digest": digest.removeprefix("sha1:") if digest else None,
+        "refers_to": int(warc["refers-to-page-id"]) if "refers-to-page-id" in warc else None,
         "payload": payload,
     }
 
@@ -277,9 +360,10 @@ def read(archives: DataFrame, folder: str, payloads: bool = True, block_bytes: i
     ensure_importable(archives.sparkSession)
 
     def locate(batches):
+        files = _Files(folder)
         for batch in batches:
             for path in batch.column("archive").to_pylist():
-                file = _file(folder, path)
+                file = files(path)
                 found = []
                 for where in Archive(file, file.size()).ranges():
                     found.append(where)
@@ -291,18 +375,27 @@ def read(archives: DataFrame, folder: str, payloads: bool = True, block_bytes: i
 
     schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("record_type", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("refers_to", pa.int64())])
 
+    def table(rows: list[dict], where: list[tuple]) -> pa.RecordBatch:
+        columns = [pa.array([r[f.name] for r in rows], f.type) for f in schema]
+        columns += [pa.array(x, t) for x, t in zip(zip(*where), (pa.string(), pa.int64(), pa.int64()))]
+        columns.append(pa.array([r["payload"] if payloads else None for r in rows], pa.binary()))
+        return pa.RecordBatch.from_arrays(columns, [*schema.names, "archive", "offset", "length", "payload"])
+
     def fetch(batches):
+        files = _Files(folder)
         for batch in batches:
-            where = [batch.column(n).to_pylist() for n in ("archive", "offset", "length")]
-            step = 256
-            for i in range(0, batch.num_rows, step):
-                rows = []
-                for path, offset, length in zip(*(w[i : i + step] for w in where)):
-                    rows.append(parse(bytes(_file(folder, path).read_at(length, offset))))
-                columns = [pa.array([r[f.name] for r in rows], f.type) for f in schema]
-                columns += [batch.column(n).slice(i, step) for n in ("archive", "offset", "length")]
-                columns.append(pa.array([r["payload"] if payloads else None for r in rows], pa.binary()))
-                yield pa.RecordBatch.from_arrays(columns, [*schema.names, "archive", "offset", "length", "payload"])
+            rows, where, held = [], [], 0
+            for path, offset, length in zip(*(batch.column(n).to_pylist() for n in ("archive", "offset", "length"))):
+                rows.append(parse(bytes(files(path).read_at(length, offset))))
+                where.append((path, offset, length))
+                held += len(rows[-1]["payload"] or b"") + 500
+                if not payloads:
+                    rows[-1]["payload"], held = None, len(rows) * 500
+                if held >= HELD_BYTES:
+                    yield table(rows, where)
+                    rows, where, held = [], [], 0
+            if rows:
+                yield table(rows, where)
 
     spots = archives.select("archive").repartition("archive").mapInArrow(locate, "archive string, offset long, length long")
     blocks = spots.repartition("archive", F.floor(F.col("offset") / block_bytes)).sortWithinPartitions("archive", "offset")

@@ -68,7 +68,7 @@ def test_archive_without_index_and_zip64(tmp_path):
     for i, content in enumerate(both):
         other = tmp_path / f"b{i}.zip"
         other.write_bytes(content)
-        file = warc_zip._file(f"file://{tmp_path}", str(other))
+        file = warc_zip._Files(f"file://{tmp_path}")(str(other))
         archive = warc_zip.Archive(file, file.size())
         assert list(archive.members) == ["archive/one.warc"]
         got = [warc_zip.parse(archive.read(a, n)) for a, n in archive.ranges()]
@@ -78,6 +78,58 @@ def test_archive_without_index_and_zip64(tmp_path):
     assert not glob.glob(f"{tmp_path}/*.part")
 
 
+@pytest.mark.parametrize("index", ["indexes/index.cdx.gz", "indexes/index.cdxj", None, "partial.cdxj"])
+def test_gzipped_records_and_other_types(tmp_path, index):
+    import gzip
+    import json
+    import zipfile
+
+    info = b"WARC/1.1\r\nWARC-Type: warcinfo\r\nWARC-Record-ID: <urn:x>\r\nContent-Type: application/warc-fields\r\nContent-Length: 4\r\n\r\na: b\r\n\r\n"
+    made = [info] + [warc_zip.record(i, f"http://a.example/{i}", b"y" * i, warc_zip.base32_sha1(b"y" * i), 1, i == 7, "2024-01-01T00:00:00Z") for i in range(9)]
+    packed, at, lines = [gzip.compress(r) for r in made], 0, []
+    for r in packed:
+        lines.append(f"com,example)/ 20240101000000 {json.dumps({'offset': str(at), 'length': str(len(r)), 'filename': 'data.warc.gz'})}\n".encode())
+        at += len(r)
+    with zipfile.ZipFile(tmp_path / "a.zip", "w", zipfile.ZIP_STORED) as z:
+        z.writestr("archive/data.warc.gz", b"".join(packed))
+        if index == "partial.cdxj":  # names no record of the second member
+            z.writestr("archive/more.warc", made[2])
+        if index:
+            text = b"".join(lines)
+            z.writestr(index, gzip.compress(text[:50]) + gzip.compress(text[50:]) if index.endswith(".gz") else text)
+    file = warc_zip._Files(f"file://{tmp_path}")(str(tmp_path / "a.zip"))
+    archive = warc_zip.Archive(file, file.size())
+    got = [warc_zip.parse(archive.read(a, n)) for a, n in archive.ranges()]
+    assert [g["record_type"] for g in got[:10]] == ["warcinfo", *["response"] * 7, "revisit", "response"]
+    assert (got[0]["payload"], got[0]["payload_digest"], got[0]["page_id"]) == (b"a: b", None, None)
+    assert [(g["page_id"], g["payload_bytes"]) for g in got[1:10]] == [(i, i) for i in range(9)]
+    assert len(got) == 10 + (index == "partial.cdxj")
+
+
+def test_members_that_cannot_be_read_are_named(tmp_path):
+    import zipfile
+
+    with zipfile.ZipFile(tmp_path / "a.zip", "w", zipfile.ZIP_DEFLATED) as z:
+        z.writestr("archive/packed.warc", "x" * 100)
+    file = warc_zip._Files(f"file://{tmp_path}")(str(tmp_path / "a.zip"))
+    with pytest.raises(ValueError, match="packed.warc"):
+        list(warc_zip.Archive(file, file.size()).ranges())
+
+
+def test_index_lines_are_sorted_by_key(spark, tmp_path):
+    import zipfile
+
+    pages = [(1, "http://b.example/x y", "1"), (2, "https://A.example/?q=1", "2"), (3, "odd\nline", "3"), (4, None, "4")]
+    _, archives = records(spark, f"file://{tmp_path}/w", pages)
+    keys = []
+    for r in archives.collect():
+        with zipfile.ZipFile(r.archive) as z:
+            own = [line.split(" ")[:2] for line in z.read(warc_zip.INDEX).decode().splitlines()]
+            assert own == sorted(own)
+            keys += own
+    assert sorted(keys) == sorted([["example,b)/x%20y", "20240101000000"], ["example,a)/?q=1", "20240101000000"], ["odd%20line", "20240101000000"], ["-", "20240101000000"]])
+
+
 # Preferences
 
 TURNS = "pair_id long, turn long, role string, text string, extra string"
