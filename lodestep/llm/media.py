@@ -4,48 +4,64 @@ Images are binary portable greymaps (P5, 8 bits) in a column.  Corners are found
 at several scales by the Harris response; each gets an orientation from the
 intensity centroid around it, and a descriptor of 256 binary intensity tests in
 a pattern turned by that orientation.  Descriptors are entered into Hamming
-tables, each keyed by some of the bits.  Images that meet in a table's bucket
-match a pair of corners; each match proposes a similarity transform, and the
-matches of two images that agree on scale, rotation and shift, in bins that
-overlap by half, are candidates; enough of them that lie on one transform, no
-corner twice, and that are a share of the corners in the part that both images show,
-are a consensus and link the images.
-
-Images of equal bytes form a class, and only one of a class goes on.  All
-corners of a bucket meet each other, however many they are, so that links are
-all pairs of images with a consensus; the work grows with the square of crowded
-buckets.  Images are dealt into blocks, and tasks are pairs of blocks.
+tables, each keyed by some of the bits.  Images that meet in ``MEET`` buckets are
+compared: corners whose descriptors differ in at most ``NEAR`` bits match, each
+match proposes a similarity transform, and the matches that agree on scale,
+rotation and shift, in bins that overlap by half, are candidates; enough of them
+that lie on one transform, spread over more than a patch, no corner twice, and
+that are a share of the corners in the part that both images show, are a
+consensus and link the images.
+
+Images of equal bytes form a class, and only one of a class goes on.  A bucket is
+not expanded into pairs: first its images meet a pivot, the one of the least
+hash, which is the same in most buckets of a group of copies; the links make
+components, and only in buckets whose images lie in several components do those
+of different components meet, all of them.  So every two images that share
+``MEET`` buckets are either in one component or compared, however crowded the
+buckets are.  Only the work on buckets of many images that aren't copies grows
+with the square of their number; keys of ``BITS`` bits keep those small.
 
 A null, empty, broken or flat image has no corners and links with nothing but
-images of the same bytes, null excepted.  Rows of equal ids count as one image.
+images of the same bytes, null excepted.  Ids are whole numbers, others are
+refused.  Rows of equal ids count as one image; if they hold different ones, that
+of the least digest is compared for all.  Rows without an id get the component
+of an image with the same bytes, or null.  An empty table gives an empty one;
+images are read whole, ``STACK`` pixels at a time.
 """
 
 from __future__ import annotations
 
 import functools
+import hashlib
 import math
 import re
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType, NullType
 
 from .components import components
 from .session import Scratch, ensure_importable
 
 #: Scales; every corner of each is kept.
 LEVELS = (1.0, 0.75, 0.5)
-TABLES, BITS = 8, 24
+TABLES, BITS, MEET = 10, 48, 2
 #: Bits in which descriptors that match differ at most, and matches that must agree.
-NEAR, CONSENSUS = 24, 6
-#: Pixels, at the coarser of two corners' scales, that a match may lie off the transform of its consensus.
-OFF = 2.0
+NEAR, CONSENSUS = 32, 5
+#: Pixels, at the coarser of two corners' scales, that a match may lie off the transform of its consensus, and that it must spread over.
+OFF, WIDE = 2.0, 16.0
 #: Share of the corners in the part that two images have in common that must match, as chance matches grow with corners.
 SHARE = 0.25
-#: Blocks at least, corners of a block, pairs of corners that a task holds at once, and pixels of a stack.
-BLOCKS, BLOCK, PAIRS, STACK = 8, 1 << 18, 1 << 21, 1 << 21
-_REACH, _MARGIN = 7, 8
+#: Share of the corners of one of two images that must lie in the other, as a crop's do.
+WITHIN = 0.6
+#: Pairs of corners that are compared at once, pixels of a stack, and pairs of images in a batch.
+PAIRS, STACK, BATCH = 1 << 21, 1 << 20, 128
+#: Rows of a few numbers that are broadcast; beyond, they are joined by a shuffle.
+BROADCAST_ROWS = 500_000
+_REACH, _MARGIN = 9, 8
 _HEADER = re.compile(rb"P5\s+(?:#[^\n]*\n\s*)*(\d+)\s+(\d+)\s+(\d+)\s")
 
 
@@ -65,8 +81,8 @@ def encode(pixels: np.ndarray) -> bytes:
 
 @functools.lru_cache(maxsize=1)
 def _tests() -> np.ndarray:
-    """The 256 pairs of points (y, x, y, x), the same everywhere."""
-    return np.clip(np.random.RandomState(8).normal(0, 3.2, (256, 4)), -_REACH, _REACH)
+    """The 256 pairs of points (y, x, y, x), the same everywhere; evenly spread, so that their bits depend little on each other."""
+    return np.random.RandomState(8).uniform(-_REACH, _REACH, (256, 4))
 
 
 @functools.lru_cache(maxsize=1)
@@ -140,40 +156,57 @@ def describe(stack: np.ndarray) -> dict[str, np.ndarray]:
 
 
 def corners(images: DataFrame, id_: str = "image_id", image: str = "image") -> DataFrame:
-    """(id, n, places, descriptors): a row for each image with corners; x, y, size and angle as doubles, and 32 bytes, of each."""
+    """(id, digest, n, places, descriptors) of every row: SHA-256 of the bytes; x, y, size and angle as floats, and 32 bytes, of each corner."""
     ensure_importable(images.sparkSession)
 
     def find(batches):
         for pdf in batches:
-            pixels = [decode(b) for b in pdf["image"]]
+            held = [bytes(b) if b is not None else None for b in pdf["image"]]
             shapes: dict[tuple, list[int]] = {}
-            for i, p in enumerate(pixels):
-                if p is not None:
+            for i, b in enumerate(held):
+                if (p := decode(b)) is not None:
                     shapes.setdefault(p.shape, []).append(i)
+            n, places, packed = np.zeros(len(held), np.int64), [b""] * len(held), [b""] * len(held)
             for (h, w), rows in shapes.items():
-                step = max(1, min(256, STACK // (h * w)))
+                step = max(1, STACK // (h * w))
                 for j in range(0, len(rows), step):
                     part = rows[j : j + step]
-                    d = describe(np.stack([pixels[i] for i in part]))
-                    image = d["image"].astype(int)
-                    if not len(image):
-                        continue
-                    order = np.argsort(image, kind="stable")
-                    places = np.stack([d[k] for k in ("x", "y", "size", "angle")], axis=1)[order]
-                    packed = np.packbits(d["bits"].astype(bool), axis=1)[order]
-                    own, first, n = np.unique(image[order], return_index=True, return_counts=True)
-                    cut = [slice(f, f + k) for f, k in zip(first, n)]
-                    yield pd.DataFrame({"id": pdf["id"].to_numpy()[np.array(part)[own]], "n": n, "places": [places[c].tobytes() for c in cut], "descriptors": [packed[c].tobytes() for c in cut]})
+                    d = describe(np.stack([decode(held[i]) for i in part]))
+                    own = d["image"].astype(int)
+                    order = np.argsort(own, kind="stable")
+                    place = np.stack([d[k] for k in ("x", "y", "size", "angle")], axis=1).astype(np.float32)[order]
+                    bits = np.packbits(d["bits"].astype(bool), axis=1)[order]
+                    ends = np.searchsorted(own[order], np.arange(len(part) + 1))
+                    for i, a, b in zip(part, ends, ends[1:]):
+                        n[i], places[i], packed[i] = b - a, place[a:b].tobytes(), bits[a:b].tobytes()
+            digest = [hashlib.sha256(b).digest() if b is not None else None for b in held]
+            yield pd.DataFrame({"id": pdf["id"], "digest": digest, "n": n, "places": places, "descriptors": packed})
 
-    rows = images.select(F.col(id_).cast("long").alias("id"), F.col(image).alias("image")).where("id is not null")
-    return rows.mapInPandas(find, "id long, n long, places binary, descriptors binary")
+    rows = images.select(F.col(id_).cast("long").alias("id"), F.col(image).cast("binary").alias("image"))
+    return rows.mapInPandas(find, "id long, digest binary, n long, places binary, descriptors binary")
 
 
 def _keys(packed: np.ndarray) -> np.ndarray:
-    """The bucket of each descriptor in each table."""
+    """The bucket of each descriptor in each table, as numbers that differ from table to table."""
     bits = np.unpackbits(packed, axis=1)
     weights = 1 << np.arange(BITS, dtype=np.int64)
-    return np.stack([bits[:, chosen].astype(np.int64) @ weights for chosen in _chosen()])
+    return np.stack([(bits[:, chosen].astype(np.int64) @ weights) * TABLES + t for t, chosen in enumerate(_chosen())])
+
+
+def _entries(reps: DataFrame) -> DataFrame:
+    """(rep, key): the buckets of each image, once."""
+
+    def enter(batches):
+        for batch in batches:
+            reps_, keys = [], []
+            for rep, packed in zip(batch.column("rep").to_pylist(), batch.column("descriptors")):
+                own = np.unique(_keys(np.frombuffer(packed.as_buffer(), np.uint8).reshape(-1, 32)))
+                reps_.append(np.full(len(own), rep, np.int64))
+                keys.append(own)
+            if keys:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(reps_)), pa.array(np.concatenate(keys))], ["rep", "key"])
+
+    return reps.select("rep", "descriptors").mapInArrow(enter, "rep long, key long")
 
 
 def _joined(columns: list[np.ndarray]) -> np.ndarray:
@@ -201,7 +234,9 @@ def _on_one_transform(p: np.ndarray, q: np.ndarray, ours: np.ndarray, theirs: np
     """Whether a similarity through two of the matches (x, y, size, angle) takes enough corners p to their q, no corner twice.
 
     Enough are ``consensus``, and ``SHARE`` of all corners of either image
-    (``ours``, ``theirs``) that it takes into the other.
+    (``ours``, ``theirs``) that it takes into the other; they spread over
+    ``WIDE`` pixels, more than one patch; and it takes most of one image into the
+    other.
     """
     every, each = ours[:, 0] + 1j * ours[:, 1], theirs[:, 0] + 1j * theirs[:, 1]
     u, v = p[:, 0] + 1j * p[:, 1], q[:, 0] + 1j * q[:, 1]
@@ -214,8 +249,14 @@ def _on_one_transform(p: np.ndarray, q: np.ndarray, ours: np.ndarray, theirs: np
         turn = (v[other] - v[i]) / (u[other] - u[i])
         lies = np.abs(turn[:, None] * (u - u[i]) + v[i] - v) <= off
         for row in np.flatnonzero(lies.sum(axis=1) >= consensus):
-            most = min(_inside(turn[row] * (every - u[i]) + v[i], each), _inside((each - v[i]) / turn[row] + u[i], every)) if turn[row] else np.inf
-            if min(len(np.unique(n[lies[row]])) for n in names) >= max(consensus, SHARE * most):
+            if not turn[row]:
+                continue
+            shown = _inside(turn[row] * (every - u[i]) + v[i], each), _inside((each - v[i]) / turn[row] + u[i], every)
+            if shown[0] < WITHIN * len(every) and shown[1] < WITHIN * len(each):
+                continue
+            most, on = min(shown), lies[row]
+            wide = abs(complex(np.ptp(u[on].real), np.ptp(u[on].imag))) >= WIDE * min(p[on, 2].min(), q[on, 2].min())
+            if wide and min(len(np.unique(n[on])) for n in names) >= max(consensus, SHARE * most):
                 return True
     return False
 
@@ -248,100 +289,85 @@ def _agreeing(p: np.ndarray, q: np.ndarray, image: np.ndarray, places: np.ndarra
     return pairs[0], pairs[1]
 
 
-def _matches(rows: np.ndarray, others: np.ndarray, keys: np.ndarray, words: np.ndarray, image: np.ndarray, ids: np.ndarray, twice: bool) -> tuple[np.ndarray, np.ndarray]:
-    """(p, q) of all corners, of ``rows`` and of ``others``, that share a bucket and are near; p is of the lesser image.
-
-    ``others`` has for each table the corners in the order of their buckets.
-    ``twice``: rows are among the others, so that each pair would come from both.
-    """
+def _near(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of corners of two images, as words of descriptors, that match."""
     out = []
-    for table, by in enumerate(others):
-        theirs = keys[table][by]
-        low = np.searchsorted(theirs, keys[table][rows], "left")
-        n = np.searchsorted(theirs, keys[table][rows], "right") - low
-        ends = np.cumsum(n)
-        start = 0
-        while start < len(rows):
-            done = ends[start - 1] if start else 0
-            stop = max(start + 1, int(np.searchsorted(ends, done + PAIRS, "right")))
-            some = n[start:stop]
-            p = np.repeat(rows[start:stop], some)
-            q = by[np.arange(len(p)) + np.repeat(low[start:stop] - (ends[start:stop] - some - done), some)]
-            start = stop
-            apart = np.zeros(len(p), np.uint16)
-            for word in words:
-                apart += np.bitwise_count(word[p] ^ word[q])
-                keep = apart <= NEAR
-                p, q, apart = p[keep], q[keep], apart[keep]
-            a, b = ids[image[p]], ids[image[q]]
-            # a pair that shares several tables comes from the first
-            keep = (a < b if twice else a != b) & ~(keys[:table, p] == keys[:table, q]).any(axis=0)
-            p, q, swap = p[keep], q[keep], (a > b)[keep]
-            out.append(np.stack([np.where(swap, q, p), np.where(swap, p, q)]))
+    step = max(1, PAIRS // len(b))
+    for i in range(0, len(a), step):
+        x, y = np.nonzero(np.bitwise_count(a[i : i + step, None, :] ^ b[None, :, :]).sum(2, dtype=np.uint16) <= NEAR)
+        out.append(np.stack([x + i, y]))
     both = np.concatenate(out, axis=1)
     return both[0], both[1]
 
 
-def _links(found: DataFrame, parts: int, consensus: int) -> DataFrame:
-    """(a, b), a < b, of all images with so many matches that agree.
+def _verified(pairs: DataFrame, reps: DataFrame, consensus: int) -> DataFrame:
+    """Pairs (a, b) of images with a consensus."""
+
+    def check(batches):
+        for batch in batches:
+            for start in range(0, batch.num_rows, BATCH):
+                part = batch.slice(start, BATCH)
+                places, image, p, q, total = [], [], [], [], 0
+                for r, (pa_, da, pb, db) in enumerate(zip(*(part.column(c) for c in ("pa", "da", "pb", "db")))):
+                    a, b = (np.frombuffer(x.as_buffer(), np.uint64).reshape(-1, 4) for x in (da, db))
+                    x, y = _near(a, b)
+                    if len(np.unique(x)) < consensus or len(np.unique(y)) < consensus:
+                        continue
+                    places += [np.frombuffer(x_.as_buffer(), np.float32).reshape(-1, 4).astype(np.float64) for x_ in (pa_, pb)]
+                    image += [np.full(len(a), 2 * r), np.full(len(b), 2 * r + 1)]
+                    p.append(x + total)
+                    q.append(y + total + len(a))
+                    total += len(a) + len(b)
+                if p:
+                    first, _ = _agreeing(np.concatenate(p), np.concatenate(q), np.concatenate(image), np.concatenate(places), consensus)
+                    if len(first):
+                        yield part.select(["a", "b"]).take(pa.array(first // 2))
+
+    side = lambda c: reps.select(F.col("rep").alias(c), F.col("places").alias(f"p{c}"), F.col("descriptors").alias(f"d{c}"))
+    both = pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "pa", "da", "pb", "db")
+    return both.mapInArrow(check, "a long, b long")
 
-    Images are dealt into ``parts`` blocks, and two blocks, or one with itself,
-    meet in a task: it has all matches of its images at hand, so that matches
-    aren't shuffled, and no bucket is a single task however crowded it is.
-    """
 
-    def link(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("id", ignore_index=True)
-        ids, image = pdf["id"].to_numpy(), np.repeat(np.arange(len(pdf)), pdf["n"])
-        places = np.frombuffer(b"".join(pdf["places"]), np.float64).reshape(-1, 4)
-        packed = np.frombuffer(b"".join(pdf["descriptors"]), np.uint8).reshape(-1, 32)
-        keys, words = _keys(packed), np.ascontiguousarray(packed.view(np.uint64).T)
-        i, j = int(pdf["i"].iloc[0]), int(pdf["j"].iloc[0])
-        block = pdf["block"].to_numpy()[image]
-        rows, there = np.flatnonzero(block == i), np.flatnonzero(block == j)
-        others = [there[np.argsort(keys[t][there], kind="stable")] for t in range(TABLES)]
-        meet = np.zeros(len(rows), np.int64)
-        for t, by in enumerate(others):
-            theirs = keys[t][by]
-            meet += np.searchsorted(theirs, keys[t][rows], "right") - np.searchsorted(theirs, keys[t][rows], "left")
-        # whole images, as many as meet PAIRS corners
-        own, first = np.unique(image[rows], return_index=True)
-        edges, total = [0], np.cumsum(np.add.reduceat(meet, first)) if len(own) else np.zeros(0)
-        while edges[-1] < len(own):
-            done = total[edges[-1] - 1] if edges[-1] else 0
-            edges.append(max(edges[-1] + 1, int(np.searchsorted(total, done + PAIRS, "right"))))
-        first, out = np.append(first, len(rows)), []
-        for x, y in zip(edges, edges[1:]):
-            p, q = _matches(rows[first[x] : first[y]], others, keys, words, image, ids, i == j)
-            if len(p):
-                a, b = _agreeing(p, q, image, places, consensus)
-                out.append(pd.DataFrame({"a": ids[a], "b": ids[b]}))
-        return pd.concat(out) if out else pd.DataFrame({"a": ids[:0], "b": ids[:0]})
-
-    dealt = found.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(parts)))
-    met = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))).withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
-    return met.drop("other").groupBy("i", "j").applyInPandas(link, "a long, b long")
+def _few(rows: DataFrame) -> DataFrame:
+    """A written table of a few numbers a row, to be broadcast if it is small enough."""
+    return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
 
 
 def copies(images: DataFrame, id_: str = "image_id", image: str = "image", consensus: int = CONSENSUS) -> DataFrame:
-    """One row per row of ``images``: (id, n_corners, n_links, component_id), the component named by its least id."""
+    """One row per row of ``images``: (id, n_corners, component_id), the component named by its least id."""
+    if not isinstance(images.schema[id_].dataType, (IntegralType, NullType)):
+        raise TypeError(f"column {id_} isn't of whole numbers")
     scratch = Scratch(images.sparkSession, "media")
-    rows = images.select(F.col(id_).cast("long").alias("id"), F.col(image).cast("binary").alias("image")).withColumn("digest", F.sha2("image", 256))
-    classes = rows.groupBy("digest").agg(F.min("id").alias("rep")).where("digest is not null")
-    named = scratch.table(rows.select("id", "digest").join(classes, "digest", "left").withColumn("rep", F.coalesce("rep", "id")), "named")
-    first = rows.join(classes, (rows["digest"] == classes["digest"]) & (F.col("id") == F.col("rep"))).select("id", "image").dropDuplicates(["id"])
-    found = scratch.table(corners(first, "id"), "corners")
-    parts = max(BLOCKS, -(-(found.agg(F.sum("n")).first()[0] or 0) // BLOCK))
-    links = scratch.table(_links(found, parts, consensus), "links")
-    least = components(links, scratch, "copies").withColumnRenamed("node", "rep")
-    degree = links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("n_links"))
-    count = found.select(F.col("id").alias("rep"), F.col("n").alias("n_corners"))
-    out = named.join(least, "rep", "left").join(degree, "rep", "left").join(count, "rep", "left")
-    zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
-    return out.select(F.col("id").alias(id_), zero("n_corners"), zero("n_links"), F.coalesce("least", "rep").alias("component_id"))
-
-
-def rendered(vector: Column, side: int = 8, zoom: int = 8) -> Column:
+    found = scratch.table(corners(images, id_, image), "corners")
+    classes = scratch.table(found.where("digest is not null").groupBy("digest").agg(F.min("id").alias("rep")), "classes")
+    one = scratch.table(classes.where("rep is not null").groupBy("rep").agg(F.min("digest").alias("digest")), "one")
+    reps = found.where("n > 0").withColumnRenamed("id", "rep").join(_few(one), ["rep", "digest"]).dropDuplicates(["rep"])
+    reps = scratch.table(reps.select("rep", "places", "descriptors"), "reps")
+
+    entries = _entries(reps)
+    lists = entries.groupBy("key").agg(F.count("*").alias("members"), F.min(F.struct(F.xxhash64("rep").alias("h"), "rep")).alias("p")).where("members > 1")
+    lists = scratch.table(lists.select("key", F.col("p.rep").alias("pivot")), "lists")
+    shared = scratch.table(entries.join(_few(lists), "key"), "shared")
+    often = lambda met, a, b: met.groupBy(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).agg(F.count("*").alias("buckets")).where(F.col("buckets") >= MEET).select("a", "b")
+    tested = scratch.table(often(shared.where("rep <> pivot"), "rep", "pivot"), "pairs")
+    first = scratch.table(_verified(tested, reps, consensus), "first")
+
+    stars = scratch.table(components(first, scratch, "one").withColumnRenamed("node", "rep"), "stars")
+    member = scratch.table(shared.join(_few(stars), "rep", "left").select("rep", "key", F.coalesce("least", "rep").alias("least")), "member")
+    torn = scratch.table(member.groupBy("key").agg(F.min("least").alias("low"), F.max("least").alias("high")).where("low < high").select("key"), "torn")
+    open_ = scratch.table(member.join(_few(torn), "key"), "open")
+    x, y = open_.alias("x"), open_.alias("y")
+    across = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.rep") < F.col("y.rep")) & (F.col("x.least") != F.col("y.least")))
+    across = scratch.table(often(across, "x.rep", "y.rep").join(tested, ["a", "b"], "left_anti"), "across")
+    links = first.unionByName(scratch.table(_verified(across, reps, consensus), "second"))
+
+    least = components(links, scratch, "two").withColumnRenamed("node", "rep")
+    # rows of one id go together, whatever their bytes
+    out = found.select("id", "digest", "n").join(classes.withColumnRenamed("rep", "same"), "digest", "left").withColumn("rep", F.coalesce("same", "id"))
+    return out.join(least, "rep", "left").select(F.col("id").alias(id_), F.col("n").alias("n_corners"), F.coalesce("least", "rep").alias("component_id"))
+
+
+def rendered(vector: Column, side: int = 8, zoom: int = 5) -> Column:
     """A greymap of a vector: its first ``side`` squared numbers as a square, enlarged with smooth steps."""
 
     @F.pandas_udf("binary")

@@ -169,14 +169,12 @@ def test_copies(spark):
     assert media.copies(df.where("false")).count() == 0
 
 
-@pytest.mark.parametrize("block", [None, 60])
-def test_all_copies_of_a_crowded_bucket_are_linked(spark, block, monkeypatch):
-    if block:
-        monkeypatch.setattr(media, "BLOCKS", 1)
-        monkeypatch.setattr(media, "BLOCK", block)
+@pytest.mark.parametrize("broadcast", [500_000, 0])
+def test_all_copies_of_a_crowded_bucket_are_linked(spark, broadcast, monkeypatch):
+    monkeypatch.setattr(media, "BROADCAST_ROWS", broadcast)
     rows = [(i, media.encode(np.clip(picture(1) * (1 - i / 50) + i, 0, 255))) for i in range(14)] + [(20 + i, media.encode(picture(20 + i))) for i in range(4)]
-    got = {r.image_id: (r.component_id, r.n_links) for r in media.copies(spark.createDataFrame(rows, "image_id long, image binary")).collect()}
-    assert got == {i: (0, 13) for i in range(14)} | {i: (i, 0) for i in range(20, 24)}
+    got = {r.image_id: r.component_id for r in media.copies(spark.createDataFrame(rows, "image_id long, image binary")).collect()}
+    assert got == {i: 0 for i in range(14)} | {i: i for i in range(20, 24)}
 
 
 def test_crops_of_half_and_a_quarter(spark):
@@ -188,6 +186,51 @@ def test_crops_of_half_and_a_quarter(spark):
     assert got == {i: i // 10 * 10 for i, _ in rows}
 
 
+def test_one_patch_is_no_copy(spark):
+    """The same tiles in another order share corners, and no transform."""
+    tiles = [picture(80 + i, side=5, zoom=8) for i in range(9)]
+    r, orders, rows = random.Random(2), [], []
+    moved = lambda x, y: [complex(*divmod(y.index(k), 3)) - complex(*divmod(x.index(k), 3)) for k in range(9)]
+    while len(orders) < 4:  # no two tiles move alike
+        order = r.sample(range(9), 9)
+        if all(len(set(moved(order, x))) == 9 for x in orders):
+            orders.append(order)
+    for i, order in enumerate(orders):
+        a = np.concatenate([np.concatenate([tiles[k] for k in order[j : j + 3]], axis=1) for j in (0, 3, 6)])
+        rows += [(10 * i, media.encode(a)), (10 * i + 1, media.encode(np.clip(a * 0.9 + 10, 0, 255)))]
+    got = {x.image_id: x.component_id for x in media.copies(spark.createDataFrame(rows, "image_id long, image binary")).collect()}
+    assert all(got[i] == i // 10 * 10 for i, _ in rows), got
+
+
+def test_recall_of_edits_against_brute_force(spark):
+    """Brightened, blurred, noisy, cropped and turned copies: those that comparing all images finds, nine in ten of the planted ones, and no others."""
+    noise, rows, planted = np.random.RandomState(5), [], set()
+    for i in range(30):
+        a = picture(200 + i, side=10, zoom=9).astype(float)
+        edits = [a, a * 0.7 + 30, media._smooth(a[None])[0], a + noise.normal(0, 6, a.shape), a[9:, 5:], np.rot90(a, i % 4)]
+        rows += [(10 * i + k, media.encode(np.ascontiguousarray(np.clip(np.rint(x), 0, 255)))) for k, x in enumerate(edits)]
+        planted |= {(10 * i, 10 * i + k) for k in range(1, 6)}
+    df = spark.createDataFrame(rows, "image_id long, image binary")
+    reps = media.corners(df).where("n > 0").withColumnRenamed("id", "rep").cache()
+    every = reps.select(F.col("rep").alias("a")).join(reps.select(F.col("rep").alias("b")), F.col("a") < F.col("b"))
+    brute = {(r.a, r.b) for r in media._verified(every, reps, media.CONSENSUS).collect()}
+    assert all(a // 10 == b // 10 for a, b in brute)
+    got = {r.image_id: r.component_id for r in media.copies(df).collect()}
+    assert all(got[i] // 10 == i // 10 for i in got)
+    assert len({i for i in got if got[i] != i // 10 * 10}) <= 0.1 * len(got)
+    assert sum(got[a] == got[b] for a, b in brute) >= 0.9 * len(brute) and len(planted & brute) >= 0.9 * len(planted)
+
+
+def test_image_rows_without_ids_and_of_one_id(spark):
+    a, b = media.encode(picture(1)), media.encode(picture(2))
+    df = spark.createDataFrame([(5, a), (None, a), (None, b), (7, a), (7, b), (8, b), (None, None), (9, a), (9, a)], "image_id long, image binary").withColumn("digest", F.lit("clash")).withColumn("rep", F.lit(0))
+    got = media.copies(df).collect()
+    assert len(got) == 9 and {r.component_id for r in got if r.image_id in (5, 9)} == {5}
+    assert sorted({r.component_id for r in got if r.image_id is None}, key=str) in ([5, 7, None], [5, None])
+    with pytest.raises(TypeError, match="whole numbers"):
+        media.copies(df.withColumn("image_id", F.lit("x")))
+
+
 def test_components(spark):
     r = random.Random(1)
     edges = [(r.randrange(60), r.randrange(60)) for _ in range(45)] + [(100, i) for i in range(101, 140)] + [(7, 7)]
