@@ -12,7 +12,9 @@ like length share one array of trees, so that each step is a few array
 operations for thousands of trees.  Pre-tokens of more than ``WIDE`` bytes have
 a tree of their own.
 
-Null text counts as empty text and gives no ids.
+Null and empty text gives no ids and decodes to no bytes; an empty table gives an
+empty one; repeated rows are coded each.  Every pre-token of a text is coded,
+however long text and pre-token are.
 """
 
 from __future__ import annotations
@@ -32,18 +34,23 @@ from .session import ensure_importable
 
 #: Longest pre-token, in bytes, that is merged in an array of trees.
 WIDE = 64
-#: Pre-tokens whose ids a worker remembers; all are forgotten when there are more.
-REMEMBERED = 250_000
-#: Trees merged at once, so that their arrays stay within a few MB.
-TREES = 20_000
+#: Pre-tokens of a generation that a worker remembers; it keeps two, and a word that is met again moves to the newer one.
+REMEMBERED = 120_000
+#: Pre-tokens of texts that are encoded together, and bytes of trees that are merged at once.
+TOGETHER, TREE_BYTES = 60_000, 1 << 18
 
 _NO_PAIR = np.int64(1) << 62
 #: Above every key of a tree that is one of many: rank * WIDE + position must stay below.
 _NONE = np.int32(2**31 - 1)
 
 
-def _narrow(pattern: str, top: int) -> str | None:
-    """``pattern`` for text of code points below ``top``, or None if it can't be derived.
+# Fixed value: the pre-token pattern that the standard library's matcher can take over.
+_CONTRACTIONS = ("s", "t", "re", "ve", "m", "ll", "d")
+KNOWN_PATTERN = "|".join(f"'{c}" for c in _CONTRACTIONS) + r"| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
+
+def _narrow(top: int) -> str:
+    """``KNOWN_PATTERN`` for text of code points below ``top``.
 
     Classes become plain ranges, which the standard library's matcher looks up
     in a table.  Branches that begin with different characters commute: words,
@@ -56,10 +63,7 @@ def _narrow(pattern: str, top: int) -> str | None:
         return "".join(f"\\u{a:04x}-\\u{b:04x}" for a, b in zip([i for i in inside if i - 1 not in inside], ends))
 
     letter, digit, space = (ranges(k) for k in (r"\p{L}", r"\p{N}", r"\s"))
-    plain = re.sub(r"^'s\|'t\|'re\|'ve\|'m\|'ll\|'d\| \?\\p{L}\+\|", r" ?\\p{L}+|'(?:s|t|re|ve|m|ll|d)|", pattern)
-    plain = plain.replace(r"[^\s\p{L}\p{N}]", f"[^{space}{letter}{digit}]").replace(r"\S", f"[^{space}]")
-    plain = plain.replace(r"\p{L}", f"[{letter}]").replace(r"\p{N}", f"[{digit}]").replace(r"\s", f"[{space}]")
-    return None if re.search(r"\\[pPsSwWdDbB]", plain) else plain
+    return f" ?[{letter}]+|'(?:{'|'.join(_CONTRACTIONS)})| ?[{digit}]+| ?[^{space}{letter}{digit}]+|[{space}]+(?![^{space}])|[{space}]+"
 
 
 class Codec:
@@ -68,8 +72,10 @@ class Codec:
     def __init__(self, ranks_path: str, pattern: str):
         with open(ranks_path, "rb") as f:
             self.ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
-        self.split_any = regex.compile(pattern).findall
-        self.narrow = [re.compile(p).findall if (p := _narrow(pattern, top)) else self.split_any for top in (0x80, 0x100)]
+        found = regex.compile(pattern)
+        # a whole match is a pre-token, whatever groups the pattern has
+        self.split_any = found.findall if not found.groups else lambda text: [m.group() for m in found.finditer(text)]
+        self.narrow = [re.compile(_narrow(top)).findall for top in (0x80, 0x100)] if pattern == KNOWN_PATTERN else None
         self.bytes_of = [b""] * (max(self.ranks.values()) + 1)
         for token, rank in self.ranks.items():
             self.bytes_of[rank] = token
@@ -83,9 +89,12 @@ class Codec:
         self.pair_key = np.array([k for k, _ in pairs] + [_NO_PAIR], np.int64)
         self.pair_rank = np.array([r for _, r in pairs] + [0], np.int32)
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def split(self, text: str) -> list[str]:
         """Pre-tokens of a text."""
+        if self.narrow is None:
+            return self.split_any(text)
         if text.isascii():
             return self.narrow[0](text)
         try:
@@ -205,8 +214,9 @@ class Codec:
             else:
                 wide.setdefault(1 << (len(raw) - 1).bit_length(), []).append((word, raw))
         for leaves, group in wide.items():
-            for i in range(0, len(group), TREES):
-                part = group[i : i + TREES]
+            trees = max(1, TREE_BYTES // leaves)
+            for i in range(0, len(group), trees):
+                part = group[i : i + trees]
                 self.known.update(zip((w for w, _ in part), self._merge_together([r for _, r in part], leaves)))
 
     def encode(self, texts: list[str]) -> list[bytes]:
@@ -217,13 +227,14 @@ class Codec:
         for i, text in enumerate(texts):
             part.append(self.split(text))
             size += len(part[-1])
-            if size >= REMEMBERED // 2 or i == len(texts) - 1:
-                new = {w for words in part for w in words if w not in self.known}
-                if len(self.known) + len(new) > REMEMBERED:
-                    self.known.clear()
-                    new = {w for words in part for w in words}
-                self.learn(new)
+            if size >= TOGETHER or i == len(texts) - 1:
+                new = set().union(*part) - self.known.keys()
+                for word in new & self.older.keys():
+                    self.known[word] = self.older[word]
+                self.learn(new - self.older.keys())
                 out += [b"".join(map(self.known.__getitem__, words)) for words in part]
+                if len(self.known) > REMEMBERED:
+                    self.known, self.older = {}, self.known
                 part, size = [], 0
         return out
 
@@ -232,7 +243,7 @@ class Codec:
         return b"".join(map(self.bytes_of.__getitem__, np.frombuffer(packed, "<u4").tolist()))
 
 
-@functools.lru_cache(maxsize=4)
+@functools.lru_cache(maxsize=1)
 def codec(ranks_path: str, pattern: str) -> Codec:
     """The worker's codec; it is built once and kept for later tasks."""
     return Codec(ranks_path, pattern)
@@ -268,3 +279,30 @@ def decode(df: DataFrame, ranks_path: str, pattern: str, ids: str = "ids", out:
     """Add column ``out`` with the bytes that packed ids stand for; null ids give null."""
     ensure_importable(df.sparkSession)
     return df.withColumn(out, decode_column(df[ids], ranks_path, pattern))
+
+
+def round_trip(df: DataFrame, ranks_path: str, pattern: str, text: str = "text", ids: str = "ids", decoded: str | None = "decoded", intact: str | None = None) -> DataFrame:
+    """Add the packed ids of a text, the bytes that they decode to, and whether these are the text's; columns of those names are replaced.
+
+    The same as ``encode`` and then ``decode``, but each text is encoded once and
+    crosses to Python once.  Without ``decoded`` its bytes, as large as the
+    text, stay in the worker.
+    """
+    ensure_importable(df.sparkSession)
+    back = decoded is not None
+
+    @F.pandas_udf("struct<ids:binary,decoded:binary,intact:boolean>")
+    def both_ways(s: pd.Series) -> pd.DataFrame:
+        own = codec(ranks_path, pattern)
+        texts = s.fillna("").tolist()
+        packed = own.encode(texts)
+        plain, same = [], []
+        for t, p in zip(texts, packed):
+            bytes_ = own.decode(p)
+            same.append(bytes_ == t.encode("utf-8", "surrogatepass"))
+            plain.append(bytes_ if back else None)
+        return pd.DataFrame({"ids": pd.Series(packed, dtype=object), "decoded": pd.Series(plain, dtype=object), "intact": pd.Series(same, dtype=bool)})
+
+    coded = both_ways(df[text])
+    new = {ids: coded["ids"]} | ({decoded: coded["decoded"]} if back else {}) | ({intact: coded["intact"]} if intact else {})
+    return df.withColumns(new)

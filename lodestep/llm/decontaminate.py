@@ -14,13 +14,19 @@ benchmark's.  Each window belongs to the first group that starts inside it, so
 none is made twice.
 
 The hash sets are broadcast while the benchmark has at most ``broadcast_words``
-words, else they are joined by a shuffle.  Hits are found per text, by digest,
-so copies of a text cost one lookup at the end; a digest that a large part of
-the documents share is spread by Spark's skew handling of the join.
+words, else they are joined by a shuffle.  Items of few words give windows, and
+so groups, of other lengths; the groups of all lengths come from one pass over
+the documents.  Hits are found per text, by digest, and are broadcast to the
+documents while they take at most ``HIT_BYTES``, so that documents aren't
+shuffled and a digest that many share is no hot key; beyond, Spark's skew
+handling of the join spreads it.
 
 Null and empty texts have no words and no hits; null items and items without
 words have no windows; repeated item ids count once; a null item id has no name
-and isn't listed, though its windows hit.
+and isn't listed, though its windows hit.  Without documents or without items
+nothing is hit.  Repeated rows are marked, or removed, alike.  Whole texts are
+looked up, however long.  Columns keep their values whatever their names, but for
+those that a function says it adds.
 """
 
 from __future__ import annotations
@@ -28,7 +34,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .session import Scratch
+from .session import Scratch, unused
 
 # What lies between words, and the letters that are lower-cased.
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]++"
@@ -38,6 +44,8 @@ SIZE = 10
 BROADCAST_WORDS = 1_000_000
 #: Digests of texts to be removed (16 bytes each) that are broadcast; beyond, texts are joined by a shuffle.
 BROADCAST_DIGESTS = 1_000_000
+#: Bytes of hits (spans and item names by text) that are broadcast.
+HIT_BYTES = 64 << 20
 
 
 def normalised(text: Column) -> Column:
@@ -94,32 +102,30 @@ def occurrences(
     side = F.broadcast if small else lambda df: df
     # no filter on computed columns here: it would be pushed down and normalise each text once more
     base = docs.select(normalised(F.col(text)).alias("norm")).select(F.unhex(F.md5("norm")).alias("digest"), word_count(F.col("norm")).alias("n_words"), "norm")
-    parts = []
-    for n in sorted(lengths):
-        q = (n + 1) // 2
-        own = bench.where(F.col("n") == n).select("item", "run")
-        grams = own.select(F.explode(_runs(F.split("run", " "), F.lit(n), q)).alias("gram")).distinct()
-        found = (
-            base.withColumn("groups", _groups(F.col("norm"), q))
-            .select("digest", "n_words", "groups", F.posexplode_outer("groups").alias("g", "gram"))
-            .join(side(grams), "gram", "left_semi")
-        )
-        # the windows whose first whole group is g: they start at most q - 1 words before it
-        first = F.greatest(F.col("g") * q - (q - 1), F.lit(0))
-        last = F.least(F.col("g") * q, F.col("n_words").cast("int") - n)
-        around = F.split(F.array_join(F.slice("groups", F.greatest(F.col("g"), F.lit(1)), F.when(F.col("g") == 0, 2).otherwise(3)), " "), " ")
-        tried = (
-            found.where(last >= first)
-            .select("digest", "n_words", F.greatest((F.col("g") - 1) * q, F.lit(0)).alias("base"), around.alias("around"), F.explode(F.sequence(first, last)).alias("start"))
-            .select("digest", "n_words", "start", _run(F.col("around"), F.col("start") - F.col("base"), n).alias("run"))
-        )
-        parts.append(tried.join(side(own), "run").select("digest", "n_words", "item", "start", F.lit(n).alias("n")))
-    if not parts:
+    if not lengths:
         return base.where("false").select("digest", "n_words", F.lit(None).cast(benchmark.schema[item].dataType).alias("item"), F.lit(0).alias("start"), F.lit(0).alias("n"))
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+    half = F.floor((F.col("n") + 1) / 2).cast("int")
+    words = F.split("run", " ")
+    grams = bench.select("n", half.alias("q"), F.explode(_runs(words, F.size(words), half)).alias("gram")).groupBy("q", "gram").agg(F.collect_set("n").alias("ns"))
+    cuts = F.array(*(F.struct(F.lit(q).alias("q"), _groups(F.col("norm"), q).alias("groups")) for q in sorted({(n + 1) // 2 for n in lengths})))
+    found = (
+        base.select("digest", "n_words", F.explode(cuts).alias("cut"))
+        .select("digest", "n_words", "cut.q", "cut.groups")
+        .select("digest", "n_words", "q", "groups", F.posexplode_outer("groups").alias("g", "gram"))
+        .join(side(grams), ["q", "gram"])
+        .select("digest", "n_words", "q", "groups", "g", F.explode("ns").alias("n"))
+    )
+    # the windows whose first whole group is g: they start at most q - 1 words before it
+    q, g, n = F.col("q"), F.col("g"), F.col("n")
+    first = F.greatest(g * q - (q - 1), F.lit(0))
+    last = F.least(g * q, F.col("n_words").cast("int") - n)
+    around = F.split(F.array_join(F.slice("groups", F.greatest(g, F.lit(1)), F.when(g == 0, 2).otherwise(3)), " "), " ")
+    tried = (
+        found.where(last >= first)
+        .select("digest", "n_words", "n", F.greatest((g - 1) * q, F.lit(0)).alias("base"), around.alias("around"), F.explode(F.sequence(first, last)).alias("start"))
+        .select("digest", "n_words", "n", "start", _run(F.col("around"), F.col("start") - F.col("base"), F.col("n")).alias("run"))
+    )
+    return tried.join(side(bench), ["n", "run"]).select("digest", "n_words", "item", "start", "n")
 
 
 def _covered(spans: Column) -> Column:
@@ -133,50 +139,71 @@ def _covered(spans: Column) -> Column:
     )
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, size: int = SIZE, text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
-    """``docs`` with n_words, n_hit, hit_items (item ids sorted as strings) and hit_spans ((start, end) in words, sorted).
+ADDED = ("n_words", "n_hit", "hit_items", "hit_spans")
 
-    One row per row of ``docs``; columns of those names are replaced.
-    """
+
+def _marked(docs: DataFrame, benchmark: DataFrame, names: list[str], size: int, text: str, item: str, item_text: str) -> DataFrame:
+    """``docs`` with what ``contamination`` adds, as columns ``names``, none of which ``docs`` has."""
+    n_words, n_hit, hit_items, hit_spans = names
+    digest, norm = unused(docs.withColumns({n: F.lit(None) for n in names}), "digest", "norm")
     # the hits of one text are bounded by its length and the benchmark's items
     per_text = (
         occurrences(docs, benchmark, size, text, item, item_text)
-        .groupBy(F.col("digest").alias("_digest"))
+        .groupBy(F.col("digest").alias(digest))
         .agg(
-            F.array_sort(F.collect_set(F.struct("start", (F.col("start") + F.col("n")).alias("end")))).alias("hit_spans"),
-            F.array_sort(F.collect_set(F.col("item").cast("string"))).alias("hit_items"),
+            F.array_sort(F.collect_set(F.struct("start", (F.col("start") + F.col("n")).alias("end")))).alias(hit_spans),
+            F.array_sort(F.collect_set(F.col("item").cast("string"))).alias(hit_items),
         )
     )
-    norm = normalised(F.col(text))
-    out = docs.drop("n_words", "n_hit", "hit_items", "hit_spans")
-    out = out.withColumn("_norm", norm).withColumn("_digest", F.unhex(F.md5("_norm"))).withColumn("n_words", word_count(F.col("_norm"))).drop("_norm")
-    return out.join(per_text, "_digest", "left").drop("_digest").withColumn("n_hit", F.coalesce(_covered(F.col("hit_spans")), F.lit(0)).cast("long")).withColumn("hit_items", F.coalesce("hit_items", F.array().cast("array<string>")))
+    per_text = Scratch(docs.sparkSession, "hits").table(per_text, "texts")
+    weight = F.lit(64) + 8 * F.size(hit_spans) + 16 * F.size(hit_items) + F.length(F.array_join(hit_items, ""))
+    if (per_text.agg(F.sum(weight)).first()[0] or 0) <= HIT_BYTES:
+        per_text = F.broadcast(per_text)
+    keyed = docs.withColumn(norm, normalised(F.col(text))).withColumns({digest: F.unhex(F.md5(norm)), n_words: word_count(F.col(norm))}).drop(norm)
+    return (
+        keyed.join(per_text, digest, "left")
+        .withColumns({n_hit: F.coalesce(_covered(F.col(hit_spans)), F.lit(0)).cast("long"), hit_items: F.coalesce(hit_items, F.array().cast("array<string>"))})
+        .select(*docs.columns, *names)
+    )
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, size: int = SIZE, text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
+    """``docs`` with n_words, n_hit, hit_items (item ids sorted as strings) and hit_spans ((start, end) in words, sorted; null without hits).
+
+    One row per row of ``docs``; columns of those names are replaced.  The hits
+    are computed, and written, when this is called.
+    """
+    names = unused(docs, *ADDED)
+    found = _marked(docs, benchmark, names, size, text, item, item_text)
+    return found.select(*(c for c in docs.columns if c.lower() not in ADDED), *(F.col(n).alias(a) for n, a in zip(names, ADDED)))
 
 
 def remove_documents(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """``docs`` without the rows that hold a window of the benchmark."""
     text = options.get("text", "text")
-    hit = occurrences(docs, benchmark, **options).select(F.col("digest").alias("_digest")).distinct()
+    (digest,) = unused(docs, "digest")
+    hit = occurrences(docs, benchmark, **options).select(F.col("digest").alias(digest)).distinct()
     hit = Scratch(docs.sparkSession, "hits").table(hit, "digests")
     if hit.count() <= BROADCAST_DIGESTS:  # so the texts stay where they are
         hit = F.broadcast(hit)
-    keyed = docs.withColumn("_digest", F.unhex(F.md5(normalised(F.col(text)))))
-    return keyed.join(hit, "_digest", "left_anti").select(*docs.columns)
+    keyed = docs.withColumn(digest, F.unhex(F.md5(normalised(F.col(text)))))
+    return keyed.join(hit, digest, "left_anti").select(*docs.columns)
 
 
-def remove_spans(docs: DataFrame, benchmark: DataFrame, size: int = SIZE, text: str = "text", mark: str = " ", **options) -> DataFrame:
+def remove_spans(docs: DataFrame, benchmark: DataFrame, size: int = SIZE, text: str = "text", mark: str = " ", item: str = "item_id", item_text: str = "text") -> DataFrame:
     """``docs`` with every hit word, and what stands between hit neighbours, replaced by ``mark``; texts without hits stay as they are."""
-    found = contamination(docs, benchmark, size, text, **options)
-    words = F.regexp_extract_all(F.col(text), F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]++"), 0)
-    gaps = F.split(F.col(text), r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]++")
-    inside = lambda i: F.exists("hit_spans", lambda s: (s["start"] <= i) & (i < s["end"]))
+    names = unused(docs, *ADDED)
+    found = _marked(docs, benchmark, names, size, text, item, item_text)
+    words, gaps = unused(found, "words", "gaps")
+    word = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]++"
+    inside = lambda i: F.exists(names[3], lambda s: (s["start"] <= i) & (i < s["end"]))
     kept = F.transform(
-        "_words",
+        words,
         lambda w, i: F.concat(
             F.when(inside(i), F.when(inside(i + 1), F.lit("")).otherwise(F.lit(mark))).otherwise(w),
-            F.when(inside(i) & inside(i + 1), F.lit("")).otherwise(F.element_at("_gaps", i + 2)),
+            F.when(inside(i) & inside(i + 1), F.lit("")).otherwise(F.element_at(gaps, i + 2)),
         ),
     )
-    cleaned = found.withColumn("_words", words).withColumn("_gaps", gaps)
-    rebuilt = F.concat(F.element_at("_gaps", 1), F.array_join(kept, ""))
-    return cleaned.withColumn(text, F.when(F.col("n_hit") > 0, rebuilt).otherwise(F.col(text))).select(*docs.columns)
+    cut = found.withColumns({words: F.regexp_extract_all(F.col(text), F.lit(word), 0), gaps: F.split(F.col(text), word)})
+    rebuilt = F.concat(F.element_at(gaps, 1), F.array_join(kept, ""))
+    return cut.withColumn(text, F.when(F.col(names[1]) > 0, rebuilt).otherwise(F.col(text))).select(*docs.columns)

@@ -8,7 +8,9 @@ exclusive.
 
 A null role or text counts as empty.  Turns go by number, nulls first, ties by
 role and text, and repeated turns stay.  If one conversation is a prefix of the
-other, or they are equal, its completion is empty and has no spans.
+other, or they are equal, its completion is empty and has no spans.  A null
+conversation counts as one without turns.  Repeated pairs give repeated rows, an
+empty table an empty one; texts are rendered whole.
 """
 
 from __future__ import annotations
@@ -16,6 +18,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .session import unused
+
 # How a turn is rendered.
 OPEN, HEAD_END, CLOSE = "<|", "|>\n", "<|end|>\n"
 TRAINED = "assistant"
@@ -54,32 +58,37 @@ def trained_spans(turns: Column) -> Column:
     return F.aggregate(turns, start, step, lambda s: s["spans"])
 
 
+OUTPUTS = ("n_prompt_turns", "prompt", "chosen_text", "chosen_spans", "rejected_text", "rejected_spans")
+
+
 def format_pairs(pairs: DataFrame, chosen: str = "chosen", rejected: str = "rejected") -> DataFrame:
-    """Replace two columns of turns by prompt, n_prompt_turns, and text and spans of either completion."""
-    keep = [c for c in pairs.columns if c not in (chosen, rejected)]
-    n = common_turns(F.col(chosen), F.col(rejected))
-    rest = lambda c: F.slice(c, F.col("n_prompt_turns") + 1, F.greatest(F.size(c), F.lit(1)))
+    """Replace two columns of turns by ``OUTPUTS``; other columns of those names are replaced too."""
+    keep = [F.col(f"`{c}`") for c in pairs.columns if c not in (chosen, rejected) and c.lower() not in OUTPUTS]
+    none = F.array().cast("array<struct<role:string,text:string>>")
+    a, b = (F.coalesce(F.col(c), none) for c in (chosen, rejected))
+    names = unused(pairs, "n", "a", "b")
+    n, first, second = map(F.col, names)
+    rest = lambda c: F.slice(c, n + 1, F.greatest(F.size(c), F.lit(1)))
     return (
-        pairs.withColumn("n_prompt_turns", n)
-        .withColumn("_a", rest(chosen))
-        .withColumn("_b", rest(rejected))
+        pairs.withColumn(names[0], common_turns(a, b))
+        .withColumns({names[1]: rest(a), names[2]: rest(b)})
         .select(
             *keep,
-            F.col("n_prompt_turns").cast("long").alias("n_prompt_turns"),
-            render(F.slice(F.col(chosen), 1, F.col("n_prompt_turns"))).alias("prompt"),
-            render(F.col("_a")).alias("chosen_text"),
-            trained_spans(F.col("_a")).alias("chosen_spans"),
-            render(F.col("_b")).alias("rejected_text"),
-            trained_spans(F.col("_b")).alias("rejected_spans"),
+            n.cast("long").alias("n_prompt_turns"),
+            render(F.slice(a, F.lit(1), n)).alias("prompt"),
+            render(first).alias("chosen_text"),
+            trained_spans(first).alias("chosen_spans"),
+            render(second).alias("rejected_text"),
+            trained_spans(second).alias("rejected_spans"),
         )
     )
 
 
 def pair(chosen: DataFrame, rejected: DataFrame, key: str = "pair_id", **columns: str) -> DataFrame:
     """Formatted pairs of two tables of turns that share ``key``; keys of only one table have no pair, null keys match."""
-    a = conversations(chosen, key, **columns).select(F.col(key), F.col("turns").alias("chosen"))
-    b = conversations(rejected, key, **columns).select(F.col(key).alias("_key"), F.col("turns").alias("rejected"))
-    return format_pairs(a.join(b, F.col(key).eqNullSafe(F.col("_key"))).drop("_key"))
+    a = conversations(chosen, key, **columns).select(F.col(key).alias("k"), F.col("turns").alias("chosen"))
+    b = conversations(rejected, key, **columns).select(F.col(key).alias("other"), F.col("turns").alias("rejected"))
+    return format_pairs(a.join(b, F.col("k").eqNullSafe(F.col("other"))).drop("other")).withColumnRenamed("k", key)
 
 
 def curt(turns: Column) -> Column:

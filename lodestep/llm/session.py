@@ -6,6 +6,7 @@ import atexit
 import gc
 import os
 import tempfile
+import time
 import uuid
 from pathlib import Path
 
@@ -13,9 +14,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Arrow batches of Python steps where the session leaves Spark's own: (setting, Spark's default, ours).
 BATCHES = (
-    ("spark.sql.execution.arrow.maxRecordsPerBatch", "10000", "2000"),
-    ("spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", "8388608b"),
+    ("spark.sql.execution.arrow.maxRecordsPerBatch", "10000", "1000"),
+    ("spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", "4194304b"),
 )
+#: Environment of Python workers, so that they give memory back: one heap, large blocks of their own, and Arrow without a pool.
+MEMORY = {"MALLOC_ARENA_MAX": "1", "MALLOC_MMAP_THRESHOLD_": "262144", "MALLOC_TRIM_THRESHOLD_": "1048576", "ARROW_DEFAULT_MEMORY_POOL": "system"}
+#: Seconds between collections that let Spark remove shuffle files.
+RELEASE_S = 4
 _ROOT = str(Path(__file__).resolve().parents[2])
 
 
@@ -25,6 +30,8 @@ def ensure_importable(spark: SparkSession) -> None:
     parts = [p for p in env.get("PYTHONPATH", os.environ.get("PYTHONPATH", "")).split(os.pathsep) if p]
     if _ROOT not in parts:
         env["PYTHONPATH"] = os.pathsep.join([_ROOT, *parts])
+    for name, value in MEMORY.items():
+        env.setdefault(name, value)
     for name, default, ours in BATCHES:
         if spark.conf.get(name, default) == default:
             spark.conf.set(name, ours)
@@ -45,6 +52,18 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """Column names like ``names`` that ``df`` doesn't have, whatever their case."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 class Scratch:
     """Intermediate tables as Parquet in the shared folder.
 
@@ -52,6 +71,8 @@ class Scratch:
     a table that no later step reads; what is left goes when Python exits.
     """
 
+    released = 0.0
+
     def __init__(self, spark: SparkSession, name: str):
         ensure_importable(spark)
         self.spark = spark
@@ -63,13 +84,15 @@ class Scratch:
 
     def table(self, df: DataFrame, name: str) -> DataFrame:
         df.write.mode("overwrite").parquet(self.path(name))
-        self.release()
+        if time.monotonic() - self.released >= RELEASE_S:
+            self.release()
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
     def release(self) -> None:
         """Let Spark's cleaner remove the shuffle files of steps whose result is written."""
         gc.collect()
         self.spark.sparkContext._jvm.System.gc()
+        Scratch.released = time.monotonic()
 
     def drop(self, *names: str) -> None:
         for name in names:

@@ -4,6 +4,7 @@ import random
 import re
 import zlib
 
+import numpy as np
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
@@ -208,8 +209,10 @@ def groups(texts, words, share=(4, 5)):
     return [(len(s), m) for s, m in zip(sets, least)]
 
 
-def test_near_duplicates_are_brute_force(spark, monkeypatch):
+@pytest.mark.parametrize("words, broadcast, similarity", [(2, 500_000, 0.8), (5, 500_000, 0.8), (5, 0, 0.8), (2, 500_000, 0.6)])
+def test_near_duplicates_are_brute_force(spark, monkeypatch, words, broadcast, similarity):
     monkeypatch.setattr(near_dup, "SHORT", 6)  # so that longer lists take the exact way too
+    monkeypatch.setattr(near_dup, "BROADCAST_ROWS", broadcast)
     r = random.Random(11)
     vocabulary = ["".join(r.choice("abcdefgh") for _ in range(4)) for _ in range(300)]
     make = lambda n: [r.choice(vocabulary) for _ in range(n)]
@@ -224,10 +227,11 @@ def test_near_duplicates_are_brute_force(spark, monkeypatch):
     texts = [edited(core, r.randrange(0, 16)) for _ in range(30)]
     texts += [w for n in (3, 5, 6, 8, 20, 300) for b in [make(n)] for w in (b, edited(b, 1), b + make(1), edited(b, max(1, n // 20)))]
     texts += [make(60) + core[:50] for _ in range(12)]
+    texts += [edited(core[:100] + make(8), r.randrange(0, 5)) for _ in range(20)]  # a crowd around one passage
     texts = [" ".join(w) for w in texts] + ["", None, "   ", "one", "ONE", "one two", "a b", "b a"]
     r.shuffle(texts)
-    found = near_dup.near_duplicates(docs(spark, texts), words=2).orderBy("doc_id").collect()
-    wanted = groups(texts, 2)
+    found = near_dup.near_duplicates(docs(spark, texts), words=words, similarity=similarity).orderBy("doc_id").collect()
+    wanted = groups(texts, words, (round(similarity * 10), 10))
     assert [(x.n_shingles, x.component_id) for x in found] == wanted
     assert [x.kept for x in found] == [m == i for i, (_, m) in enumerate(wanted)]
 
@@ -241,6 +245,29 @@ def test_near_duplicate_rows_without_ids(spark):
     assert near_dup.near_duplicates(df.where("false")).count() == 0
 
 
+def test_similarities_that_no_run_serves_are_refused(spark):
+    assert [near_dup.run_length(s) for s in (0.5, 0.7, 0.8, 0.95)] == [1, 2, 3, 3]
+    for bad in (0.05, 0.2):
+        with pytest.raises(ValueError, match="sketches"):
+            near_dup.near_duplicates(docs(spark, ["a"]), similarity=bad).count()
+    with pytest.raises(TypeError, match="whole numbers"):
+        near_dup.near_duplicates(docs(spark, ["a"]).withColumn("doc_id", F.lit("x")))
+
+
+def test_whole_sets_of_a_similarity_have_a_common_run():
+    r = np.random.RandomState(3)
+    for similarity in (0.6, 0.7, 0.8, 0.9):
+        length = near_dup.run_length(similarity)
+        for _ in range(3000):
+            u = np.sort(r.choice(10**6, r.randint(1, 43), replace=False)).astype(np.int64)
+            out = r.permutation(len(u))[: r.randint(0, int(len(u) * (1 - similarity) + 1e-9) + 1)]
+            side = r.rand(len(out)) < 0.5
+            a, b = np.delete(u, out[side]), np.delete(u, out[~side])
+            if len(a) == len(b) == len(u) or len(np.intersect1d(a, b)) < similarity * len(u) - 1e-9 or not len(a) or not len(b):
+                continue
+            assert len(np.intersect1d(near_dup.run_keys(a, length, similarity), near_dup.run_keys(b, length, similarity)))
+
+
 # Licenses
 
 
