@@ -41,14 +41,14 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Packed ids of every document, their number, and whether they decode to the text."""
-    coded = bpe.decode(bpe.encode(docs, queries.RANKS, queries.PATTERN), queries.RANKS, queries.PATTERN)
+    coded = bpe.round_trip(docs, queries.RANKS, queries.PATTERN, decoded=None, intact="intact")
     return coded.select(
         "doc_id",
         "lang",
         "source",
         (F.length("ids") / 4).cast("long").alias("n_tokens"),
         "ids",
-        (F.col("decoded") == F.coalesce(F.encode("text", "UTF-8"), F.lit(b""))).alias("intact"),
+        "intact",
     )
 
 
