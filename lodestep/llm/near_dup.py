@@ -61,6 +61,8 @@ SPREAD = 6.0
 FIRST = 64
 #: Rows of a few numbers (24 bytes each at most) that are broadcast; beyond, they are joined by a shuffle.
 BROADCAST_ROWS = 500_000
+#: Shingles that one task counts.
+PACKED = 1_000_000
 #: Keys of rows without an id start here.
 NO_ID = 1 << 62
 _U = np.uint64
@@ -194,11 +196,13 @@ def _verified(pairs: DataFrame, rows: DataFrame, words: int, t: Fraction, scratc
 def _listed(texts: DataFrame, words: int, t: Fraction, often: DataFrame) -> DataFrame:
     """(cid, n, alone, s): how many of a document's shingles stand in no other, and those of its prefix that do, the rarest first.
 
-    ``often`` has (v, df) of the shingles of several documents, few enough to be
-    sent to every task.
+    ``often`` has packed (v, df) of the shingles of several documents, few enough
+    to be sent to every task.
     """
-    pdf = often.orderBy("v").toPandas()
-    known = texts.sparkSession.sparkContext.broadcast((pdf["v"].to_numpy(), pdf["df"].to_numpy()))
+    found = often.select("v", "df").toArrow()
+    v, df = (np.concatenate([np.empty(0, np.int64), found.column(c).combine_chunks().flatten().to_numpy()]) for c in ("v", "df"))
+    order = np.argsort(v)
+    known = texts.sparkSession.sparkContext.broadcast((v[order], df[order]))
 
     def cut(batches):
         v, df = known.value
@@ -226,6 +230,7 @@ def _listed_by_joins(texts: DataFrame, words: int, t: Fraction, often: DataFrame
             yield pa.RecordBatch.from_arrays([batch.column("cid"), pa.array([len(x) for x in s], pa.int64()), _lists(s)], ["cid", "n", "s"])
 
     token = texts.mapInArrow(tokens, "cid long, n long, s array<long>").select("cid", "n", F.explode("s").alias("v")).distinct()
+    often = often.select(F.explode(F.arrays_zip("v", "df")).alias("x")).select("x.v", "x.df")
     ordered = token.join(often, "v").groupBy("cid", "n").agg(F.array_sort(F.collect_list(F.struct("df", "v"))).alias("s"))
     alone = F.col("n") - F.size("s")
     prefix = F.col("n") - F.ceil(F.col("n") * t.numerator / t.denominator - 1e-9) + 1
@@ -234,21 +239,39 @@ def _listed_by_joins(texts: DataFrame, words: int, t: Fraction, often: DataFrame
 
 
 def _exact_candidates(members: DataFrame, rows: DataFrame, words: int, t: Fraction, scratch: Scratch) -> DataFrame:
-    """Pairs (a, b) among members (cid, least) of different components that prefixes, positions and sizes leave possible."""
+    """Pairs (a, b) among members (cid, n, least) of different components that prefixes, positions and sizes leave possible."""
+
+    parts = max(8, -(-(members.agg(F.sum("n")).first()[0] or 0) // PACKED))
+
+    def pack(part: np.ndarray, v: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+        order = np.argsort(part, kind="stable")
+        own, first = np.unique(part[order], return_index=True)
+        bounds = pa.array([*first, len(v)], pa.int32())
+        return pa.RecordBatch.from_arrays([pa.array(own), *(pa.ListArray.from_arrays(bounds, pa.array(x[order].astype(np.int64))) for x in (v, n))], ["part", "v", "df"])
 
     def count(batches):
         for batch in batches:
             v, n = np.unique(np.concatenate([np.empty(0, np.int64), *shingles.sets(batch.column("text"), words, SEPARATORS)]), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(v), pa.array(n, pa.int64())], ["v", "n"])
-
+            if len(v):
+                yield pack(v % parts, v, n)
+
+    def add(group: pa.Table) -> pa.Table:
+        each, n = (group.column(c).combine_chunks().flatten().to_numpy() for c in ("v", "df"))
+        v, at = np.unique(each, return_inverse=True)
+        df = np.bincount(at, n, len(v)).astype(np.int64)
+        v, df = v[df > 1], df[df > 1]
+        out = pack(v % parts, v, df) if len(v) else pa.RecordBatch.from_arrays([pa.array([], pa.int64()), *(pa.array([], pa.list_(pa.int64())) for _ in "vd")], ["part", "v", "df"])
+        return pa.Table.from_batches([out])
+
+    packed = "part long, v array<long>, df array<long>"
     texts = _texts(rows, members.select("cid"))
-    often = texts.select("text").mapInArrow(count, "v long, n long").groupBy("v").agg(F.sum("n").alias("df")).where("df > 1")
-    often = scratch.table(often, "often")
+    often = scratch.table(texts.select("text").mapInArrow(count, packed).groupBy("part").applyInArrow(add, packed), "often")
+    few = (often.agg(F.sum(F.size("v"))).first()[0] or 0) <= BROADCAST_ROWS
     # what stands in one document only comes first, and isn't listed
-    listed = (_listed if often.count() <= BROADCAST_ROWS else _listed_by_joins)(texts, words, t, often)
+    listed = (_listed if few else _listed_by_joins)(texts, words, t, often)
     listed = listed.withColumn("first", F.slice("s", 1, FIRST))
     listed = listed.select("cid", "n", "first", "alone", F.posexplode("s").alias("i", "v"))
-    entry = listed.select("cid", "n", "first", "v", (F.col("n") - F.col("alone") - F.col("i")).alias("rest")).join(members, "cid")
+    entry = listed.select("cid", "n", "first", "v", (F.col("n") - F.col("alone") - F.col("i")).alias("rest")).join(members.select("cid", "least"), "cid")
     entry = scratch.table(entry, "prefix")
     x, y = entry.alias("x"), entry.alias("y")
     na, nb = F.col("x.n"), F.col("y.n")
@@ -311,7 +334,7 @@ def _grouped(docs: DataFrame, id_: str, text: str, words: int = 5, similarity: f
     x, y = short.alias("x"), short.alias("y")
     across = x.join(y, (F.col("x.k") == F.col("y.k")) & (F.col("x.cid") < F.col("y.cid")) & (F.col("x.least") != F.col("y.least")) & alike("x.n", "y.n"))
     across = across.select(F.col("x.cid").alias("a"), F.col("y.cid").alias("b")).distinct()
-    crowd = scratch.table(open_.where(F.col("members") > SHORT).select("cid", "least").distinct(), "crowd")
+    crowd = scratch.table(open_.where(F.col("members") > SHORT).select("cid", "n", "least").distinct(), "crowd")
     if not crowd.isEmpty():
         across = across.unionByName(_exact_candidates(crowd, rows, words, t, scratch)).distinct()
     second = _verified(across.join(tested, ["a", "b"], "left_anti"), rows, words, t, scratch, "second", k)
