@@ -271,19 +271,40 @@ def test_whole_sets_of_a_similarity_have_a_common_run():
 # Licenses
 
 
-def test_licenses(spark):
+def test_licenses(spark, monkeypatch):
     r = random.Random(3)
     filler = lambda n: " ".join(r.choice(["der", "the", "of", "under", "work", "is"]) for _ in range(n))
     texts = [f"{filler(i * 3)} {text} {filler(40 - i)}" for i, (_, text) in enumerate(license_scan.NOTICES)]
+    n = len(texts)
     texts += ["Released under the MIT", "released UNDER the mit license", "", None, filler(500)]
+
+    def edited(text, every):  # each so many words another, and wrapped
+        words = text.split()
+        return "\n * ".join(" ".join("foo" if (i + j) % every == every - 1 else w for j, w in enumerate(words[i : i + 9])) for i in range(0, len(words), 9))
+
+    texts += [filler(20) + edited(text, every) for every in (12, 25) for _, text in license_scan.NOTICES if len(text.split()) > 40]
+    sets = lambda t: [x for x in zip(*(lambda w: (w, w[1:]))(re.findall(r"[0-9a-z]+", (t or "").lower())))]
+    wanted = {}
+    for i, t in enumerate(texts):  # naive: the best window of any place and length up to twice the template's
+        have = sets(t)
+        for name, template in license_scan.NOTICES:
+            own = set(sets(template))
+            room = len(sets(template)) + 1
+            if any(len(own & set(have[k : k + room])) >= 0.8 * len(own) for k in range(max(1, len(have) - room + 1))):
+                wanted.setdefault(i, set()).add(name)
     found = {}
-    for x in license_scan.scan(docs(spark, texts), license_scan.notices(spark)).collect():
-        assert x.n_found >= 0.8 * x.n_shingles
-        found.setdefault(x.doc_id, set()).add(x.license)
-    for i, (name, _) in enumerate(license_scan.NOTICES):
-        assert name in found[i]
-    n = len(license_scan.NOTICES)
-    assert found.get(n) is None and found[n + 1] == {"MIT"} and not {n + 2, n + 3, n + 4} & set(found)
+    for few in (True, False):
+        if not few:
+            monkeypatch.setattr(license_scan, "ANCHORED", 0)
+            monkeypatch.setattr(license_scan, "BROADCAST_WORDS", 0)
+        found = {}
+        for x in license_scan.scan(docs(spark, texts), license_scan.notices(spark)).collect():
+            assert x.n_found >= 0.8 * x.n_shingles
+            found.setdefault(x.doc_id, set()).add(x.license)
+        for i, names in wanted.items():
+            assert names <= found[i], (i, names - found[i])
+        assert found.get(n) is None and "MIT" in found[n + 1] and not {n + 2, n + 3, n + 4} & set(found)
+        assert all(license_scan.NOTICES[i][0] in found[i] for i in range(n))
     none = spark.createDataFrame([], "license string, text string")
     assert license_scan.scan(docs(spark, texts), none).count() == 0
 
