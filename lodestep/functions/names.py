@@ -25,11 +25,11 @@ class Metadata:
     def name(self) -> str:
         return f"wp-{self.language_code}-{self.date_code}"
 
-    def is_newer(self, other: Metadata) -> bool:
-        return self.language_code == other.language_code and self.date_code > other.date_code
-
-    def is_older(self, other: Metadata) -> bool:
-        return self.language_code == other.language_code and self.date_code < other.date_code
+    def dates_apart(self, other: Metadata) -> int | None:
+        """Above 0 if this date is the later one, 0 if they are the same; None for another language."""
+        if self.language_code != other.language_code:
+            return None
+        return (self.date_code > other.date_code) - (self.date_code < other.date_code)
 
 
 def parse_database(name: str) -> Metadata | None:

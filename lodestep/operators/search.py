@@ -14,6 +14,7 @@ in batches, so that what the driver holds stays bounded.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark import StorageLevel
@@ -56,13 +57,18 @@ def both_ways(graph: DataFrame) -> DataFrame:
     return forward.unionByName(back).repartition("a").persist(StorageLevel.MEMORY_AND_DISK)
 
 
+def _check(stop: Callable[[], bool]) -> None:
+    if stop():
+        raise TimeoutError("the search was stopped")
+
+
 def _expand(frontier: DataFrame, steps: DataFrame) -> DataFrame:
     """(pair_id, dir, node, depth, cnt) of the nodes one step on; ``depth`` is the frontier's own, which is to be theirs."""
     reached = frontier.join(steps, (F.col("node") == F.col("a")) & (frontier["dir"] == steps["dir"])).select("pair_id", frontier["dir"], F.col("b").alias("node"), "depth", "cnt")
     return reached.groupBy("pair_id", "dir", "node", "depth").agg(F.sum("cnt").cast(COUNT).alias("cnt"))
 
 
-def _levels(ends: DataFrame, steps: DataFrame, force: str | None) -> DataFrame:
+def _levels(ends: DataFrame, steps: DataFrame, force: str | None, stop: Callable[[], bool]) -> DataFrame:
     """(pair_id, dir, node, depth, cnt) of all that was reached."""
     seeds = [ends.select("pair_id", F.lit(d).alias("dir"), F.col(c).alias("node"), F.lit(0).alias("depth"), F.lit(1).cast(COUNT).alias("cnt")) for d, c in (("F", "source"), ("B", "target"))]
     state = cut(seeds[0].unionByName(seeds[1]))
@@ -72,6 +78,7 @@ def _levels(ends: DataFrame, steps: DataFrame, force: str | None) -> DataFrame:
     depth = dict.fromkeys(size, 0)
     spark = ends.sparkSession
     while True:
+        _check(stop)
         chosen = []
         for pair in {p for p, _ in size} - met:
             f, b = size[pair, "F"], size[pair, "B"]
@@ -104,7 +111,7 @@ def _meeting(state: DataFrame) -> DataFrame:
     )
 
 
-def _links(state: DataFrame, steps: DataFrame, meeting: DataFrame) -> DataFrame:
+def _links(state: DataFrame, steps: DataFrame, meeting: DataFrame, stop: Callable[[], bool]) -> DataFrame:
     """(pair_id, source, target) of every link on a shortest path: from the meeting nodes back along both sides."""
     current = cut(
         meeting.select("pair_id", F.lit("F").alias("dir"), "node", F.col("df").alias("depth")).unionByName(meeting.select("pair_id", F.lit("B").alias("dir"), "node", F.col("db").alias("depth")))
@@ -112,6 +119,7 @@ def _links(state: DataFrame, steps: DataFrame, meeting: DataFrame) -> DataFrame:
     reached = state.select("pair_id", "dir", F.col("node").alias("parent"), F.col("depth").alias("parent_depth"))
     out = None
     while True:
+        _check(stop)
         # a step (dir, a, b) leads from parent a to node b
         walked = current.join(steps, (current["dir"] == steps["dir"]) & (F.col("node") == F.col("b"))).select("pair_id", current["dir"], "node", "depth", F.col("a").alias("parent"))
         walked = cut(walked.join(reached, ["pair_id", "dir", "parent"]).where("parent_depth = depth - 1").select("pair_id", "dir", "node", "parent", "parent_depth").distinct())
@@ -126,7 +134,7 @@ def _links(state: DataFrame, steps: DataFrame, meeting: DataFrame) -> DataFrame:
     return (empty if out is None else out).distinct()
 
 
-def shortest_paths(graph: DataFrame, redirects: DataFrame, pairs: DataFrame, force: str | None = None, with_links: bool = True, steps: DataFrame | None = None) -> Search:
+def shortest_paths(graph: DataFrame, redirects: DataFrame, pairs: DataFrame, force: str | None = None, with_links: bool = True, steps: DataFrame | None = None, stop: Callable[[], bool] = lambda: False) -> Search:
     """Search all pairs (pair_id, source_in, target_in).
 
     ``summary`` has (pair_id, source, source_is_redirect, target,
@@ -134,36 +142,43 @@ def shortest_paths(graph: DataFrame, redirects: DataFrame, pairs: DataFrame, for
     A pair without a path has length 0 and count 0; one whose ends are the same
     page, known or not, has length 0 and count 1.  Counts are exact; one beyond
     64 bits is an error.  ``force`` ("F" or "B") expands one side only.
+    ``steps`` is ``both_ways`` of the graph, for callers that keep it; one that is
+    made here is given back.  ``stop`` is asked before each round; if it says so,
+    TimeoutError is raised.
     """
     ends = cut(resolve_pairs(pairs, redirects))
-    steps = both_ways(graph) if steps is None else steps
+    own = steps is None
+    steps = both_ways(graph) if own else steps
     n = ends.count()
     if n > BATCH:
         batches = -(-n // BATCH)
-        parts = [_levels(ends.where(F.pmod(F.xxhash64("pair_id"), F.lit(batches)) == i), steps, force) for i in range(batches)]
+        parts = [_levels(ends.where(F.pmod(F.xxhash64("pair_id"), F.lit(batches)) == i), steps, force, stop) for i in range(batches)]
     else:
-        parts = [_levels(ends, steps, force)]
+        parts = [_levels(ends, steps, force, stop)]
     state = parts[0]
     for part in parts[1:]:
         state = state.unionByName(part)
     meeting = cut(_meeting(state))
     total = meeting.groupBy("pair_id").agg(F.max(F.col("df") + F.col("db")).alias("length"), F.sum("ways").cast(COUNT).alias("count"))
     summary = ends.join(total, "pair_id", "left").select(*ends.columns, F.coalesce("length", F.lit(0)).cast("int").alias("length"), F.coalesce("count", F.lit(0)).cast("long").alias("count"))
-    links = _links(state, steps, meeting) if with_links else meeting.where("false").select("pair_id", F.col("node").alias("source"), F.col("node").alias("target"))
+    links = _links(state, steps, meeting, stop) if with_links else meeting.where("false").select("pair_id", F.col("node").alias("source"), F.col("node").alias("target"))
+    if own:  # all rounds are written
+        steps.unpersist()
     return Search(summary, links)
 
 
 def levels(graph: DataFrame, start: int) -> DataFrame:
     """(node, depth) of every node that can be reached from ``start``."""
     spark = graph.sparkSession
-    steps = both_ways(graph).where("dir = 'F'")
+    steps = both_ways(graph)
     frontier = state = cut(spark.range(1).select(F.lit(start).cast("long").alias("node"), F.lit(0).alias("depth")))
     depth = 0
     while True:
         depth += 1
-        new = frontier.join(steps, F.col("node") == F.col("a")).select(F.col("b").alias("node")).distinct().join(state, "node", "left_anti")
+        new = frontier.join(steps.where("dir = 'F'"), F.col("node") == F.col("a")).select(F.col("b").alias("node")).distinct().join(state, "node", "left_anti")
         new = cut(new.select("node", F.lit(depth).alias("depth")))
         if new.isEmpty():
+            steps.unpersist()
             return state
         state, frontier = state.unionByName(new), new
 

@@ -29,7 +29,7 @@ def suggest(page: DataFrame, query: str, most: int = 5) -> DataFrame:
 
 def first_match(page: DataFrame, query: str, most: int = 5) -> DataFrame:
     """The first suggestion that is the query, or nothing."""
-    return suggest(page, query, most).where(same_title(F.col("title"), F.lit(query))).limit(1)
+    return suggest(page, query, most).where(same_title(F.col("title"), F.lit(query))).orderBy("title", "page_id").limit(1)
 
 
 def random_page(page: DataFrame, seed: int | None = None, namespace: int = 0) -> DataFrame:

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import logging
+import threading
+import uuid
 from collections.abc import Sequence
 from concurrent.futures import ThreadPoolExecutor
 from concurrent.futures import TimeoutError as TookTooLong
@@ -95,25 +97,51 @@ class Server:
 
     def __init__(self, spark: SparkSession, databases: str):
         self.spark, self.catalog = spark, store.Catalog(spark, databases).refresh()
+        self._steps: dict[str, tuple[store.Database, DataFrame]] = {}
+
+    def refresh(self) -> None:
+        """List the folder anew; what is held of databases that went or were replaced is given back."""
+        self.catalog.refresh()
+        held = {d.metadata.name: d for d in self.catalog.databases.values()}
+        for name, (database, steps) in list(self._steps.items()):
+            if held.get(name) is not database:
+                steps.unpersist()
+                del self._steps[name]
+
+    def steps(self, database: store.Database) -> DataFrame:
+        """The links both ways, once a database."""
+        name = database.metadata.name
+        if name not in self._steps or self._steps[name][0] is not database:
+            self._steps[name] = database, search.both_ways(database.links)
+        return self._steps[name][1]
 
     def list_databases(self) -> str:
         return self.catalog.list_json()
 
     def shortest_paths(self, language_code: str, date_code: str, source: int, target: int, limit: float = LIMIT) -> str:
-        """The response as JSON; KeyError for an unknown database, TimeoutError beyond ``limit`` seconds, when the jobs are cancelled."""
+        """The response as JSON; KeyError for an unknown database.
+
+        Beyond ``limit`` seconds TimeoutError is raised at once: running jobs are
+        cancelled and the search stops before its next round.  Files of the
+        search are deleted when it ends.
+        """
         database = self.catalog.get(language_code, date_code)
-        group = f"paths-{language_code}-{source}-{target}"
+        group, late = f"paths-{language_code}-{source}-{target}-{uuid.uuid4().hex}", threading.Event()
 
         def answer() -> str:
             self.spark.sparkContext.setJobGroup(group, group, True)
             pairs = self.spark.createDataFrame([(0, source, target)], "pair_id long, source_in long, target_in long")
-            found = search.shortest_paths(database.links, database.redirects, pairs)
-            return search.to_json(search.records(found, language_code, date_code)).first().json
-
-        with ThreadPoolExecutor(1) as pool:
-            future = pool.submit(inheritable_thread_target(self.spark)(answer))
-            try:
-                return future.result(limit)
-            except TookTooLong:
-                self.spark.sparkContext.cancelJobGroup(group)
-                raise TimeoutError(group) from None
+            with session.cuts(self.spark):
+                found = search.shortest_paths(database.links, database.redirects, pairs, steps=self.steps(database), stop=late.is_set)
+                return search.to_json(search.records(found, language_code, date_code)).first().json
+
+        pool = ThreadPoolExecutor(1)
+        future = pool.submit(inheritable_thread_target(self.spark)(answer))
+        try:
+            return future.result(limit)
+        except TookTooLong:
+            late.set()
+            self.spark.sparkContext.cancelJobGroup(group)
+            raise TimeoutError(group) from None
+        finally:
+            pool.shutdown(wait=False)

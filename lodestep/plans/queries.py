@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import session
 from ..functions import names
+from ..functions.text import saturating_minus
 from ..operators import clean, paths, search, titles
 from ..sources import dump, store
 from .fixtures import Fixture
@@ -26,6 +25,35 @@ def page_key_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clean.violations(Fixture(spark, sf_dir).page, ["namespace", "title"], "page_id").agg(F.count("*").alias("violations"))
 
 
+def redirect_key_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clean.violations(Fixture(spark, sf_dir).resolved, ["source"], "target").agg(F.count("*").alias("violations"))
+
+
+def linktarget_key_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clean.violations(Fixture(spark, sf_dir).linktargets, ["linktarget_id"], "page_id").agg(F.count("*").alias("violations"))
+
+
+def build_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of redirects before and after compression, and of links before and after repeated ones are dropped."""
+    fx = Fixture(spark, sf_dir)
+    every = clean.link_reasons(fx.pagelinks, fx.linktargets, fx.redirects).where("reason is null")
+    count = lambda df, name: df.agg(F.count("*").alias(name))
+    sides = (("redirects", fx.resolved, fx.redirects), ("links", every, fx.links))
+    rows = [count(a, "before").crossJoin(F.broadcast(count(b, "after"))).select(F.lit(kind).alias("kind"), "before", "after") for kind, a, b in sides]  # one row each
+    return rows[0].unionByName(rows[1]).withColumn("dropped", saturating_minus(F.col("before"), F.col("after")))
+
+
+#: Lines of a checksum list: other files are passed over, and of a kind's files the first counts.
+SUMS = tuple((f"enwiki-20240101-{kind}.sql.gz", f"content of {kind} {part}") for part in (1, 2) for kind in ("abstract", *names.KINDS))
+
+
+def checksum_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
+    table = spark.createDataFrame(SUMS, "name string, content string").coalesce(1)
+    path = session.shared_path(spark, "sums")
+    table.select(F.concat_ws("  ", F.sha1("content"), "name")).write.text(path)
+    return dump.checksums(spark, path)
+
+
 def _escaped(c: Column) -> Column:
     return F.concat(F.lit("'"), F.replace(F.replace(c, F.lit("\\"), F.lit("\\\\")), F.lit("'"), F.lit("\\'")), F.lit("'"))
 
@@ -55,7 +83,7 @@ BROKEN = {
 
 def _dumped(spark: SparkSession, sf_dir: str, relation: str, packed: bool = True) -> DataFrame:
     """Parsed rows of the fixture's relation, written as dump lines and read again."""
-    path = f"{session.shared_dir(spark)}/lodestep-dump-{uuid.uuid4().hex}.sql"
+    path = session.shared_path(spark, "dump")
     rows = dump_rows(Fixture(spark, sf_dir), relation).unionByName(spark.createDataFrame([(r,) for r in BROKEN[relation]], "row string"))
     lines = rows.select(F.concat(F.lit(f"INSERT INTO `{relation}` VALUES "), F.col("row"), F.lit(";")).alias("value"))
     lines.write.text(path, compression="gzip" if packed else "none")
@@ -134,7 +162,7 @@ def outgoing_adjacency(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _stored(spark: SparkSession, sf_dir: str) -> store.Database:
     """The fixture graph, written to a database, published and opened."""
     fx = Fixture(spark, sf_dir)
-    folder, name = f"{session.shared_dir(spark)}/lodestep-db-{uuid.uuid4().hex}", names.Metadata("en", "20240101")
+    folder, name = session.shared_path(spark, "db"), names.Metadata("en", "20240101")
     draft = store.draft_of(folder, name)
     store.write_redirects(fx.redirects, draft)
     store.write_links(fx.links, draft)
@@ -153,18 +181,6 @@ def lookup_outgoing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _stored(spark, sf_dir).outgoing_links(Fixture(spark, sf_dir).ids).select("page_id", _ids("targets").alias("value"))
 
 
-def lookup_redirect_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _stored(spark, sf_dir).redirect(Fixture(spark, sf_dir).all_ids).select("page_id", F.col("target").alias("value"))
-
-
-def lookup_incoming_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _stored(spark, sf_dir).incoming_links(Fixture(spark, sf_dir).all_ids).select("page_id", _ids("sources").alias("value"))
-
-
-def lookup_outgoing_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _stored(spark, sf_dir).outgoing_links(Fixture(spark, sf_dir).all_ids).select("page_id", _ids("targets").alias("value"))
-
-
 def bfs_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.levels(Fixture(spark, sf_dir).links, 0).groupBy(F.col("depth").cast("long").alias("depth")).agg(F.count("*").alias("n"))
 
@@ -214,6 +230,14 @@ def shortest_paths_titled(spark: SparkSession, sf_dir: str) -> DataFrame:
     return paths.with_titles(paths.enumerate_paths(fx.search), fx.page).select("pair_id", F.col("rank").cast("long").alias("rank"), F.col("position").cast("long").alias("position"), "page_id", "title")
 
 
+def shortest_paths_page_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each path as one answer: its pages with titles, in order."""
+    fx = Fixture(spark, sf_dir)
+    found = paths.titled_arrays(paths.with_titles(paths.enumerate_paths(fx.search), fx.page))
+    shown = F.array_join(F.transform("pages", lambda p: F.concat_ws(":", p["id"].cast("string"), p["title"])), " > ")
+    return found.select("pair_id", F.col("rank").cast("long").alias("rank"), shown.alias("pages"))
+
+
 def pages_to_fetch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return paths.pages_to_fetch(paths.enumerate_paths(Fixture(spark, sf_dir).search)).select("pair_id", "page_id", F.col("first.rank").cast("long").alias("rank"), F.col("first.position").cast("long").alias("position"))
 
@@ -259,6 +283,11 @@ def _names(spark: SparkSession) -> DataFrame:
     return table.select("name", *names.database_parts(F.col("name")))
 
 
+def title_first_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The page whose title is the query's, but for case and accents, if it is among the suggestions."""
+    return titles.first_match(_html_titles(spark, sf_dir), "EN")
+
+
 def name_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _names(spark)
 
@@ -293,7 +322,7 @@ def queries() -> dict:
     own = (
         page_index, page_key_check, *(_roundtrip(r) for r in BROKEN), parse_stats, redirect_resolve, redirect_skip_reasons, redirect_compress, linktarget_resolve,
         linktarget_skip_reasons, links_resolved, link_skip_reasons, links, incoming_adjacency, outgoing_adjacency, lookup_redirect, lookup_incoming, lookup_outgoing,
-        lookup_redirect_all, lookup_incoming_all, lookup_outgoing_all, shortest_path_summary_all, shortest_path_links_all,
+        shortest_path_summary_all, shortest_path_links_all, redirect_key_check, linktarget_key_check, build_counts, checksum_catalog, title_first_match, shortest_paths_page_arrays,
         bfs_levels, shortest_path_summary, shortest_path_summary_sparse, shortest_path_links, shortest_path_adjacency, shortest_path_json, shortest_paths_all,
         shortest_paths_first8, shortest_paths_titled, pages_to_fetch, graph_nodes, graph_edges, path_summary_text, page_urls, title_fold_match, title_suggest,
         name_parse, dump_name_parse, catalog_newest, catalog_cleanup, default_language, link_sources_missing_page, random_page,

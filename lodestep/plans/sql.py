@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+from ..functions.names import KINDS
 from . import fixtures as fx
-from .queries import BROKEN, NAMES
+from .queries import BROKEN, NAMES, SUMS
 
 _FX = ",\n".join(f"{name} AS ({body})" for name, body in fx.VIEWS.items())
 _PAIRS = "pairs AS (SELECT CAST(a AS BIGINT) AS pair_id, CAST(b AS BIGINT) AS source_in, CAST(c AS BIGINT) AS target_in FROM (VALUES " + ", ".join(map(str, fx.PAIRS)) + ") v(a, b, c))"
@@ -59,8 +60,7 @@ FROM {relation} r LEFT JOIN fx_page p ON p.namespace = r.{namespace} AND p.title
 
 _LINK_REASONS = "SELECT CASE WHEN target IS NULL THEN 'missing_linktarget' WHEN source = target THEN 'self_link' ELSE 'stored' END AS reason FROM g_all"
 _ADJACENT = "SELECT {0} AS page_id, CAST(count(*) AS BIGINT) AS n, string_agg(CAST({1} AS VARCHAR), ',' ORDER BY {1}) AS ids FROM g_links GROUP BY 1"
-_LOOKUP = "SELECT k.page_id, coalesce(string_agg(CAST({1} AS VARCHAR), ',' ORDER BY {1}), '') AS value FROM (SELECT unnest(range(200)) AS page_id) k LEFT JOIN g_links l ON l.{0} = k.page_id GROUP BY 1"
-_LOOKUP_ALL = "SELECT k.page_id, coalesce(string_agg(CAST({1} AS VARCHAR), ',' ORDER BY {1}), '') AS value FROM (" + fx.ALL_IDS + ") k LEFT JOIN g_links l ON l.{0} = k.page_id GROUP BY 1"
+_LOOKUP = "SELECT k.page_id, coalesce(string_agg(CAST({1} AS VARCHAR), ',' ORDER BY {1}), '') AS value FROM (" + fx.ALL_IDS + ") k LEFT JOIN g_links l ON l.{0} = k.page_id GROUP BY 1"
 _NAMES = "names AS (SELECT unnest([" + ", ".join(f"'{n}'" for n in NAMES) + "]) AS name), parsed AS (SELECT name, nullif(regexp_extract(name, '^wp-([a-zA-Z]+)-([0-9]+)$', 1), '') AS language_code, nullif(regexp_extract(name, '^wp-([a-zA-Z]+)-([0-9]+)$', 2), '') AS date_code FROM names)"
 _NEWEST = "newest AS (SELECT language_code, max(date_code) AS date_code FROM parsed WHERE language_code IS NOT NULL GROUP BY 1)"
 _TITLES = "t AS (SELECT page_id, trim(regexp_extract(html, '<title>([^<]*)</title>', 1)) AS title FROM pages)"
@@ -106,12 +106,19 @@ ORACLES = {
     "links": _graph("SELECT source, target FROM g_links"),
     "incoming_adjacency": _graph(_ADJACENT.format("target", "source")),
     "outgoing_adjacency": _graph(_ADJACENT.format("source", "target")),
-    "lookup_redirect": _clean("SELECT k.page_id, r.target AS value FROM (SELECT unnest(range(200)) AS page_id) k LEFT JOIN g_redirects r ON r.source = k.page_id"),
+    "lookup_redirect": _clean(f"SELECT k.page_id, r.target AS value FROM ({fx.ALL_IDS}) k LEFT JOIN g_redirects r ON r.source = k.page_id"),
     "lookup_incoming": _graph(_LOOKUP.format("target", "source")),
     "lookup_outgoing": _graph(_LOOKUP.format("source", "target")),
-    "lookup_redirect_all": _clean(f"SELECT k.page_id, r.target AS value FROM ({fx.ALL_IDS}) k LEFT JOIN g_redirects r ON r.source = k.page_id"),
-    "lookup_incoming_all": _graph(_LOOKUP_ALL.format("target", "source")),
-    "lookup_outgoing_all": _graph(_LOOKUP_ALL.format("source", "target")),
+    "redirect_key_check": _clean("SELECT count(*) AS violations FROM (SELECT s FROM raw GROUP BY s HAVING count(DISTINCT t) > 1)"),
+    "linktarget_key_check": _with("SELECT count(*) AS violations FROM (SELECT lt_id FROM fx_linktarget JOIN fx_page ON namespace = lt_namespace AND title = lt_title GROUP BY lt_id HAVING count(DISTINCT page_id) > 1)"),
+    "build_counts": _graph(
+        """SELECT kind, before, after, greatest(before - after, 0) AS dropped FROM (
+SELECT 'redirects' AS kind, (SELECT count(*) FROM raw) AS before, (SELECT count(*) FROM g_redirects) AS after
+UNION ALL SELECT 'links', (SELECT count(*) FROM g_all WHERE target IS NOT NULL AND source <> target), (SELECT count(*) FROM g_links))"""
+    ),
+    "checksum_catalog": " UNION ALL ".join(f"SELECT '{kind}' AS kind, 'en' AS language_code, '20240101' AS date_code, '{name}' AS file_name, sha1('{content}') AS sha1" for kind in KINDS for name, content in SUMS if name.endswith(f"-{kind}.sql.gz") and content.endswith(" 1")),
+    "shortest_paths_page_arrays": _paths("SELECT pair_id, rank, string_agg(concat(page_id, coalesce(':' || title, '')), ' > ' ORDER BY position) AS pages FROM steps LEFT JOIN fx_page USING (page_id) GROUP BY ALL"),
+    "title_first_match": f"WITH {_TITLES} SELECT page_id, title FROM (SELECT page_id, title FROM t WHERE starts_with(lower(strip_accents(title)), 'en') ORDER BY CASE WHEN lower(strip_accents(title)) = 'en' THEN 0 ELSE 1 END, length(title), title, page_id LIMIT 5) WHERE lower(strip_accents(title)) = 'en' ORDER BY title, page_id LIMIT 1",
     "bfs_levels": _with(
         "SELECT CAST(d AS BIGINT) AS depth, count(*) AS n FROM (SELECT n, min(d) AS d FROM lv GROUP BY n) GROUP BY 1",
         _REDIRECTS,

@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
+import contextvars
 import tempfile
+import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -18,10 +23,48 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: Paths that ``cut`` made in this context, and those that go when Python exits.
+_MADE: contextvars.ContextVar[list[str] | None] = contextvars.ContextVar("made", default=None)
+_LEFT: list[tuple[SparkSession, str]] = []
+
+
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A path of its own in the shared folder; what is there goes with the context of ``cuts``, or when Python exits."""
+    path = f"{shared_dir(spark)}/lodestep-{name}-{uuid.uuid4().hex}"
+    made = _MADE.get()
+    if made is not None:
+        made.append(path)
+    else:
+        if not _LEFT:
+            atexit.register(_sweep)
+        _LEFT.append((spark, path))
+    return path
+
+
+def _sweep() -> None:
+    for spark, path in _LEFT:
+        if spark.sparkContext._jsc is not None:
+            with contextlib.suppress(Exception):  # the JVM may be gone when Python exits
+                delete(spark, path)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """``df`` written to the shared folder and read from there, so that loops don't grow plans and lost executors don't matter."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
+    path = shared_path(df.sparkSession, "cut")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+@contextlib.contextmanager
+def cuts(spark: SparkSession) -> Iterator[None]:
+    """What is cut inside is deleted at the end; results must be collected by then."""
+    token = _MADE.set(made := [])
+    try:
+        yield
+    finally:
+        _MADE.reset(token)
+        for path in made:
+            delete(spark, path)
 
 
 def filesystem(spark: SparkSession, path: str):

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import hashlib
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import session
 from ..functions import names, patterns
 from ..functions.text import ratio
 
@@ -82,16 +82,18 @@ def checksums(spark: SparkSession, path: str) -> DataFrame:
     return first
 
 
-def check_file(spark: SparkSession, path: str, sha1: str, large: int = 1 << 31) -> None:
-    """Raise unless the file at ``path`` has the SHA-1; executors hash files below ``large`` bytes, the driver streams greater ones."""
-    info = spark.read.format("binaryFile").load(path).select("length").first()
-    if info.length < large:
-        found = spark.read.format("binaryFile").load(path).select(F.sha1("content").alias("h")).first().h
-    else:
-        digest = hashlib.sha1()
-        with open(path.removeprefix("file://"), "rb") as f:
-            while chunk := f.read(1 << 20):
-                digest.update(chunk)
-        found = digest.hexdigest()
+def file_sha1(spark: SparkSession, path: str) -> str:
+    """SHA-1 of a file at any path that Spark's file systems open, streamed."""
+    fs, target = session.filesystem(spark, path)
+    stream = fs.open(target)
+    try:
+        return spark.sparkContext._jvm.org.apache.commons.codec.digest.DigestUtils.sha1Hex(stream)
+    finally:
+        stream.close()
+
+
+def check_file(spark: SparkSession, path: str, sha1: str) -> None:
+    """Raise unless the file at ``path`` has the SHA-1."""
+    found = file_sha1(spark, path)
     if found != sha1:
         raise ValueError(f"{path} has SHA-1 {found}, not {sha1}")

@@ -114,7 +114,7 @@ class Catalog:
             if metadata is None or not is_folder:
                 continue
             held = found.get(metadata.language_code)
-            if held and not metadata.is_newer(held.metadata):
+            if held and (metadata.dates_apart(held.metadata) or 0) <= 0:
                 continue
             try:
                 found[metadata.language_code] = open_database(self.spark, f"{self.folder.rstrip('/')}/{name}")

@@ -6,16 +6,17 @@ import pytest
 
 from lodestep.operators import clean
 
+LINE = {i: i + 1 for i in range(20, 29)}
+RING = {i: 40 + (i - 39) % 5 for i in range(40, 45)}
 CHAINS = [
-    ({1: 2, 2: 3, 3: 4}, {1: 4, 2: 4, 3: 4}),
-    ({1: 1, 2: 3}, {2: 3}),
-    ({1: 2, 2: 2, 3: 4, 4: 5}, {3: 5, 4: 5}),
-    ({1: 2, 2: 3, 3: 1}, {}),
-    ({1: 2, 2: 3, 3: 4, 4: 5, 5: 1, 10: 1}, {}),
-    ({10: 99}, {10: 99}),
-    ({1: 3, 2: 3, 3: 4, 4: 8}, {1: 8, 2: 8, 3: 8, 4: 8}),
-    ({1: 2, 2: 7, 10: 11, 11: 12, 12: 10, 20: 10}, {1: 7, 2: 7}),
     ({}, {}),
+    ({8: 60}, {8: 60}),
+    (LINE, dict.fromkeys(LINE, 29)),
+    (RING, {}),
+    (RING | {50: 42, 51: 50}, {}),
+    (RING | LINE, dict.fromkeys(LINE, 29)),
+    ({6: 6, 31: 6}, {}),
+    (LINE | {70: 24, 71: 24, 72: 71}, dict.fromkeys([*LINE, 70, 71, 72], 29)),
 ]
 
 

@@ -87,5 +87,58 @@ def test_names():
     assert parse_database("wp-en-20240101") == Metadata("en", "20240101")
     assert parse_database("wp-zh_min-20240101") is None and parse_database("wp-en-x") is None
     assert parse_dump("enwiki-20240101-page.sql.gz") == (Metadata("en", "20240101"), "page")
-    assert Metadata("en", "2").is_newer(Metadata("en", "1")) and not Metadata("de", "2").is_newer(Metadata("en", "1"))
-    assert Metadata("en", "1").is_older(Metadata("en", "2"))
+    dates = [Metadata("en", d).dates_apart(Metadata("en", "20240102")) for d in ("20240101", "20240102", "20240110")]
+    assert dates == [-1, 0, 1] and Metadata("de", "2").dates_apart(Metadata("en", "1")) is None
+
+
+def test_files_are_hashed_as_streams(spark, tmp_path):
+    for i, data in enumerate((b"", b"abc", bytes(range(256)) * 20_000)):
+        (tmp_path / str(i)).write_bytes(data)
+        assert dump.file_sha1(spark, f"file://{tmp_path}/{i}") == hashlib.sha1(data).hexdigest()
+
+
+def test_leftover_draft_force_and_reload(spark, tmp_path):
+    write_dumps(tmp_path / "d", "20240101")
+    folders = {"databases": str(tmp_path / "db"), "dumps": str(tmp_path / "d")}
+    (tmp_path / "db" / "draft-wp-en-20240101").mkdir(parents=True)
+    build.build(spark, **folders)
+    server = build.Server(spark, folders["databases"])
+    first = server.catalog.get("en", "20240101")
+    steps = server.steps(first)
+    assert server.steps(first) is steps
+    build.build(spark, force=True, **folders)
+    server.refresh()
+    again = server.catalog.get("en", "20240101")
+    assert again is not first and not server._steps and sorted(again.links.collect()) == sorted(spark.read.schema(again.links.schema).parquet(f"{folders['databases']}/wp-en-20240101/links").select(*again.links.columns).collect())
+    import shutil
+
+    shutil.rmtree(tmp_path / "db" / "wp-en-20240101")
+    server.refresh()
+    assert server.catalog.databases == {}
+
+
+def test_a_late_search_stops_and_leaves_no_files(spark, tmp_path, monkeypatch):
+    import glob
+    import time
+
+    from lodestep import session
+    from lodestep.operators import search
+
+    write_dumps(tmp_path / "d", "20240101")
+    build.build(spark, databases=str(tmp_path / "db"), dumps=str(tmp_path / "d"))
+    server = build.Server(spark, str(tmp_path / "db"))
+    files = lambda: set(glob.glob(f"{session.shared_dir(spark).removeprefix('file://').removeprefix('file:')}/lodestep-cut-*"))
+    before = files()
+    server.shortest_paths("en", "20240101", 1, 2)
+    assert files() == before
+    rounds, levels = [], search._levels
+    monkeypatch.setattr(search, "_levels", lambda *a: (rounds.append(1), time.sleep(3), levels(*a))[-1])
+    began = time.time()
+    with pytest.raises(TimeoutError):
+        server.shortest_paths("en", "20240101", 1, 2, limit=0.5)
+    assert time.time() - began < 2.5
+    for _ in range(60):
+        if rounds and files() == before:
+            break
+        time.sleep(0.2)
+    assert files() == before

@@ -14,7 +14,7 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
 def test_every_page_is_looked_up(spark):
     pages = {r.page_id for r in Fixture(spark, SF).page.collect()}
     assert len(pages) > 200
-    assert {r.page_id for r in queries.queries()["lookup_redirect_all"](spark, SF).collect()} == pages | set(UNKNOWN)
+    assert {r.page_id for r in queries.queries()["lookup_redirect"](spark, SF).collect()} == pages | set(UNKNOWN)
 
 
 def test_pairs_take_every_hundredth_page(spark):
