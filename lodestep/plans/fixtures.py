@@ -60,13 +60,18 @@ class Fixture:
     _held: dict = {}
 
     def __new__(cls, spark: SparkSession, sf_dir: str, sparse: bool = False):
-        key = (id(spark), sf_dir, sparse)
-        if key not in cls._held:
-            cls._held = {k: v for k, v in cls._held.items() if k[0] == id(spark)}
+        key = (sf_dir, sparse)
+        if key not in cls._held or cls._held[key].spark is not spark:
+            cls._held = {k: v for k, v in cls._held.items() if v.spark is spark}
             cls._held[key] = super().__new__(cls)
             cls._held[key]._fill(spark, sf_dir, sparse)
         return cls._held[key]
 
+    @classmethod
+    def forget(cls) -> None:
+        """Let go of what is shared, so that it is computed again."""
+        cls._held = {}
+
     def _fill(self, spark: SparkSession, sf_dir: str, sparse: bool) -> None:
         self.spark, self._parts = spark, {}
         part, lineitem = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("part", "lineitem"))
