@@ -284,8 +284,10 @@ def _names(spark: SparkSession) -> DataFrame:
 
 
 def title_first_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The page whose title is the query's, but for case and accents, if it is among the suggestions."""
-    return titles.first_match(_html_titles(spark, sf_dir), "EN")
+    """The page whose title is the query's, here the least title in upper case, but for case and accents."""
+    page = _html_titles(spark, sf_dir)
+    least = page.where("title <> ''").agg(F.upper(F.min("title")).alias("query")).first()
+    return titles.first_match(page, least.query or "EN")
 
 
 def name_parse(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -118,7 +118,8 @@ UNION ALL SELECT 'links', (SELECT count(*) FROM g_all WHERE target IS NOT NULL A
     ),
     "checksum_catalog": " UNION ALL ".join(f"SELECT '{kind}' AS kind, 'en' AS language_code, '20240101' AS date_code, '{name}' AS file_name, sha1('{content}') AS sha1" for kind in KINDS for name, content in SUMS if name.endswith(f"-{kind}.sql.gz") and content.endswith(" 1")),
     "shortest_paths_page_arrays": _paths("SELECT pair_id, rank, string_agg(concat(page_id, coalesce(':' || title, '')), ' > ' ORDER BY position) AS pages FROM steps LEFT JOIN fx_page USING (page_id) GROUP BY ALL"),
-    "title_first_match": f"WITH {_TITLES} SELECT page_id, title FROM (SELECT page_id, title FROM t WHERE starts_with(lower(strip_accents(title)), 'en') ORDER BY CASE WHEN lower(strip_accents(title)) = 'en' THEN 0 ELSE 1 END, length(title), title, page_id LIMIT 5) WHERE lower(strip_accents(title)) = 'en' ORDER BY title, page_id LIMIT 1",
+    "title_first_match": f"""WITH {_TITLES}, f AS (SELECT page_id, title, lower(strip_accents(title)) AS folded FROM t), q AS (SELECT lower(strip_accents(upper(min(title)))) AS query FROM t WHERE title <> '')
+SELECT page_id, title FROM (SELECT page_id, title, folded = query AS same FROM f, q WHERE starts_with(folded, query) ORDER BY CASE WHEN folded = query THEN 0 ELSE 1 END, length(title), title, page_id LIMIT 5) WHERE same ORDER BY title, page_id LIMIT 1""",
     "bfs_levels": _with(
         "SELECT CAST(d AS BIGINT) AS depth, count(*) AS n FROM (SELECT n, min(d) AS d FROM lv GROUP BY n) GROUP BY 1",
         _REDIRECTS,

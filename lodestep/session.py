@@ -31,6 +31,11 @@ _LEFT: list[tuple[SparkSession, str]] = []
 def shared_path(spark: SparkSession, name: str) -> str:
     """A path of its own in the shared folder; what is there goes with the context of ``cuts``, or when Python exits."""
     path = f"{shared_dir(spark)}/lodestep-{name}-{uuid.uuid4().hex}"
+    _made(spark, path)
+    return path
+
+
+def _made(spark: SparkSession, path: str) -> None:
     made = _MADE.get()
     if made is not None:
         made.append(path)
@@ -38,7 +43,6 @@ def shared_path(spark: SparkSession, name: str) -> str:
         if not _LEFT:
             atexit.register(_sweep)
         _LEFT.append((spark, path))
-    return path
 
 
 def _sweep() -> None:
@@ -50,9 +54,12 @@ def _sweep() -> None:
 
 def cut(df: DataFrame) -> DataFrame:
     """``df`` written to the shared folder and read from there, so that loops don't grow plans and lost executors don't matter."""
-    path = shared_path(df.sparkSession, "cut")
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    shared_dir(df.sparkSession)
+    out = df.checkpoint()
+    file = out._jdf.logicalPlan().rdd().getCheckpointFile()
+    if file.isDefined():
+        _made(df.sparkSession, file.get())
+    return out
 
 
 @contextlib.contextmanager

@@ -127,8 +127,11 @@ def test_a_late_search_stops_and_leaves_no_files(spark, tmp_path, monkeypatch):
     write_dumps(tmp_path / "d", "20240101")
     build.build(spark, databases=str(tmp_path / "db"), dumps=str(tmp_path / "d"))
     server = build.Server(spark, str(tmp_path / "db"))
-    files = lambda: set(glob.glob(f"{session.shared_dir(spark).removeprefix('file://').removeprefix('file:')}/lodestep-cut-*"))
+    session.shared_dir(spark)
+    files = lambda: set(glob.glob(f"{spark.sparkContext.getCheckpointDir().removeprefix('file:')}/rdd-*"))
+    session.cut(spark.range(3))
     before = files()
+    assert before
     server.shortest_paths("en", "20240101", 1, 2)
     assert files() == before
     rounds, levels = [], search._levels
