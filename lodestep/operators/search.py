@@ -26,6 +26,8 @@ from ..session import cut
 COUNT = "decimal(38,0)"
 #: Pairs searched in one loop.
 BATCH = 10_000
+#: Rows of a level (44 bytes each at most) up to which it is broadcast to the links, and levels after which the state is written as one table.
+BROADCAST_ROWS, COMPACT = 100_000, 8
 
 
 @dataclass
@@ -72,11 +74,10 @@ def _levels(ends: DataFrame, steps: DataFrame, force: str | None, stop: Callable
     """(pair_id, dir, node, depth, cnt) of all that was reached."""
     seeds = [ends.select("pair_id", F.lit(d).alias("dir"), F.col(c).alias("node"), F.lit(0).alias("depth"), F.lit(1).cast(COUNT).alias("cnt")) for d, c in (("F", "source"), ("B", "target"))]
     state = cut(seeds[0].unionByName(seeds[1]))
-    frontier = state
     met = {r.pair_id for r in ends.where("source = target").select("pair_id").collect()}
     size: dict[tuple[int, str], int] = {(r.pair_id, d): 1 for r in ends.select("pair_id").collect() for d in "FB"}
     depth = dict.fromkeys(size, 0)
-    spark = ends.sparkSession
+    spark, parts = ends.sparkSession, 0
     while True:
         _check(stop)
         chosen = []
@@ -87,7 +88,10 @@ def _levels(ends: DataFrame, steps: DataFrame, force: str | None, stop: Callable
         if not chosen:
             return state
         turn = F.broadcast(spark.createDataFrame([(p, d, depth[p, d] + 1) for p, d in chosen], "pair_id long, dir string, next int"))
-        now = frontier.join(turn, ["pair_id", "dir"]).select("pair_id", "dir", "node", F.col("next").alias("depth"), "cnt")
+        # a side's last level is what the state holds at its depth
+        now = state.join(turn, ["pair_id", "dir"]).where("depth = next - 1").select("pair_id", "dir", "node", F.col("next").alias("depth"), "cnt")
+        # the links stay where they are for a small level; a large one is shuffled to them
+        now = F.broadcast(now) if sum(size[x] for x in chosen) <= BROADCAST_ROWS else now
         new = _expand(now, steps).join(state.select("pair_id", "dir", "node"), ["pair_id", "dir", "node"], "left_anti")
         # the new level is written once, and what the driver needs is counted from that
         new = cut(new)
@@ -99,9 +103,9 @@ def _levels(ends: DataFrame, steps: DataFrame, force: str | None, stop: Callable
             depth[pair, d] += 1
             if hits:
                 met.add(pair)
-        state = state.unionByName(new)
-        kept = frontier.join(turn, ["pair_id", "dir"], "left_anti")
-        frontier = kept.unionByName(new)
+        state, parts = state.unionByName(new), parts + 1
+        if parts % COMPACT == 0:
+            state = cut(state)
 
 
 def _meeting(state: DataFrame) -> DataFrame:

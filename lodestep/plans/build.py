@@ -11,11 +11,13 @@ from concurrent.futures import TimeoutError as TookTooLong
 
 from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.streaming import StreamingQuery
 
 from .. import session
 from ..functions.names import KINDS, Metadata, format_dump, parse_dump
 from ..operators import clean, search
 from ..sources import dump, store
+from ..streaming import watch
 
 log = logging.getLogger(__name__)
 #: Seconds a search may take.
@@ -102,12 +104,19 @@ class Server:
     def refresh(self) -> None:
         """List the folder anew; what is held of databases that went or were replaced is given back."""
         self.catalog.refresh()
+        self._give_back()
+
+    def _give_back(self) -> None:
         held = {d.metadata.name: d for d in self.catalog.databases.values()}
         for name, (database, steps) in list(self._steps.items()):
             if held.get(name) is not database:
                 steps.unpersist()
                 del self._steps[name]
 
+    def watch(self, checkpoint: str, seconds: int = 5) -> StreamingQuery:
+        """Keep up with the folder until the returned stream is stopped."""
+        return watch.watch(self.catalog, checkpoint, lambda found: self._give_back(), seconds)
+
     def steps(self, database: store.Database) -> DataFrame:
         """The links both ways, once a database."""
         name = database.metadata.name

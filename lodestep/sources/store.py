@@ -123,6 +123,12 @@ class Catalog:
         self.databases = dict(sorted(found.items()))
         return self
 
+    def state(self) -> list[tuple[str, ...]]:
+        """What is in the folder: each database with the files of its mark, whose names are new each time it is published."""
+        folder = self.folder.rstrip("/")
+        names = [n for n, is_folder in session.children(self.spark, folder) if is_folder and parse_database(n)]
+        return [(n, *(f for f, _ in session.children(self.spark, f"{folder}/{n}/complete"))) for n in names]
+
     def list(self) -> list[dict[str, str]]:
         return [{"languageCode": d.metadata.language_code, "dateCode": d.metadata.date_code} for d in self.databases.values()]
 

@@ -73,6 +73,17 @@ def test_random_graph(spark, force):
     assert got == {i: plain(edges, s, t) for i, (s, t) in enumerate(pairs)}
 
 
+def test_levels_beyond_the_broadcast_and_long_searches(spark, monkeypatch):
+    """Levels that are shuffled, and more levels than the state holds apart, give the same."""
+    edges = [(i, i + 1) for i in range(12)] + [(0, 20), (20, 2), (5, 21), (21, 7)]
+    asked = [(0, 12), (12, 0), (3, 9)]
+    wanted = {i: plain(edges, s, t) for i, (s, t) in enumerate(asked)}
+    monkeypatch.setattr(search, "COMPACT", 2)
+    for rows in (0, search.BROADCAST_ROWS):
+        monkeypatch.setattr(search, "BROADCAST_ROWS", rows)
+        assert results(run(spark, edges, asked)) == wanted
+
+
 def test_paths_go_by_text(spark):
     found = run(spark, [(1, 9), (1, 10), (9, 2), (10, 2)], [(1, 2)])
     assert [r.path for r in paths.enumerate_paths(found, 1).collect()] == [[1, 10, 2]]

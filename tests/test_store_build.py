@@ -3,6 +3,9 @@
 import gzip
 import hashlib
 import json
+import shutil
+import time
+from pathlib import Path
 
 import pytest
 
@@ -32,6 +35,13 @@ def write_dumps(folder, date, sums=True):
         (folder / f"enwiki-{date}-sha1sums.txt").write_text("\n".join(lines) + "\n")
 
 
+def until(holds, seconds=60):
+    end = time.time() + seconds
+    while not holds():
+        assert time.time() < end
+        time.sleep(0.2)
+
+
 def test_build_and_answers(spark, tmp_path):
     dumps, databases = tmp_path / "dumps", str(tmp_path / "databases")
     write_dumps(dumps, "20240101")
@@ -100,8 +110,11 @@ def test_files_are_hashed_as_streams(spark, tmp_path):
 def test_leftover_draft_force_and_reload(spark, tmp_path):
     write_dumps(tmp_path / "d", "20240101")
     folders = {"databases": str(tmp_path / "db"), "dumps": str(tmp_path / "d")}
-    (tmp_path / "db" / "draft-wp-en-20240101").mkdir(parents=True)
+    left = Path(store.draft_of(folders["databases"], Metadata("en", "20240101")), "links")
+    left.mkdir(parents=True)
+    (left / "part-0.parquet").write_bytes(b"half a file")
     build.build(spark, **folders)
+    assert not left.exists()
     server = build.Server(spark, folders["databases"])
     first = server.catalog.get("en", "20240101")
     steps = server.steps(first)
@@ -110,16 +123,20 @@ def test_leftover_draft_force_and_reload(spark, tmp_path):
     server.refresh()
     again = server.catalog.get("en", "20240101")
     assert again is not first and not server._steps and sorted(again.links.collect()) == sorted(spark.read.schema(again.links.schema).parquet(f"{folders['databases']}/wp-en-20240101/links").select(*again.links.columns).collect())
-    import shutil
-
-    shutil.rmtree(tmp_path / "db" / "wp-en-20240101")
-    server.refresh()
-    assert server.catalog.databases == {}
+    stream = server.watch(str(tmp_path / "clock"), seconds=1)
+    try:
+        build.build(spark, force=True, **folders)
+        until(lambda: server.catalog.databases["en"] is not again)
+        shutil.rmtree(tmp_path / "db" / "wp-en-20240101")
+        until(lambda: server.catalog.databases == {})
+    finally:
+        stream.stop()
+    with pytest.raises(KeyError):
+        server.shortest_paths("en", "20240101", 1, 2)
 
 
 def test_a_late_search_stops_and_leaves_no_files(spark, tmp_path, monkeypatch):
     import glob
-    import time
 
     from lodestep import session
     from lodestep.operators import search
