@@ -20,18 +20,23 @@ however long text and pre-token are.
 from __future__ import annotations
 
 import base64
-import functools
+import hashlib
 import re
+from collections.abc import Callable
+from pathlib import Path
 
 import numpy as np
 import pandas as pd
 import regex
-from pyspark.sql import Column, DataFrame
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType
 
 from .session import ensure_importable
 
+#: Largest rank file, as it is broadcast; some hundred thousand tokens.
+RANK_BYTES = 16 << 20
 #: Longest pre-token, in bytes, that is merged in an array of trees.
 WIDE = 64
 #: Pre-tokens of a generation that a worker remembers; it keeps two, and a word that is met again moves to the newer one.
@@ -67,11 +72,10 @@ def _narrow(top: int) -> str:
 
 
 class Codec:
-    """Encoder and decoder for one rank file and one pre-token pattern."""
+    """Encoder and decoder for one vocabulary, given as the lines of its rank file, and one pre-token pattern."""
 
-    def __init__(self, ranks_path: str, pattern: str):
-        with open(ranks_path, "rb") as f:
-            self.ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
+    def __init__(self, ranks: bytes, pattern: str):
+        self.ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in ranks.splitlines() if line.strip())}
         found = regex.compile(pattern)
         # a whole match is a pre-token, whatever groups the pattern has
         self.split_any = found.findall if not found.groups else lambda text: [m.group() for m in found.finditer(text)]
@@ -243,28 +247,56 @@ class Codec:
         return b"".join(map(self.bytes_of.__getitem__, np.frombuffer(packed, "<u4").tolist()))
 
 
-@functools.lru_cache(maxsize=1)
-def codec(ranks_path: str, pattern: str) -> Codec:
-    """The worker's codec; it is built once and kept for later tasks."""
-    return Codec(ranks_path, pattern)
+def read_ranks(spark: SparkSession, path: str) -> bytes:
+    """The lines of a rank file: of the driver, or under any address that Spark reads; at most ``RANK_BYTES``."""
+    if "://" in path:
+        found = spark.read.format("binaryFile").load(path).where(F.col("length") <= RANK_BYTES).select("content").first()
+        ranks = bytes(found.content) if found else None
+    else:
+        ranks = Path(path).read_bytes() if Path(path).stat().st_size <= RANK_BYTES else None
+    if ranks is None:
+        raise ValueError(f"{path} is larger than {RANK_BYTES} bytes")
+    return ranks
 
 
-def encode_column(text: Column, ranks_path: str, pattern: str) -> Column:
+_held: dict[tuple[str, str], Codec] = {}
+
+
+def _kept(name: tuple[str, str], sent: Broadcast) -> Codec:
+    """The worker's codec of a (digest of the ranks, pattern)."""
+    if name not in _held:
+        _held.clear()
+        _held[name] = Codec(sent.value, name[1])
+    return _held[name]
+
+
+def codec(spark: SparkSession, ranks_path: str, pattern: str) -> Callable[[], Codec]:
+    """What gives a worker its codec, which is built once and kept for later tasks.
+
+    The driver reads the rank file and broadcasts it, so that workers need no
+    file of that path.
+    """
+    ranks = read_ranks(spark, ranks_path)
+    name, sent = (hashlib.sha256(ranks).hexdigest(), pattern), spark.sparkContext.broadcast(ranks)
+    return lambda: _kept(name, sent)
+
+
+def encode_column(text: Column, own: Callable[[], Codec]) -> Column:
     """Packed ids (binary, little-endian unsigned 32-bit) of a text column."""
 
     @F.pandas_udf(BinaryType())
     def encode_text(s: pd.Series) -> pd.Series:
-        return pd.Series(codec(ranks_path, pattern).encode(s.fillna("").tolist()), dtype=object)
+        return pd.Series(own().encode(s.fillna("").tolist()), dtype=object)
 
     return encode_text(text)
 
 
-def decode_column(packed: Column, ranks_path: str, pattern: str) -> Column:
+def decode_column(packed: Column, own: Callable[[], Codec]) -> Column:
     """Bytes of a column of packed ids."""
 
     @F.pandas_udf(BinaryType())
     def decode_ids(s: pd.Series) -> pd.Series:
-        return s.map(codec(ranks_path, pattern).decode, na_action="ignore")
+        return s.map(own().decode, na_action="ignore")
 
     return decode_ids(packed)
 
@@ -272,13 +304,13 @@ def decode_column(packed: Column, ranks_path: str, pattern: str) -> Column:
 def encode(df: DataFrame, ranks_path: str, pattern: str, text: str = "text", out: str = "ids") -> DataFrame:
     """Add column ``out`` with the packed ids of column ``text``; an existing ``out`` is replaced."""
     ensure_importable(df.sparkSession)
-    return df.withColumn(out, encode_column(df[text], ranks_path, pattern))
+    return df.withColumn(out, encode_column(df[text], codec(df.sparkSession, ranks_path, pattern)))
 
 
 def decode(df: DataFrame, ranks_path: str, pattern: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
     """Add column ``out`` with the bytes that packed ids stand for; null ids give null."""
     ensure_importable(df.sparkSession)
-    return df.withColumn(out, decode_column(df[ids], ranks_path, pattern))
+    return df.withColumn(out, decode_column(df[ids], codec(df.sparkSession, ranks_path, pattern)))
 
 
 def round_trip(df: DataFrame, ranks_path: str, pattern: str, text: str = "text", ids: str = "ids", decoded: str | None = "decoded", intact: str | None = None) -> DataFrame:
@@ -289,11 +321,11 @@ def round_trip(df: DataFrame, ranks_path: str, pattern: str, text: str = "text",
     text, stay in the worker.
     """
     ensure_importable(df.sparkSession)
-    back = decoded is not None
+    back, codec_of = decoded is not None, codec(df.sparkSession, ranks_path, pattern)
 
     @F.pandas_udf("struct<ids:binary,decoded:binary,intact:boolean>")
     def both_ways(s: pd.Series) -> pd.DataFrame:
-        own = codec(ranks_path, pattern)
+        own = codec_of()
         texts = s.fillna("").tolist()
         packed = own.encode(texts)
         plain, same = [], []

@@ -5,9 +5,11 @@ from __future__ import annotations
 import atexit
 import gc
 import os
+import shutil
 import tempfile
 import time
 import uuid
+import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -21,15 +23,35 @@ BATCHES = (
 MEMORY = {"MALLOC_ARENA_MAX": "1", "MALLOC_MMAP_THRESHOLD_": "262144", "MALLOC_TRIM_THRESHOLD_": "1048576", "ARROW_DEFAULT_MEMORY_POOL": "system"}
 #: Seconds between collections that let Spark remove shuffle files.
 RELEASE_S = 4
-_ROOT = str(Path(__file__).resolve().parents[2])
+_PACKAGE = Path(__file__).resolve().parents[1]
+#: Name of the archive in which the package is sent to executors.
+_SENT = f"{_PACKAGE.name}-{uuid.uuid4().hex}.zip"
+
+
+def _archive(folder: str) -> str:
+    path = os.path.join(folder, _SENT)
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as out:
+        for file in sorted(_PACKAGE.rglob("*.py")):
+            out.write(file, file.relative_to(_PACKAGE.parent))
+    return path
 
 
 def ensure_importable(spark: SparkSession) -> None:
-    """Let Python workers import this package by adding its root to their PYTHONPATH, and keep what they hold at once small."""
-    env = spark.sparkContext.environment
-    parts = [p for p in env.get("PYTHONPATH", os.environ.get("PYTHONPATH", "")).split(os.pathsep) if p]
-    if _ROOT not in parts:
-        env["PYTHONPATH"] = os.pathsep.join([_ROOT, *parts])
+    """Let Python workers import this package, and keep what they hold at once small.
+
+    Workers of this machine take it from its folder.  Executors get it as an
+    archive of some 100 KB, which the driver serves while the session lasts.
+    """
+    sc = spark.sparkContext
+    env = sc.environment
+    if sc.master.startswith("local") and not sc.master.startswith("local-cluster"):
+        parts = [p for p in env.get("PYTHONPATH", os.environ.get("PYTHONPATH", "")).split(os.pathsep) if p]
+        if str(_PACKAGE.parent) not in parts:
+            env["PYTHONPATH"] = os.pathsep.join([str(_PACKAGE.parent), *parts])
+    elif not any(f.endswith(_SENT) for f in sc.listFiles):
+        folder = tempfile.mkdtemp(prefix="lodestep-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        sc.addPyFile(_archive(folder))
     for name, value in MEMORY.items():
         env.setdefault(name, value)
     for name, default, ours in BATCHES:

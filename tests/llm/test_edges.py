@@ -1,5 +1,7 @@
 """Edge cases of every operator on documents: nulls, empty and very long texts, ties, repeated rows, empty tables, clashing names."""
 
+from pathlib import Path
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -226,7 +228,7 @@ def test_licenses_of_odd_rows(spark, table):
 
 def test_pattern_of_ones_own_keeps_every_word():
     pattern = r"(?i:'s|'t)|[^\r\n\p{L}\p{N}]?+\p{L}+|\p{N}{1,3}| ?[^\s\p{L}\p{N}]++[\r\n]*|\s+(?!\S)|\s+"
-    codec = bpe.Codec(queries.RANKS, pattern)
+    codec = bpe.Codec(Path(queries.RANKS).read_bytes(), pattern)
     text = "Hello world's 12345  é\n"
     assert "".join(codec.split(text)) == text and codec.decode(codec.encode([text])[0]).decode() == text
     import tiktoken
@@ -240,6 +242,26 @@ def test_pattern_of_ones_own_keeps_every_word():
 def test_generations_of_remembered_words(monkeypatch):
     monkeypatch.setattr(bpe, "REMEMBERED", 20)
     monkeypatch.setattr(bpe, "TOGETHER", 10)
-    codec, fresh = bpe.Codec(queries.RANKS, queries.PATTERN), bpe.Codec(queries.RANKS, queries.PATTERN)
+    codec, fresh = bpe.Codec(Path(queries.RANKS).read_bytes(), queries.PATTERN), bpe.Codec(Path(queries.RANKS).read_bytes(), queries.PATTERN)
     texts = [f"common xq{i} words zv{i % 7} {i}" for i in range(200)]
     assert codec.encode(texts) == [fresh.encode([t])[0] for t in texts] and len(codec.known) + len(codec.older) < 200
+
+
+def test_ranks_are_bounded_and_read_by_any_address(spark, tmp_path, monkeypatch):
+    plain = Path(queries.RANKS).read_bytes()
+    assert bpe.read_ranks(spark, f"file://{queries.RANKS}") == plain == bpe.read_ranks(spark, queries.RANKS)
+    monkeypatch.setattr(bpe, "RANK_BYTES", 1000)
+    for path in (queries.RANKS, f"file://{queries.RANKS}"):
+        with pytest.raises(ValueError, match="larger"):
+            bpe.read_ranks(spark, path)
+
+
+def test_the_package_sent_to_executors_is_whole(tmp_path):
+    import subprocess
+    import sys
+
+    from lodestep.llm import session
+
+    path = session._archive(str(tmp_path))
+    said = subprocess.run([sys.executable, "-I", "-c", f"import sys; sys.path.insert(0, {path!r}); from lodestep.llm import bpe, near_dup; print(bpe.__file__)"], capture_output=True, text=True)
+    assert path in said.stdout, said.stderr

@@ -1,6 +1,7 @@
 """The pipeline against brute force on a small corpus, and its contract."""
 
 import random
+from pathlib import Path
 
 import corpus_pipeline
 from test_text_operators import contaminated, groups, ids
@@ -36,7 +37,7 @@ def test_pipeline(spark, tmp_path):
     free = [i for i, hit in zip(single, contaminated([texts[i] for i in single], [(1, " ".join(item))], 10)) if not hit[1]]
     assert {100, 101, 102} & set(free) == set()
 
-    codec = bpe.Codec(queries.RANKS, queries.PATTERN)
+    codec = bpe.Codec(Path(queries.RANKS).read_bytes(), queries.PATTERN)
     known = tiktoken.Encoding("own", pat_str=queries.PATTERN, mergeable_ranks=codec.ranks, special_tokens={})
     got = {x.doc_id: x for x in corpus_pipeline.run(spark, str(tmp_path)).collect()}
     assert sorted(got) == sorted(free)

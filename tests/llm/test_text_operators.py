@@ -3,6 +3,7 @@
 import random
 import re
 import zlib
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -23,7 +24,7 @@ def docs(spark, texts):
 
 @pytest.fixture(scope="module")
 def library():
-    codec = bpe.Codec(queries.RANKS, queries.PATTERN)
+    codec = bpe.Codec(Path(queries.RANKS).read_bytes(), queries.PATTERN)
     return codec, tiktoken.Encoding("own", pat_str=queries.PATTERN, mergeable_ranks=codec.ranks, special_tokens={})
 
 
