@@ -71,15 +71,33 @@ def _narrow(top: int) -> str:
     return f" ?[{letter}]+|'(?:{'|'.join(_CONTRACTIONS)})| ?[{digit}]+| ?[^{space}{letter}{digit}]+|[{space}]+(?![^{space}])|[{space}]+"
 
 
-class Codec:
-    """Encoder and decoder for one vocabulary, given as the lines of its rank file, and one pre-token pattern."""
+class Splitter:
+    """Cuts texts into the pre-tokens of a pattern."""
 
-    def __init__(self, ranks: bytes, pattern: str):
-        self.ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in ranks.splitlines() if line.strip())}
+    def __init__(self, pattern: str):
         found = regex.compile(pattern)
         # a whole match is a pre-token, whatever groups the pattern has
         self.split_any = found.findall if not found.groups else lambda text: [m.group() for m in found.finditer(text)]
         self.narrow = [re.compile(_narrow(top)).findall for top in (0x80, 0x100)] if pattern == KNOWN_PATTERN else None
+
+    def split(self, text: str) -> list[str]:
+        if self.narrow is None:
+            return self.split_any(text)
+        if text.isascii():
+            return self.narrow[0](text)
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return self.split_any(text)
+        return self.narrow[1](text)
+
+
+class Codec:
+    """Encoder and decoder for one vocabulary, given as the lines of its rank file, and one pre-token pattern."""
+
+    def __init__(self, ranks: bytes, pattern: str):
+        self.ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in ranks.splitlines() if line.strip())}
+        self.split = Splitter(pattern).split
         self.bytes_of = [b""] * (max(self.ranks.values()) + 1)
         for token, rank in self.ranks.items():
             self.bytes_of[rank] = token
@@ -95,18 +113,6 @@ class Codec:
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
-    def split(self, text: str) -> list[str]:
-        """Pre-tokens of a text."""
-        if self.narrow is None:
-            return self.split_any(text)
-        if text.isascii():
-            return self.narrow[0](text)
-        try:
-            text.encode("latin-1")
-        except UnicodeEncodeError:
-            return self.split_any(text)
-        return self.narrow[1](text)
-
     def _key(self, left: np.ndarray, right: np.ndarray, at: np.ndarray, leaves: int) -> np.ndarray:
         """Tree keys of the pairs of ids that start at ``at``; ``_NONE`` for pairs outside the vocabulary."""
         pair = left << 32 | right

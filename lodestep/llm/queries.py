@@ -6,11 +6,14 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, license_scan, media, near_dup, pii, preference, secret_scan, sql, toxicity, warc_zip
+from . import bpe, decontaminate, importance, lexical_search, license_scan, media, near_dup, pii, preference, secret_scan, sql, token_count, toxicity, warc_zip
 from .session import Scratch, ensure_importable
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 PATTERN = public_tokenizers.PATTERN
+TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
+#: Tokens of a context window.
+LIMIT = 1024
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -118,8 +121,24 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(_read(spark, sf_dir, "documents").select("doc_id", "text"), license_scan.notices(spark))
 
 
+def op11_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes and tokens of every document."""
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"))
+    return token_count.count(docs, TOKENIZER).select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > LIMIT).alias("over_limit"))
+
+
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 50 best documents of each benchmark item."""
+    return lexical_search.search(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"), k=50)
+
+
+def op13_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's importance weight towards the benchmark, and the rank of the 5 % that are drawn."""
+    return importance.resample(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_toxicity, op2_pii, op3_byte_bpe, op4_warc_zip, op5_secret_scan, op6_preference, op7_decontaminate, op8_media, op9_near_duplicates, op10_license_scan)}
+    return {f.__name__: f for f in (op1_toxicity, op2_pii, op3_byte_bpe, op4_warc_zip, op5_secret_scan, op6_preference, op7_decontaminate, op8_media, op9_near_duplicates, op10_license_scan, op11_token_count, op12_ranked_search, op13_importance)}
 
 
 def oracle_sql() -> dict:

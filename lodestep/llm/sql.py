@@ -46,4 +46,20 @@ SELECT pair_id, CAST(n AS BIGINT) AS n_prompt_turns, coalesce(array_to_string(ta
 FROM r
 """
 
-ORACLES = {"op6_preference": OP6, "op4_warc_zip": OP4, "op7_decontaminate": OP7}
+_TERMS = r"regexp_extract_all(translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+
+OP12 = f"""
+WITH d AS (SELECT row_number() OVER () AS row, doc_id, {_TERMS.format("coalesce(text, '')")} AS w FROM documents),
+size AS (SELECT row, doc_id, len(w) AS n FROM d WHERE len(w) > 0),
+total AS (SELECT CAST(count(*) AS BIGINT) AS docs, CAST(sum(n) AS BIGINT) AS length FROM size),
+q AS (SELECT row, item_id, unnest(list_distinct(w)) AS term FROM (SELECT row_number() OVER () AS row, item_id, {_TERMS.format("coalesce(text, '')")} AS w FROM benchmark)),
+tf AS (SELECT row, term, CAST(count(*) AS BIGINT) AS tf FROM (SELECT row, unnest(w) AS term FROM d) WHERE term IN (SELECT term FROM q) GROUP BY ALL),
+weight AS (SELECT term, CAST(floor(1000 * ln((2 * docs + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM tf, total GROUP BY term, docs),
+impact AS (SELECT size.row, doc_id, term, w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * docs) // length))) AS s
+           FROM tf JOIN size USING (row) JOIN weight USING (term), total),
+score AS (SELECT q.row AS q, any_value(item_id) AS item_id, impact.row, any_value(doc_id) AS doc_id, CAST(sum(s) AS BIGINT) AS score FROM q JOIN impact USING (term) GROUP BY q.row, impact.row),
+ranked AS (SELECT item_id, CAST(row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id NULLS LAST) AS INT) AS rank, doc_id, score FROM score WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 50
+"""
+
+ORACLES = {"op6_preference": OP6, "op4_warc_zip": OP4, "op7_decontaminate": OP7, "op12_ranked_search": OP12}
