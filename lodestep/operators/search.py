@@ -7,15 +7,23 @@ with fewer nodes in its last level.  Pairs stop on their own: when the sides
 meet, or when a side has nothing left to expand.  Which side is expanded never
 changes a result.
 
-Each round writes the new level to the shared folder and returns two numbers per
-pair to the driver.  Pairs beyond ``BATCH`` are searched
-in batches, so that what the driver holds stays bounded.
+A search begins near: while all that it has reached is at most ``NEAR`` nodes, the
+driver holds them, and a level is one job, in which the level before is broadcast
+to the steps and the nodes one step on come back with their numbers of ways.  The
+links of the paths then take one job more.  Few nodes can also be answered by a
+lookup, which reads only the files that hold them.  When the nodes become more,
+the search goes on far, from where it is: each round writes the new level to the
+shared folder and returns two numbers per pair to the driver.  Pairs beyond
+``BATCH`` are searched in batches, so that what the driver holds stays bounded.
 """
 
 from __future__ import annotations
 
+import threading
+from collections import defaultdict
 from collections.abc import Callable
 from dataclasses import dataclass
+from decimal import Decimal
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
@@ -28,6 +36,13 @@ COUNT = "decimal(38,0)"
 BATCH = 10_000
 #: Rows of a level (44 bytes each at most) up to which it is broadcast to the links, and levels after which the state is written as one table.
 BROADCAST_ROWS, COMPACT = 100_000, 8
+#: Pairs, and nodes or links of all of them, up to which the driver holds a search.
+NEAR_PAIRS, NEAR = 500, 50_000
+#: Nodes of a level up to which they are looked up, where there is a lookup.
+LOOKUP = 500
+#: Greatest number of paths that an answer can hold.
+MOST = 2**63 - 1
+_STATE = f"pair_id long, dir string, node long, depth int, cnt {COUNT}"
 
 
 @dataclass
@@ -56,7 +71,39 @@ def both_ways(graph: DataFrame) -> DataFrame:
     """(dir, a, b): every link as a step forwards and as a step backwards, placed by a."""
     forward = graph.select(F.lit("F").alias("dir"), F.col("source").alias("a"), F.col("target").alias("b"))
     back = graph.select(F.lit("B").alias("dir"), F.col("target").alias("a"), F.col("source").alias("b"))
-    return forward.unionByName(back).repartition("a").persist(StorageLevel.MEMORY_AND_DISK)
+    return forward.unionByName(back).persist(StorageLevel.MEMORY_AND_DISK)
+
+
+class Steps:
+    """The steps of a graph.
+
+    ``lookup`` gives (dir, a, b) of the steps from few nodes, forwards from those
+    of its first list and backwards from those of its second; all steps are kept
+    only when a level needs them.
+    """
+
+    def __init__(self, graph: DataFrame, lookup: Callable[[list[int], list[int]], DataFrame] | None = None, frame: DataFrame | None = None):
+        self.graph, self.lookup, self._frame = graph, lookup, frame
+        self._lock = threading.Lock()
+
+    @property
+    def frame(self) -> DataFrame:
+        with self._lock:
+            if self._frame is None:
+                self._frame = both_ways(self.graph)
+            return self._frame
+
+    def near(self, nodes: set[tuple[str, int]]) -> DataFrame:
+        """(dir, a, b) that hold all steps from the nodes (dir, node), and maybe others."""
+        if self.lookup is None or len(nodes) > LOOKUP:
+            return self.frame
+        return self.lookup(*(sorted(n for d, n in nodes if d == way) for way in "FB"))
+
+    def unpersist(self) -> None:
+        with self._lock:
+            if self._frame is not None:
+                self._frame.unpersist()
+                self._frame = None
 
 
 def _check(stop: Callable[[], bool]) -> None:
@@ -70,21 +117,119 @@ def _expand(frontier: DataFrame, steps: DataFrame) -> DataFrame:
     return reached.groupBy("pair_id", "dir", "node", "depth").agg(F.sum("cnt").cast(COUNT).alias("cnt"))
 
 
-def _levels(ends: DataFrame, steps: DataFrame, force: str | None, stop: Callable[[], bool]) -> DataFrame:
-    """(pair_id, dir, node, depth, cnt) of all that was reached."""
+def _seeds(ends: DataFrame) -> DataFrame:
+    """The state before the first round."""
     seeds = [ends.select("pair_id", F.lit(d).alias("dir"), F.col(c).alias("node"), F.lit(0).alias("depth"), F.lit(1).cast(COUNT).alias("cnt")) for d, c in (("F", "source"), ("B", "target"))]
-    state = cut(seeds[0].unionByName(seeds[1]))
-    met = {r.pair_id for r in ends.where("source = target").select("pair_id").collect()}
-    size: dict[tuple[int, str], int] = {(r.pair_id, d): 1 for r in ends.select("pair_id").collect() for d in "FB"}
-    depth = dict.fromkeys(size, 0)
+    return seeds[0].unionByName(seeds[1])
+
+
+def _turns(size: dict[tuple[int, str], int], met: set[int], force: str | None) -> list[tuple[int, str]]:
+    """(pair, side) of those that go on: the side with fewer nodes in its last level."""
+    chosen = []
+    for pair in {p for p, _ in size} - met:
+        f, b = size[pair, "F"], size[pair, "B"]
+        if f and b:
+            chosen.append((pair, force or ("F" if f < b else "B")))
+    return chosen
+
+
+class _Near:
+    """A search that the driver holds: for each (pair, side) its nodes with depth and ways, and the last level's."""
+
+    def __init__(self, ends: list[tuple[int, int, int]]):
+        self.reached = {(p, d): {n: (0, 1)} for p, s, t in ends for d, n in (("F", s), ("B", t))}
+        self.last = {side: dict.fromkeys(nodes, 1) for side, nodes in self.reached.items()}
+        self.depth = dict.fromkeys(self.reached, 0)
+        self.met = {p for p, s, t in ends if s == t}
+
+    def size(self) -> dict[tuple[int, str], int]:
+        return {side: len(level) for side, level in self.last.items()}
+
+    def frame(self, spark, rows: list[tuple]) -> DataFrame:
+        return spark.createDataFrame([(p, d, n, k, Decimal(c)) for p, d, n, k, c in rows], _STATE)
+
+    def state(self, spark) -> DataFrame:
+        return self.frame(spark, [(p, d, n, k, c) for (p, d), nodes in self.reached.items() for n, (k, c) in nodes.items()])
+
+    def run(self, spark, steps: Steps, force: str | None, stop: Callable[[], bool]) -> bool:
+        """Go level by level; False if there are more than ``NEAR`` nodes, with the state before that level."""
+        held = sum(map(len, self.reached.values()))
+        while chosen := _turns(self.size(), self.met, force):
+            _check(stop)
+            rows = [(p, d, n, self.depth[p, d] + 1, c) for p, d in chosen for n, c in self.last[p, d].items()]
+            found = _expand(F.broadcast(self.frame(spark, rows)), steps.near({(d, n) for _, d, n, _, _ in rows}))
+            known = found.select("pair_id", "dir", "node", "cnt").limit(NEAR + 1).collect()
+            if len(known) > NEAR or held > NEAR:
+                return False
+            level: dict[tuple[int, str], dict[int, int]] = {side: {} for side in chosen}
+            for r in known:
+                if r.node not in self.reached[r.pair_id, r.dir]:
+                    level[r.pair_id, r.dir][r.node] = int(r.cnt)
+            for (p, d), nodes in level.items():
+                self.depth[p, d] += 1
+                self.last[p, d] = nodes
+                self.reached[p, d].update((n, (self.depth[p, d], c)) for n, c in nodes.items())
+                held += len(nodes)
+                if not nodes.keys().isdisjoint(self.reached[p, "B" if d == "F" else "F"]):
+                    self.met.add(p)
+        return True
+
+    def meeting(self) -> dict[int, dict[int, tuple[int, int, int]]]:
+        """For each pair that met the nodes of both sides: depths and the number of ways through each."""
+        out = {}
+        for p in self.met:
+            f, b = self.reached[p, "F"], self.reached[p, "B"]
+            out[p] = {n: (f[n][0], b[n][0], f[n][1] * b[n][1]) for n in f.keys() & b.keys()}
+        return out
+
+    def links(self, spark, steps: Steps) -> list[tuple[int, int, int]] | None:
+        """(pair, source, target) of every link on a shortest path; None if one level has links to more than ``NEAR``.
+
+        Steps between nodes of neighbouring depths come back from one job; those
+        that end in a meeting node, or before one, are walked back here.
+        """
+        meeting = self.meeting()
+        deepest = {(p, d): max(m[d == "B"] for m in nodes.values()) for p, nodes in meeting.items() for d in "FB"}
+        # of the deepest level only the meeting nodes are on a path
+        rows = [(p, d, n, k, 1) for p, nodes in meeting.items() for d in "FB" for n, (k, _) in self.reached[p, d].items() if k < deepest[p, d] or n in nodes]
+        if not any(k for *_, k, _ in rows):
+            return []
+        nodes = self.frame(spark, rows).drop("cnt")
+        child = nodes.select("pair_id", "dir", F.col("node").alias("b"), (F.col("depth") - 1).alias("depth"))
+        parents = {(d, n) for p, d, n, k, _ in rows if k < deepest[p, d]}
+        found = steps.near(parents).join(F.broadcast(nodes.withColumnRenamed("node", "a")), ["dir", "a"]).join(F.broadcast(child), ["pair_id", "dir", "b", "depth"])
+        known = found.select("pair_id", "dir", "depth", "a", "b").distinct().limit(NEAR + 1).collect()
+        if len(known) > NEAR:
+            return None
+        before = defaultdict(set)
+        for r in known:
+            before[r.pair_id, r.dir, r.depth + 1, r.b].add(r.a)
+        out = set()
+        for p, ways in meeting.items():
+            for d in "FB":
+                level, depth = set(ways), deepest[p, d]
+                while depth:
+                    walked = {(a, b) for b in level for a in before[p, d, depth, b]}
+                    out |= {(p, a, b) if d == "F" else (p, b, a) for a, b in walked}
+                    level, depth = {a for a, _ in walked}, depth - 1
+        return sorted(out)
+
+
+def _levels(ends: DataFrame, steps: DataFrame, force: str | None, stop: Callable[[], bool], near: _Near | None = None) -> DataFrame:
+    """(pair_id, dir, node, depth, cnt) of all that was reached; ``near`` has what was reached already."""
     spark, parts = ends.sparkSession, 0
+    if near is None:
+        state = cut(_seeds(ends))
+        near = _Near([])
+        near.met = {r.pair_id for r in ends.where("source = target").select("pair_id").collect()}
+        size: dict[tuple[int, str], int] = {(r.pair_id, d): 1 for r in ends.select("pair_id").collect() for d in "FB"}
+        depth = dict.fromkeys(size, 0)
+    else:
+        state, size, depth = cut(near.state(spark)), near.size(), near.depth
+    met = near.met
     while True:
         _check(stop)
-        chosen = []
-        for pair in {p for p, _ in size} - met:
-            f, b = size[pair, "F"], size[pair, "B"]
-            if f and b:
-                chosen.append((pair, force or ("F" if f < b else "B")))
+        chosen = _turns(size, met, force)
         if not chosen:
             return state
         turn = F.broadcast(spark.createDataFrame([(p, d, depth[p, d] + 1) for p, d in chosen], "pair_id long, dir string, next int"))
@@ -138,7 +283,20 @@ def _links(state: DataFrame, steps: DataFrame, meeting: DataFrame, stop: Callabl
     return (empty if out is None else out).distinct()
 
 
-def shortest_paths(graph: DataFrame, redirects: DataFrame, pairs: DataFrame, force: str | None = None, with_links: bool = True, steps: DataFrame | None = None, stop: Callable[[], bool] = lambda: False) -> Search:
+def _near_ends(pairs: DataFrame, redirects: DataFrame) -> list[tuple] | None:
+    """The rows of ``resolve_pairs`` for few pairs; None for many."""
+    asked = pairs.select("pair_id", "source_in", "target_in").limit(NEAR_PAIRS + 1).collect()
+    if len(asked) > NEAR_PAIRS or any(None in r for r in asked) or len({r.pair_id for r in asked}) < len(asked):
+        return None
+    ids = sorted({x for r in asked for x in r[1:]})
+    moved = {r.source: r.target for r in redirects.where(F.col("source").isin(ids)).select("source", "target").collect()}
+    return [(r.pair_id, moved.get(r.source_in, r.source_in), r.source_in in moved, moved.get(r.target_in, r.target_in), r.target_in in moved) for r in asked]
+
+
+_ENDS = "pair_id long, source long, source_is_redirect boolean, target long, target_is_redirect boolean"
+
+
+def shortest_paths(graph: DataFrame, redirects: DataFrame, pairs: DataFrame, force: str | None = None, with_links: bool = True, steps: DataFrame | Steps | None = None, stop: Callable[[], bool] = lambda: False) -> Search:
     """Search all pairs (pair_id, source_in, target_in).
 
     ``summary`` has (pair_id, source, source_is_redirect, target,
@@ -146,19 +304,48 @@ def shortest_paths(graph: DataFrame, redirects: DataFrame, pairs: DataFrame, for
     A pair without a path has length 0 and count 0; one whose ends are the same
     page, known or not, has length 0 and count 1.  Counts are exact; one beyond
     64 bits is an error.  ``force`` ("F" or "B") expands one side only.
-    ``steps`` is ``both_ways`` of the graph, for callers that keep it; one that is
-    made here is given back.  ``stop`` is asked before each round; if it says so,
-    TimeoutError is raised.
+    ``steps`` is ``both_ways`` of the graph, or ``Steps``, for callers that keep
+    it; what is made here is given back.  ``stop`` is asked before each round; if
+    it says so, TimeoutError is raised.
     """
-    ends = cut(resolve_pairs(pairs, redirects))
-    own = steps is None
-    steps = both_ways(graph) if own else steps
+    spark, own = graph.sparkSession, steps is None
+    steps = steps if isinstance(steps, Steps) else Steps(graph, frame=steps)
+    try:
+        known = _near_ends(pairs, redirects)
+        near = None
+        if known is not None:
+            near = _Near([(p, s, t) for p, s, _, t, _ in known])
+            if near.run(spark, steps, force, stop):
+                links = near.links(spark, steps) if with_links else []
+                if links is not None:
+                    return _near_results(spark, known, near, links)
+            ends = spark.createDataFrame(known, _ENDS)
+        else:
+            ends = cut(resolve_pairs(pairs, redirects))
+        return _far(ends, near, steps.frame, force, with_links, stop)
+    finally:
+        if own:  # all rounds are written
+            steps.unpersist()
+
+
+def _near_results(spark, known: list[tuple], near: _Near, links: list[tuple[int, int, int]]) -> Search:
+    rows, meeting = [], near.meeting()
+    for row in known:
+        ways = meeting.get(row[0], {})
+        count = sum(w for _, _, w in ways.values())
+        if count > MOST:
+            raise OverflowError(f"pair {row[0]} has {count} paths")
+        rows.append((*row, max((f + b for f, b, _ in ways.values()), default=0), count))
+    return Search(spark.createDataFrame(rows, f"{_ENDS}, length int, count long"), spark.createDataFrame(links, "pair_id long, source long, target long"))
+
+
+def _far(ends: DataFrame, near: _Near | None, steps: DataFrame, force: str | None, with_links: bool, stop: Callable[[], bool]) -> Search:
     n = ends.count()
-    if n > BATCH:
+    if near is None and n > BATCH:
         batches = -(-n // BATCH)
         parts = [_levels(ends.where(F.pmod(F.xxhash64("pair_id"), F.lit(batches)) == i), steps, force, stop) for i in range(batches)]
     else:
-        parts = [_levels(ends, steps, force, stop)]
+        parts = [_levels(ends, steps, force, stop, near)]
     state = parts[0]
     for part in parts[1:]:
         state = state.unionByName(part)
@@ -166,8 +353,6 @@ def shortest_paths(graph: DataFrame, redirects: DataFrame, pairs: DataFrame, for
     total = meeting.groupBy("pair_id").agg(F.max(F.col("df") + F.col("db")).alias("length"), F.sum("ways").cast(COUNT).alias("count"))
     summary = ends.join(total, "pair_id", "left").select(*ends.columns, F.coalesce("length", F.lit(0)).cast("int").alias("length"), F.coalesce("count", F.lit(0)).cast("long").alias("count"))
     links = _links(state, steps, meeting, stop) if with_links else meeting.where("false").select("pair_id", F.col("node").alias("source"), F.col("node").alias("target"))
-    if own:  # all rounds are written
-        steps.unpersist()
     return Search(summary, links)
 
 
@@ -175,11 +360,25 @@ def levels(graph: DataFrame, start: int) -> DataFrame:
     """(node, depth) of every node that can be reached from ``start``."""
     spark = graph.sparkSession
     steps = both_ways(graph)
-    frontier = state = cut(spark.range(1).select(F.lit(start).cast("long").alias("node"), F.lit(0).alias("depth")))
-    depth = 0
+    forward, ids = steps.where("dir = 'F'").select("a", "b"), "node long, depth int"
+    held, last, depth = {start: 0}, [start], 0
+    while last and len(held) <= NEAR:  # held by the driver while they are few
+        level = F.broadcast(spark.createDataFrame([(n,) for n in last], "a long"))
+        found = [r.b for r in forward.join(level, "a").select("b").distinct().limit(NEAR + 1).collect()]
+        if len(found) > NEAR:
+            break
+        depth += 1
+        last = [n for n in found if n not in held]
+        held.update(dict.fromkeys(last, depth))
+    state = spark.createDataFrame(list(held.items()), ids)
+    if not last:
+        steps.unpersist()
+        return state
+    state = cut(state)
+    frontier = state.where(F.col("depth") == depth)
     while True:
         depth += 1
-        new = frontier.join(steps.where("dir = 'F'"), F.col("node") == F.col("a")).select(F.col("b").alias("node")).distinct().join(state, "node", "left_anti")
+        new = frontier.join(forward, F.col("node") == F.col("a")).select(F.col("b").alias("node")).distinct().join(state, "node", "left_anti")
         new = cut(new.select("node", F.lit(depth).alias("depth")))
         if new.isEmpty():
             steps.unpersist()

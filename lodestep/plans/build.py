@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
 import logging
 import threading
 import uuid
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from concurrent.futures import TimeoutError as TookTooLong
 
@@ -68,7 +69,7 @@ def build(
     for language in languages:
         metadata = Metadata(language, latest_date(spark, dumps, language) if date == "latest" else date)
         final, draft = store.path_of(databases, metadata), store.draft_of(databases, metadata)
-        if session.exists(spark, final) and not force:
+        if store.published(spark, final) and not force:
             log.info("%s exists", metadata.name)
             done.append(metadata)
             continue
@@ -81,7 +82,7 @@ def build(
         page = tables["page"].persist()
         clean.require_rows(page, "page")
         redirects, links = build_graph(page, tables["redirect"], tables["linktarget"], tables["pagelinks"])
-        store.write_redirects(redirects, draft)
+        store.write_redirects(redirects, draft, partitions)
         clean.require_rows(spark.read.parquet(f"{draft}/redirects"), "redirect")
         store.write_links(links, draft, partitions)
         clean.require_rows(spark.read.parquet(f"{draft}/links"), "pagelinks")
@@ -99,30 +100,63 @@ class Server:
 
     def __init__(self, spark: SparkSession, databases: str):
         self.spark, self.catalog = spark, store.Catalog(spark, databases).refresh()
-        self._steps: dict[str, tuple[store.Database, DataFrame]] = {}
+        self._steps: dict[str, tuple[store.Database, search.Steps]] = {}
+        self._users: dict[search.Steps, int] = {}
+        self._lock = threading.RLock()
 
     def refresh(self) -> None:
         """List the folder anew; what is held of databases that went or were replaced is given back."""
-        self.catalog.refresh()
-        self._give_back()
+        with self._lock:
+            self.catalog.refresh()
+            self._give_back()
 
     def _give_back(self) -> None:
-        held = {d.metadata.name: d for d in self.catalog.databases.values()}
-        for name, (database, steps) in list(self._steps.items()):
-            if held.get(name) is not database:
-                steps.unpersist()
-                del self._steps[name]
+        """Forget the steps of databases that aren't in the catalog; those in use go when their last search ends."""
+        with self._lock:
+            held = {d.metadata.name: d for d in self.catalog.databases.values()}
+            for name, (database, steps) in list(self._steps.items()):
+                if held.get(name) is not database:
+                    del self._steps[name]
+                    if not self._users.get(steps):
+                        steps.unpersist()
+
+    @contextlib.contextmanager
+    def _used(self, database: store.Database) -> Iterator[search.Steps]:
+        """The steps of a database for one search."""
+        with self._lock:
+            steps = self.steps(database)
+            self._users[steps] = self._users.get(steps, 0) + 1
+        try:
+            yield steps
+        finally:
+            with self._lock:
+                self._users[steps] -= 1
+                if not self._users[steps]:
+                    del self._users[steps]
+                    if not any(s is steps for _, s in self._steps.values()):
+                        steps.unpersist()
+
+    def _leased(self, language_code: str, date_code: str, held: contextlib.ExitStack) -> store.Database:
+        """The database with a lease on its generation; one that was replaced meanwhile is opened anew."""
+        for _ in range(3):
+            database = self.catalog.get(language_code, date_code)
+            try:
+                return held.enter_context(store.lease(database))
+            except store.GenerationGone:
+                self.refresh()
+        raise KeyError((language_code, date_code))
 
     def watch(self, checkpoint: str, seconds: int = 5) -> StreamingQuery:
         """Keep up with the folder until the returned stream is stopped."""
         return watch.watch(self.catalog, checkpoint, lambda found: self._give_back(), seconds)
 
-    def steps(self, database: store.Database) -> DataFrame:
-        """The links both ways, once a database."""
+    def steps(self, database: store.Database) -> search.Steps:
+        """The links both ways, once a database; few nodes are looked up in its files."""
         name = database.metadata.name
-        if name not in self._steps or self._steps[name][0] is not database:
-            self._steps[name] = database, search.both_ways(database.links)
-        return self._steps[name][1]
+        with self._lock:
+            if name not in self._steps or self._steps[name][0] is not database:
+                self._steps[name] = database, search.Steps(database.links, database.near)
+            return self._steps[name][1]
 
     def list_databases(self) -> str:
         return self.catalog.list_json()
@@ -132,17 +166,20 @@ class Server:
 
         Beyond ``limit`` seconds TimeoutError is raised at once: running jobs are
         cancelled and the search stops before its next round.  Files of the
-        search are deleted when it ends.
+        search are deleted when it ends.  A search holds a lease on its
+        generation, so that a rebuild meanwhile changes nothing for it.
         """
-        database = self.catalog.get(language_code, date_code)
+        held = contextlib.ExitStack()
+        database = self._leased(language_code, date_code, held)
         group, late = f"paths-{language_code}-{source}-{target}-{uuid.uuid4().hex}", threading.Event()
 
         def answer() -> str:
-            self.spark.sparkContext.setJobGroup(group, group, True)
-            pairs = self.spark.createDataFrame([(0, source, target)], "pair_id long, source_in long, target_in long")
-            with session.cuts(self.spark):
-                found = search.shortest_paths(database.links, database.redirects, pairs, steps=self.steps(database), stop=late.is_set)
-                return search.to_json(search.records(found, language_code, date_code)).first().json
+            with held, self._used(database) as steps:
+                self.spark.sparkContext.setJobGroup(group, group, True)
+                pairs = self.spark.createDataFrame([(0, source, target)], "pair_id long, source_in long, target_in long")
+                with session.cuts(self.spark):
+                    found = search.shortest_paths(database.links, database.redirects, pairs, steps=steps, stop=late.is_set)
+                    return search.to_json(search.records(found, language_code, date_code)).first().json
 
         pool = ThreadPoolExecutor(1)
         future = pool.submit(inheritable_thread_target(self.spark)(answer))

@@ -10,9 +10,14 @@ RELATIONS = {"page": PAGE, "redirect": REDIRECT, "linktarget": LINKTARGET, "page
 
 REDIRECTS = "source long, target long"
 LINKS = "source long, target long"
-INCOMING = "target long, sources array<long>"
-OUTGOING = "source long, targets array<long>"
+# lists are cut into parts of bounded length; a part's number is its least id
+INCOMING = "target long, part long, sources array<long>"
+OUTGOING = "source long, part long, targets array<long>"
 TABLES = {"redirects": REDIRECTS, "links": LINKS, "incoming": INCOMING, "outgoing": OUTGOING}
+#: The column by which each table is sorted and looked up.
+KEYS = {"redirects": "source", "links": "source", "incoming": "target", "outgoing": "source"}
+#: The least and the greatest key in each file of the tables.
+MANIFEST = "table string, file string, low long, high long, rows long"
 
 PAIRS = "pair_id long, source_in long, target_in long"
 PATHS = (

@@ -104,3 +104,9 @@ def children(spark: SparkSession, path: str) -> list[tuple[str, bool]]:
     if not fs.exists(target):
         return []
     return sorted((s.getPath().getName(), s.isDirectory()) for s in fs.listStatus(target))
+
+
+def touch(spark: SparkSession, path: str) -> None:
+    """Make an empty file."""
+    fs, target = filesystem(spark, path)
+    fs.create(target, True).close()

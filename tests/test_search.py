@@ -88,3 +88,50 @@ def test_paths_go_by_text(spark):
     found = run(spark, [(1, 9), (1, 10), (9, 2), (10, 2)], [(1, 2)])
     assert [r.path for r in paths.enumerate_paths(found, 1).collect()] == [[1, 10, 2]]
     assert paths.enumerate_paths(found, None).count() == 2
+
+
+@pytest.mark.parametrize("near", [0, 6, 25, 10**6])
+def test_a_search_that_grows_goes_on_far(spark, monkeypatch, near):
+    """Whatever the driver may hold, answers are the same: from the start, from some level, or for the links only."""
+    monkeypatch.setattr(search, "NEAR", near)
+    r = random.Random(5)
+    edges = sorted({(a, b) for a, b in ((r.randrange(40), r.randrange(40)) for _ in range(110)) if a != b})
+    pairs = [(r.randrange(42), r.randrange(42)) for _ in range(4)]
+    assert results(run(spark, edges, pairs)) == {i: plain(edges, s, t) for i, (s, t) in enumerate(pairs)}
+    depths = {n: plain(edges, edges[0][0], n)[0] for n in {x for e in edges for x in e} if plain(edges, edges[0][0], n)[1]}
+    assert {x.node: x.depth for x in search.levels(spark.createDataFrame(edges, "source long, target long"), edges[0][0]).collect()} == depths
+
+
+def test_more_pairs_than_the_driver_takes_and_pairs_without_ids(spark, monkeypatch):
+    monkeypatch.setattr(search, "NEAR_PAIRS", 2)
+    asked = [(1, 7), (9, 7), (7, 1), (5, 5)]
+    assert [results(run(spark, HAND, asked, [(9, 1)]))[i][:2] for i in range(4)] == [(4, 4), (4, 4), (0, 0), (0, 1)]
+
+
+def test_few_nodes_are_looked_up(spark, monkeypatch):
+    """The lookup is asked for levels of few nodes, and all steps are never kept."""
+    graph = spark.createDataFrame(HAND, "source long, target long")
+    asked = []
+
+    def lookup(forward, back):
+        asked.append((forward, back))
+        steps = [("F", a, b) for a, b in HAND if a in forward] + [("B", b, a) for a, b in HAND if b in back]
+        return spark.createDataFrame(steps, "dir string, a long, b long")
+
+    steps = search.Steps(graph, lookup)
+    pairs = spark.createDataFrame([(0, 1, 7)], "pair_id long, source_in long, target_in long")
+    none = spark.createDataFrame([], "source long, target long")
+    found = results(search.shortest_paths(graph, none, pairs, steps=steps))
+    assert found == {0: plain(HAND, 1, 7)} and len(asked) == 5 and steps._frame is None
+    monkeypatch.setattr(search, "LOOKUP", 0)
+    asked.clear()
+    assert results(search.shortest_paths(graph, none, pairs, steps=steps)) == found
+    assert not asked and steps._frame is not None
+    steps.unpersist()
+
+
+def test_counts_beyond_64_bits_are_an_error(spark):
+    edges = [(2 * i, x) for i in range(64) for x in (1000 + i, 2000 + i)] + [(x, 2 * i + 2) for i in range(64) for x in (1000 + i, 2000 + i)]
+    with pytest.raises(OverflowError):
+        run(spark, edges, [(0, 128)])
+    assert results(run(spark, edges, [(0, 40)]))[0][:2] == (40, 2**20)
