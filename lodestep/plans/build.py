@@ -76,8 +76,7 @@ def build(
         session.delete(spark, draft)
         sums = f"{dumps}/{language}wiki-{metadata.date_code}-sha1sums.txt"
         if session.exists(spark, sums):
-            for row in dump.checksums(spark, sums).collect():  # four rows
-                dump.check_file(spark, f"{dumps}/{row.file_name}", row.sha1)
+            dump.check_files(spark, {f"{dumps}/{row.file_name}": row.sha1 for row in dump.checksums(spark, sums).collect()})  # four rows
         tables = {kind: dump.scan(spark, f"{dumps}/{format_dump(metadata, kind)}", kind, partitions) for kind in KINDS}
         page = tables["page"].persist()
         clean.require_rows(page, "page")

@@ -1,16 +1,50 @@
-"""Cutting lineage in loops, in the folder that all executors share."""
+"""Importable workers, and cutting lineage in loops, in the folder that all executors share."""
 
 from __future__ import annotations
 
 import atexit
 import contextlib
 import contextvars
+import os
+import shutil
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Iterator
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+_PACKAGE = Path(__file__).resolve().parent
+#: Name of the archive in which the package is sent to executors.
+_SENT = f"{_PACKAGE.name}-{uuid.uuid4().hex}.zip"
+
+
+def archive(folder: str) -> str:
+    """The package as an archive of some 100 KB."""
+    path = os.path.join(folder, _SENT)
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as out:
+        for file in sorted(_PACKAGE.rglob("*.py")):
+            out.write(file, file.relative_to(_PACKAGE.parent))
+    return path
+
+
+def importable(spark: SparkSession) -> None:
+    """Let Python workers import this package.
+
+    Workers of this machine take it from its folder.  Executors get it as an
+    archive, which the driver serves while the session lasts.
+    """
+    sc = spark.sparkContext
+    if sc.master.startswith("local") and not sc.master.startswith("local-cluster"):
+        parts = [p for p in sc.environment.get("PYTHONPATH", os.environ.get("PYTHONPATH", "")).split(os.pathsep) if p]
+        if str(_PACKAGE.parent) not in parts:
+            sc.environment["PYTHONPATH"] = os.pathsep.join([str(_PACKAGE.parent), *parts])
+    elif not any(f.endswith(_SENT) for f in sc.listFiles):
+        folder = tempfile.mkdtemp(prefix="lodestep-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        sc.addPyFile(archive(folder))
+
 
 def shared_dir(spark: SparkSession) -> str:
     """``spark.checkpoint.dir``; only where a local session has none, a folder of this machine is set."""

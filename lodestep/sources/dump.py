@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import session
+from . import gzindex
 from ..functions import names, patterns
 from ..functions.text import ratio
 
+#: Bytes of a gzip file from which it is read by many tasks.
+SPLIT = 64 << 20
 _COLUMNS = {
     "page": (("page_id", patterns.page_id), ("namespace", patterns.namespace), ("title", None)),
     "redirect": (("rd_from", patterns.page_id), ("rd_namespace", patterns.namespace), ("rd_title", None)),
@@ -40,12 +46,16 @@ def parse(dump_lines: DataFrame, relation: str) -> DataFrame:
     return typed.withColumn("malformed", bad)
 
 
-def scan(spark: SparkSession, path: str, relation: str, partitions: int | None = None) -> DataFrame:
-    """The well-formed rows of a relation.
+def split_lines(spark: SparkSession, path: str, least: int = SPLIT) -> DataFrame:
+    """``lines``, of a large gzip file by way of its points, so that many tasks read it."""
+    fs, target = session.filesystem(spark, path)
+    large = path.endswith(".gz") and fs.exists(target) and fs.getFileStatus(target).isFile() and fs.getFileStatus(target).getLen() >= least
+    return gzindex.lines(spark, path) if large else lines(spark, path)
 
-    A gzip file is read by one task; with ``partitions`` what follows it is spread.
-    """
-    out = parse(lines(spark, path), relation).where("not malformed").drop("malformed")
+
+def scan(spark: SparkSession, path: str, relation: str, partitions: int | None = None) -> DataFrame:
+    """The well-formed rows of a relation; a large gzip file is read by many tasks, and with ``partitions`` a small one's rows are spread."""
+    out = parse(split_lines(spark, path), relation).where("not malformed").drop("malformed")
     return out.repartition(partitions) if partitions else out
 
 
@@ -82,18 +92,35 @@ def checksums(spark: SparkSession, path: str) -> DataFrame:
     return first
 
 
+def sha1s(spark: SparkSession, paths: Sequence[str]) -> dict[str, str]:
+    """SHA-1 of files at paths that ``pyarrow.fs`` opens: a task a file, which reads it as a stream."""
+    session.importable(spark)
+
+    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path, uri in zip(*(c.to_pylist() for c in batch.columns)):
+                total = hashlib.sha1()
+                with gzindex.opened(uri) as file:
+                    while data := file.read(gzindex.READ):
+                        total.update(data)
+                yield pa.RecordBatch.from_pydict({"path": [path], "sha1": [total.hexdigest()]})
+
+    named = spark.createDataFrame([(p, gzindex.address(spark, p)) for p in paths], "path string, uri string")
+    return {r.path: r.sha1 for r in named.repartitionByRange(len(paths), "path").mapInArrow(digest, "path string, sha1 string").collect()}
+
+
 def file_sha1(spark: SparkSession, path: str) -> str:
-    """SHA-1 of a file at any path that Spark's file systems open, streamed."""
-    fs, target = session.filesystem(spark, path)
-    stream = fs.open(target)
-    try:
-        return spark.sparkContext._jvm.org.apache.commons.codec.digest.DigestUtils.sha1Hex(stream)
-    finally:
-        stream.close()
+    """SHA-1 of a file, streamed."""
+    return sha1s(spark, [path])[path]
+
+
+def check_files(spark: SparkSession, sha1: dict[str, str]) -> None:
+    """Raise unless the files have the SHA-1s."""
+    for path, found in sorted(sha1s(spark, sorted(sha1)).items()):
+        if found != sha1[path]:
+            raise ValueError(f"{path} has SHA-1 {found}, not {sha1[path]}")
 
 
 def check_file(spark: SparkSession, path: str, sha1: str) -> None:
     """Raise unless the file at ``path`` has the SHA-1."""
-    found = file_sha1(spark, path)
-    if found != sha1:
-        raise ValueError(f"{path} has SHA-1 {found}, not {sha1}")
+    check_files(spark, {path: sha1})

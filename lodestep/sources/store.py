@@ -366,7 +366,7 @@ def clean_up(spark: SparkSession, folder: str, metadata: Metadata, dumps: bool =
     """
     gone = []
     for name, _ in session.children(spark, folder):
-        parsed = (parse_dump(name) or (None,))[0] if dumps else parse_database(name)
+        parsed = (parse_dump(name.removesuffix(".points")) or (None,))[0] if dumps else parse_database(name)
         if parsed and parsed.language_code == metadata.language_code and parsed.date_code != metadata.date_code:
             path = f"{folder.rstrip('/')}/{name}"
             if dumps:
