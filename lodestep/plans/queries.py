@@ -9,7 +9,8 @@ from .. import session
 from ..functions import names
 from ..functions.text import saturating_minus
 from ..operators import clean, paths, search, titles
-from ..sources import dump, store
+from ..sources import dump, gzindex, store
+from ..streaming import ingest
 from .fixtures import Fixture
 
 
@@ -181,6 +182,58 @@ def lookup_outgoing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _stored(spark, sf_dir).outgoing_links(Fixture(spark, sf_dir).ids).select("page_id", _ids("targets").alias("value"))
 
 
+def indexed_lookups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Redirect and neighbours of every hundredth page, from the files that can hold them."""
+    db, out = _stored(spark, sf_dir), None
+    asked = Fixture(spark, sf_dir).page.where("page_id % 100 = 0").select("page_id")
+    kinds = (("redirect", db.redirect(asked).select("page_id", F.col("target").cast("string").alias("value"))), ("incoming", db.incoming_links(asked).select("page_id", _ids("sources").alias("value"))), ("outgoing", db.outgoing_links(asked).select("page_id", _ids("targets").alias("value"))))
+    for kind, found in kinds:
+        found = found.select("page_id", F.lit(kind).alias("kind"), "value")
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
+def list_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each page's incoming list, counted over its parts; no part is longer than the bound."""
+    rows = _stored(spark, sf_dir).incoming.select("target", F.size("sources").alias("size"))
+    return rows.groupBy(F.col("target").alias("page_id")).agg(F.sum("size").cast("long").alias("n"), (F.max("size") <= store.PART).alias("bounded"))
+
+
+def dump_split_pagelinks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Page links in one gzip file, which many tasks read."""
+    path = session.shared_path(spark, "dump")
+    rows = dump_rows(Fixture(spark, sf_dir), "pagelinks").unionByName(spark.createDataFrame([(r,) for r in BROKEN["pagelinks"]], "row string"))
+    text = rows.select(F.concat(F.lit("INSERT INTO `pagelinks` VALUES "), F.col("row"), F.lit(";")).alias("value"))
+    text.coalesce(1).write.text(path, compression="gzip")
+    file = next(name for name, _ in session.children(spark, path) if name.endswith(".gz"))
+    found = dump.parse(gzindex.lines(spark, f"{path}/{file}", span=256 << 10), "pagelinks").where("not malformed")
+    return found.select("pl_from", F.col("pl_target_id").cast("long").alias("pl_target_id"))
+
+
+def _batched(spark: SparkSession, sf_dir: str) -> ingest.LinkFolder:
+    """The fixture's links in five batches that overlap, out of order, some sent twice, merged halfway."""
+    links, folder = Fixture(spark, sf_dir).links, ingest.LinkFolder(spark, session.shared_path(spark, "batches"), buckets=8)
+    part = F.pmod(F.xxhash64("source", "target"), F.lit(5))
+    for i in (3, 0, 4, 3, 1):
+        folder.append(links.where((part == i) | (part == (i + 1) % 5)), i)
+        if i == 4:
+            folder.compact()
+    folder.append(links.where((part == 0) | (part == 1)), 0)
+    folder.append(links.where((part == 2) | (part == 3)), 2)
+    return folder
+
+
+def batched_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _batched(spark, sf_dir).links()
+
+
+def batched_incoming(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Incoming lists of links that came in batches, merged on read."""
+    parts = _batched(spark, sf_dir).lists("incoming")
+    whole = parts.groupBy("target").agg(F.array_sort(F.flatten(F.collect_list("sources"))).alias("sources"))
+    return whole.select(F.col("target").alias("page_id"), F.size("sources").cast("long").alias("n"), _ids("sources").alias("ids"))
+
+
 def bfs_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.levels(Fixture(spark, sf_dir).links, 0).groupBy(F.col("depth").cast("long").alias("depth")).agg(F.count("*").alias("n"))
 
@@ -327,6 +380,6 @@ def queries() -> dict:
         shortest_path_summary_all, shortest_path_links_all, redirect_key_check, linktarget_key_check, build_counts, checksum_catalog, title_first_match, shortest_paths_page_arrays,
         bfs_levels, shortest_path_summary, shortest_path_summary_sparse, shortest_path_links, shortest_path_adjacency, shortest_path_json, shortest_paths_all,
         shortest_paths_first8, shortest_paths_titled, pages_to_fetch, graph_nodes, graph_edges, path_summary_text, page_urls, title_fold_match, title_suggest,
-        name_parse, dump_name_parse, catalog_newest, catalog_cleanup, default_language, link_sources_missing_page, random_page,
+        indexed_lookups, list_parts, dump_split_pagelinks, batched_links, batched_incoming, name_parse, dump_name_parse, catalog_newest, catalog_cleanup, default_language, link_sources_missing_page, random_page,
     )
     return {f.__name__: f for f in own}

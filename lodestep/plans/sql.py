@@ -109,6 +109,16 @@ ORACLES = {
     "lookup_redirect": _clean(f"SELECT k.page_id, r.target AS value FROM ({fx.ALL_IDS}) k LEFT JOIN g_redirects r ON r.source = k.page_id"),
     "lookup_incoming": _graph(_LOOKUP.format("target", "source")),
     "lookup_outgoing": _graph(_LOOKUP.format("source", "target")),
+    "indexed_lookups": _graph(
+        """SELECT k.page_id, kind, CASE kind WHEN 'redirect' THEN CAST(r.target AS VARCHAR) WHEN 'incoming' THEN coalesce(i.ids, '') ELSE coalesce(o.ids, '') END AS value
+FROM (SELECT page_id FROM fx_page WHERE page_id % 100 = 0) k, (VALUES ('redirect'), ('incoming'), ('outgoing')) v(kind) LEFT JOIN g_redirects r ON r.source = k.page_id
+LEFT JOIN (SELECT target, string_agg(CAST(source AS VARCHAR), ',' ORDER BY source) AS ids FROM g_links GROUP BY 1) i ON i.target = k.page_id
+LEFT JOIN (SELECT source, string_agg(CAST(target AS VARCHAR), ',' ORDER BY target) AS ids FROM g_links GROUP BY 1) o ON o.source = k.page_id"""
+    ),
+    "list_parts": _graph("SELECT target AS page_id, CAST(count(*) AS BIGINT) AS n, true AS bounded FROM g_links GROUP BY 1"),
+    "dump_split_pagelinks": _with("SELECT pl_from, CAST(pl_target_id AS BIGINT) AS pl_target_id FROM fx_pagelinks"),
+    "batched_links": _graph("SELECT source, target FROM g_links"),
+    "batched_incoming": _graph(_ADJACENT.format("target", "source")),
     "redirect_key_check": _clean("SELECT count(*) AS violations FROM (SELECT s FROM raw GROUP BY s HAVING count(DISTINCT t) > 1)"),
     "linktarget_key_check": _with("SELECT count(*) AS violations FROM (SELECT lt_id FROM fx_linktarget JOIN fx_page ON namespace = lt_namespace AND title = lt_title GROUP BY lt_id HAVING count(DISTINCT page_id) > 1)"),
     "build_counts": _graph(
