@@ -238,10 +238,11 @@ class Codec:
             part.append(self.split(text))
             size += len(part[-1])
             if size >= TOGETHER or i == len(texts) - 1:
-                new = set().union(*part) - self.known.keys()
-                for word in new & self.older.keys():
+                # by lookups in the dictionary; with its keys as a set each difference would walk all of them
+                new = set().union(*part).difference(self.known)
+                for word in [w for w in new if w in self.older]:
                     self.known[word] = self.older[word]
-                self.learn(new - self.older.keys())
+                self.learn(new.difference(self.known))
                 out += [b"".join(map(self.known.__getitem__, words)) for words in part]
                 if len(self.known) > REMEMBERED:
                     self.known, self.older = {}, self.known

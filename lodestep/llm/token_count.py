@@ -102,11 +102,12 @@ class Tokenizer:
 
     def _counts(self, part: list[list[str]]) -> list[np.ndarray]:
         """Tokens of each pre-token of some texts."""
-        new = set().union(*part) - self.known.keys()
-        for w in new & self.older.keys():
+        # by lookups in the dictionary; with its keys as a set each difference would walk all of them
+        new = set().union(*part).difference(self.known)
+        for w in [w for w in new if w in self.older]:
             self.known[w] = self.older[w]
             self.held += len(w)
-        new = list(new - self.older.keys())
+        new = list(new.difference(self.known))
         self.known.update(zip(new, self.library(new)))
         self.held += sum(map(len, new))
         out = [np.fromiter(map(self.known.__getitem__, words), np.int64, len(words)) for words in part]
