@@ -7,7 +7,8 @@ run, and its Shannon entropy follows from character counts that are updated by
 one character in and one out.  Windows at or above the class's threshold are
 joined to spans.  A span is suppressed if the allow list matches it or the value
 that holds it (the whole candidate string, or what stands between its ``=``), or
-if a patterned span covers it already.  The time is linear in the text.
+if a patterned span covers it already.  Keys of fewer than ``WINDOW`` characters
+have no window and are found only by a pattern.  The time is linear in the text.
 
 Starts and ends are code points, ends exclusive.  Null and empty texts have no
 spans; an empty table gives an empty one; repeated rows get the same spans each.
@@ -53,11 +54,22 @@ CLASSES = (
     CharClass("a-z0-9", 3.7, ((_DIGITS, 3), (_LOWER, 3))),
     CharClass("A-Z0-9", 3.7, ((_DIGITS, 3), (_UPPER, 3))),
 )
-#: Strings that look random and are no secrets.
+_STANDS_FOR = "(?:example|placeholder|changeme|dummy|sample)"
+#: Sequences that somebody types, or that name an alphabet.
+_SEQUENCES = (_DIGITS, _DIGITS + "abcdef", _LOWER, _DIGITS + _LOWER, _LOWER + _DIGITS, _UPPER + _LOWER + _DIGITS, _DIGITS + _UPPER + _LOWER, _DIGITS + _LOWER + _UPPER)
+
+
+def _mostly(sequence: str) -> str:
+    """A string of which the sequence, or its first ten characters, is half or more."""
+    return "|".join(f".{{0,{n // 2}}}{sequence[:n]}.{{0,{n // 2}}}" for n in sorted({10, len(sequence)}))
+
+
+#: Strings that look random and are no secrets.  What marks a dummy must stand at an end of a string, or alone between
+#: separators, or be most of it, so that a long key isn't the likelier to be passed over.
 ALLOW = (
     r"[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}",
-    r"(?i:.*(?:example|placeholder|changeme|dummy|sample).*)",
-    r"(?i:.*(?:0123456789|abcdefghij|(.)\1{7}).*)",
+    rf"(?is:{_STANDS_FOR}.*|.*{_STANDS_FOR}(?:key|token|secret|value)?|.*[^a-z0-9]{_STANDS_FOR}[^a-z0-9].*)",
+    f"(?i:{'|'.join(map(_mostly, _SEQUENCES))})",
 )
 WINDOW = 20
 

@@ -1,5 +1,6 @@
 """Edge cases of every operator on documents: nulls, empty and very long texts, ties, repeated rows, empty tables, clashing names."""
 
+import random
 from pathlib import Path
 
 import pytest
@@ -265,3 +266,23 @@ def test_the_package_sent_to_executors_is_whole(tmp_path):
     path = session._archive(str(tmp_path))
     said = subprocess.run([sys.executable, "-I", "-c", f"import sys; sys.path.insert(0, {path!r}); from lodestep.llm import bpe, near_dup; print(bpe.__file__)"], capture_output=True, text=True)
     assert path in said.stdout, said.stderr
+
+
+def test_long_keys_are_not_the_likelier_to_be_passed_over():
+    """Runs and sequences inside a key hide nothing; a string that is mostly one is no key."""
+    import base64
+
+    scanner, r = secret_scan.Scanner(), random.Random(6)
+    body = "b3BlbnNzaC1rZXktdjEAAAAABG5vbmUAAAAEbm9uZQAAAAAAAAABAAAAMwAAAAtzc2gtZW"
+    assert [k for k, _, _ in scanner.spans(body)] == ["entropy"]
+    pem = base64.b64encode(r.randbytes(1200)).decode().replace("=", "")
+    lines = "\n".join(pem[i : i + 64] for i in range(0, 1536, 64))
+    covered = sum(b - a for k, a, b in scanner.spans(lines))
+    assert covered > 0.8 * len(lines)
+    for inside in ("0123456789", "abcdefghij", "AAAAAAAAAAAA", "xExampleX", "dummy"):
+        for at in (100, 300, 600):
+            blob = pem[:at] + inside + pem[at:648]
+            spans = scanner.spans(blob)
+            assert sum(b - a for _, a, b in spans) > 0.8 * len(blob), (inside, at)
+    for dummy in ("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", "0123456789abcdefghijklmnopqrstuvwxyz", "k0123456789abcdefQ7x", "AKIB" + "IOSFODNN7aQ3xEXAMPLE", "wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY", "sk_dummy_aB3xQ9zLk2mN8vRt5yWp7"):
+        assert scanner.spans(dummy) == [], dummy
