@@ -9,8 +9,10 @@ them one path to the root.
 
 Pre-tokens that a worker meets for the first time are merged together: those of
 like length share one array of trees, so that each step is a few array
-operations for thousands of trees.  Pre-tokens of more than ``WIDE`` bytes have
-a tree of their own.
+operations for thousands of trees.  Pre-tokens of more than ``WIDE`` bytes stand
+side by side in one tree of ``FAN`` children a node, some ``LONG_BYTES`` at once;
+a step takes all pairs of the least rank from left to right, as far as no merge
+among them makes a pair that would go before the next.  They aren't remembered.
 
 Null and empty text gives no ids and decodes to no bytes; an empty table gives an
 empty one; repeated rows are coded each.  Every pre-token of a text is coded,
@@ -41,8 +43,10 @@ RANK_BYTES = 16 << 20
 WIDE = 64
 #: Pre-tokens of a generation that a worker remembers; it keeps two, and a word that is met again moves to the newer one.
 REMEMBERED = 120_000
-#: Pre-tokens of texts that are encoded together, and bytes of trees that are merged at once.
-TOGETHER, TREE_BYTES = 60_000, 1 << 18
+#: Pre-tokens of texts that are encoded together, and their characters; and bytes of trees that are merged at once.
+TOGETHER, CHARACTERS, TREE_BYTES = 60_000, 1 << 22, 1 << 18
+#: Bytes of long pre-tokens that share a tree, and below which each has one of its own; and children of a node of the shared tree.
+LONG_BYTES, FEW_BYTES, FAN = 1 << 22, 1 << 14, 16
 
 _NO_PAIR = np.int64(1) << 62
 #: Above every key of a tree that is one of many: rank * WIDE + position must stay below.
@@ -110,6 +114,10 @@ class Codec:
         )
         self.pair_key = np.array([k for k, _ in pairs] + [_NO_PAIR], np.int64)
         self.pair_rank = np.array([r for _, r in pairs] + [0], np.int32)
+        # tokens that are part of a pair of lesser rank than their own, on its left or right
+        self.early = np.zeros(len(self.bytes_of), bool)
+        for part in (self.pair_key[:-1] >> 32, self.pair_key[:-1] & 0xFFFFFFFF):
+            self.early[part[self.pair_rank[:-1] < part]] = True
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
@@ -211,16 +219,98 @@ class Codec:
             at = ends[at]
         return np.array(out, "<u4").tobytes()
 
-    def learn(self, words: set[str]) -> None:
-        """Remember the ids of words."""
+    def _ranks_at(self, at: np.ndarray, ids: np.ndarray, after: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """Ranks of the pairs that start at live positions of the shared tree; ``_NONE`` at a word's end."""
+        follow = after[at]
+        inside = ~first[follow]
+        pair = ids[at].astype(np.int64) << 32 | ids[np.where(inside, follow, 0)]
+        found = np.searchsorted(self.pair_key, pair)
+        return np.where(inside & (self.pair_key[found] == pair), self.pair_rank[found], _NONE)
+
+    def merge_side_by_side(self, words: list[bytes]) -> list[bytes]:
+        """Packed ids of words, all in one tree."""
+        starts = np.cumsum([0, *map(len, words)])
+        n = int(starts[-1])
+        ids = self.byte_id.astype(np.int32)[np.frombuffer(b"".join(words), np.uint8)]
+        first = np.zeros(n + 1, bool)  # of a word, or the end of all
+        first[starts] = True
+        after, before = np.arange(1, n + 1, dtype=np.int32), np.arange(-1, n - 1, dtype=np.int32)
+        alive = np.ones(n, bool)
+        step = TREE_BYTES
+        tree = [np.concatenate([self._ranks_at(np.arange(i, min(i + step, n)), ids, after, first).astype(np.int32) for i in range(0, n, step)])]
+        while len(tree) == 1 or len(tree[-1]) > 1:
+            low = tree[-1]
+            tree[-1] = np.concatenate([low, np.full(-len(low) % FAN, _NONE, np.int32)])
+            tree.append(tree[-1].reshape(-1, FAN).min(axis=1))
+        children = [level.reshape(-1, FAN) for level in tree[:-1]]
+        while (rank := tree[-1][0]) < _NONE:
+            at = np.zeros(1, np.int64)
+            for level in reversed(children):
+                node, child = np.nonzero(level[at] == rank)
+                at = at[node] * FAN + child
+            # of pairs that overlap, each other one from the left
+            chained = np.concatenate([[False], after[at[:-1]] == at[1:]])
+            if chained.any():
+                place = np.arange(len(at))
+                at = at[(place - np.maximum.accumulate(np.where(chained, 0, place))) % 2 == 0]
+            dead = after[at]
+            follow = after[dead]
+            if self.early[rank]:
+                # what would go before the next merge, as neighbours stand when it is this one's turn: left ones are merged
+                left = before[at]
+                merged_left = np.concatenate([[False], dead[:-1] == left[1:]])
+                left_id = np.where(merged_left, rank, ids[left])
+                own = np.full(len(at), rank)
+                sooner = ~first[follow] & (self._rank_of(own, ids[np.minimum(follow, n - 1)]) < rank)
+                sooner |= ~first[at] & (self._rank_of(left_id, own) < rank)
+                word = np.searchsorted(starts, at, "right")
+                stop = np.full(len(words) + 1, n, np.int64)
+                np.minimum.at(stop, word[sooner], at[sooner])
+                keep = at <= stop[word]
+                at, dead, follow = at[keep], dead[keep], follow[keep]
+            ids[at], after[at], alive[dead] = rank, follow, False
+            inner = ~first[follow]
+            before[follow[inner]] = at[inner]
+            changed = np.concatenate([at, before[at[~first[at]]]])
+            tree[0][dead] = _NONE
+            tree[0][changed] = self._ranks_at(changed, ids, after, first)
+            nodes = np.unique(np.concatenate([changed, dead]) // FAN)
+            for level, above in zip(children, tree[1:]):
+                above[nodes] = level[nodes].min(axis=1)
+                nodes = nodes // FAN
+                nodes = nodes[np.concatenate([[True], nodes[1:] != nodes[:-1]])]
+        packed, live = ids[alive].astype("<u4").tobytes(), np.flatnonzero(alive)
+        ends = (np.searchsorted(live, starts) * 4).tolist()
+        return [packed[a:b] for a, b in zip(ends, ends[1:])]
+
+    def _rank_of(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        pair = left.astype(np.int64) << 32 | right
+        found = np.searchsorted(self.pair_key, pair)
+        return np.where(self.pair_key[found] == pair, self.pair_rank[found], _NONE)
+
+    def _merge_long(self, words: list[bytes]) -> list[bytes]:
+        out: list[bytes] = []
+        part: list[bytes] = []
+        size = 0
+        for i, word in enumerate(words):
+            part.append(word)
+            size += len(word)
+            if size >= LONG_BYTES or i == len(words) - 1:
+                out += [self.merge_alone(w) for w in part] if size < FEW_BYTES else self.merge_side_by_side(part)
+                part, size = [], 0
+        return out
+
+    def learn(self, words: set[str]) -> dict[str, bytes]:
+        """Remember the ids of words; those of long ones are returned instead."""
         wide: dict[int, list[tuple[str, bytes]]] = {}
+        long: list[tuple[str, bytes]] = []
         for word in words:
             raw = word.encode("utf-8", "surrogatepass")
             rank = self.ranks.get(raw)
             if rank is not None:
                 self.known[word] = rank.to_bytes(4, "little")
             elif len(raw) > WIDE:
-                self.known[word] = self.merge_alone(raw)
+                long.append((word, raw))
             else:
                 wide.setdefault(1 << (len(raw) - 1).bit_length(), []).append((word, raw))
         for leaves, group in wide.items():
@@ -228,25 +318,30 @@ class Codec:
             for i in range(0, len(group), trees):
                 part = group[i : i + trees]
                 self.known.update(zip((w for w, _ in part), self._merge_together([r for _, r in part], leaves)))
+        return dict(zip((w for w, _ in long), self._merge_long([r for _, r in long])))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
         out: list[bytes] = []
         part: list[list[str]] = []
-        size = 0
+        size = characters = 0
         for i, text in enumerate(texts):
             part.append(self.split(text))
             size += len(part[-1])
-            if size >= TOGETHER or i == len(texts) - 1:
+            characters += len(text)
+            if size >= TOGETHER or characters >= CHARACTERS or i == len(texts) - 1:
                 # by lookups in the dictionary; with its keys as a set each difference would walk all of them
                 new = set().union(*part).difference(self.known)
                 for word in [w for w in new if w in self.older]:
                     self.known[word] = self.older[word]
-                self.learn(new.difference(self.known))
+                long = self.learn(new.difference(self.known))
+                self.known.update(long)
                 out += [b"".join(map(self.known.__getitem__, words)) for words in part]
+                for word in long:
+                    del self.known[word]
                 if len(self.known) > REMEMBERED:
                     self.known, self.older = {}, self.known
-                part, size = [], 0
+                part, size, characters = [], 0, 0
         return out
 
     def decode(self, packed: bytes) -> bytes:
