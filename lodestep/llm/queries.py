@@ -117,8 +117,8 @@ def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Licenses whose notices stand in a document."""
-    return license_scan.scan(_read(spark, sf_dir, "documents").select("doc_id", "text"), license_scan.notices(spark))
+    """Licenses whose notices stand in a document, for each place the right one."""
+    return license_scan.identify(_read(spark, sf_dir, "documents").select("doc_id", "text"), license_scan.notices(spark))
 
 
 def op11_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,6 +7,7 @@ from pathlib import Path
 
 import numpy as np
 import pytest
+import regex
 import tiktoken
 from pyspark.sql import functions as F
 
@@ -336,3 +337,90 @@ def test_feistel_is_a_permutation():
     f = pii.Feistel(b"k", "t", 1000)
     seen = [f.permute(i) for i in range(1000)]
     assert sorted(seen) == list(range(1000)) and [f.permute(x, True) for x in seen] == list(range(1000))
+
+
+def noted(found):
+    out = {}
+    for x in found.collect():
+        out.setdefault(x.doc_id, set()).add(x.license)
+    return out
+
+
+@pytest.mark.parametrize("few", [True, False])
+def test_each_place_has_its_one_right_license(spark, monkeypatch, few):
+    """Found sets equal the wanted ones: every notice alone, inside text, wrapped, edited, and three in one text."""
+    if not few:
+        monkeypatch.setattr(license_scan, "ANCHORED", 0)
+        monkeypatch.setattr(license_scan, "BROADCAST_WORDS", 0)
+    r = random.Random(3)
+    filler = lambda n: " ".join(r.choice(["der", "the", "of", "under", "work", "is", "to", "in"]) for _ in range(n))
+    shingles = lambda t: set(zip(*(lambda w: (w, w[1:]))(re.findall(r"[0-9a-z]+", t.lower()))))
+
+    def wrapped(text, every, off):  # each so many words another
+        words = text.split()
+        return "\n * ".join(" ".join("foo" if (i + j + off) % every == every - 1 else w for j, w in enumerate(words[i : i + 9])) for i in range(0, len(words), 9))
+
+    texts, wanted = [], []
+    for k, (name, notice) in enumerate(license_scan.NOTICES):
+        texts += [notice, f"{filler(k)} {notice} {filler(30)}", filler(5) + "\n" + wrapped(notice, 10**6, 0)]
+        wanted += [{name}] * 3
+        for every, off in ((12, 0), (12, 5), (25, 3)):
+            edited = wrapped(notice, every, off)
+            # of all templates it must hold this one best, without a tie: an edit may take what tells two apart
+            scores = sorted(((2 * len(shingles(t) & shingles(edited)) - len(shingles(t)), n) for n, t in license_scan.NOTICES), reverse=True)
+            if len(notice.split()) > 40 and len(shingles(notice) & shingles(edited)) >= 0.8 * len(shingles(notice)) and scores[0][1] == name and (scores[0][0] > scores[1][0] or scores[1][1] == name):
+                texts.append(f"{filler(20)} {edited} {filler(9)}")
+                wanted.append({name})
+    assert len(texts) > 3 * len(license_scan.NOTICES) + 20
+    for _ in range(40 if few else 5):
+        some = r.sample(license_scan.NOTICES, 3)
+        texts.append(" ".join(f"{filler(r.randrange(6))} {notice}" for _, notice in some))
+        wanted.append({name for name, _ in some})
+    twice = license_scan.NOTICES[15][1]
+    texts += [f"{twice} {filler(200)} {twice}", "", None, filler(700)]
+    wanted += [{license_scan.NOTICES[15][0]}, set(), set(), set()]
+    found = noted(license_scan.identify(docs(spark, texts), license_scan.notices(spark)))
+    assert {i: found.get(i, set()) for i in range(len(texts))} == dict(enumerate(wanted))
+    both = license_scan.places(docs(spark, texts[-4:-3]), license_scan.notices(spark)).orderBy("first_word").collect()
+    n = len(re.findall(r"[0-9A-Za-z]+", twice))
+    assert [(x.first_word, x.end_word) for x in both] == [(0, n), (n + 200, 2 * n + 200)]
+
+
+def test_licenses_among_some_hundred_templates(spark):
+    """Templates of a few families that share most of their words, each told from its relatives."""
+    r = random.Random(8)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(6))
+    rows = []
+    for family in range(20):
+        base = [word() for _ in range(60)]
+        for kind in range(15):
+            own = list(base)
+            own[10 + kind] = word()
+            own.insert(40, word())
+            rows.append((f"{family}-{kind}", " ".join(own)))
+    templates = spark.createDataFrame(rows, "license string, text string")
+    asked = r.sample(rows, 60)
+    texts = [" ".join([*(word() for _ in range(i)), text, *(word() for _ in range(40))]) for i, (_, text) in enumerate(asked)]
+    assert noted(license_scan.identify(docs(spark, texts), templates)) == {i: {name} for i, (name, _) in enumerate(asked)}
+    assert license_scan.identify(docs(spark, texts), templates.where("false")).count() == 0
+
+
+@pytest.mark.parametrize("alphabet", ["ab", "aA", "etaoin", "abcdefghijklmnopqrstuvwxyz", "的一是不中é", "xyXY"])
+def test_long_words_in_one_tree_are_the_librarys(library, alphabet):
+    codec, known = library
+    r = random.Random(alphabet)
+    words = ["".join(r.choice(alphabet) for _ in range(n)) for n in (65, 100, 333, 2000) for _ in range(5)]
+    words += ["".join(r.choice(["the", "ing", "tion", "abab", "aaa", "qu", "un", "re"]) for _ in range(n)) for n in (40, 300) for _ in range(5)]
+    raw = [w.encode() for w in words]
+    wanted = [[x for part in known._core_bpe.encode_ordinary(w) for x in [part]] if len(regex.findall(queries.PATTERN, w)) == 1 else None for w in words]
+    for got in (codec.merge_side_by_side(raw), codec.merge_side_by_side(raw[::-1])[::-1], [codec.merge_alone(w) for w in raw]):
+        assert all(w is None or ids(g) == w for g, w in zip(got, wanted))
+    assert sum(w is not None for w in wanted) > 20
+
+
+def test_long_words_are_merged_together_and_forgotten(library):
+    codec, known = library
+    r = random.Random(7)
+    text = " ".join("".join(r.choice("abcdefghijklmnop") for _ in range(4000)) for _ in range(60)) + " short words"
+    assert ids(codec.encode([text])[0]) == known.encode_ordinary(text)
+    assert max(map(len, codec.known)) <= bpe.WIDE
