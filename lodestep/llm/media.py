@@ -5,12 +5,13 @@ at several scales by the Harris response; each gets an orientation from the
 intensity centroid around it, and a descriptor of 256 binary intensity tests in
 a pattern turned by that orientation.  Descriptors are entered into Hamming
 tables, each keyed by some of the bits.  Images that meet in ``MEET`` buckets are
-compared: corners whose descriptors differ in at most ``NEAR`` bits match, each
-match proposes a similarity transform, and the matches that agree on scale,
-rotation and shift, in bins that overlap by half, are candidates; enough of them
-that lie on one transform, spread over more than a patch, no corner twice, and
-that are a share of the corners in the part that both images show, are a
-consensus and link the images.
+compared: corners whose descriptors differ in at most ``NEAR`` bits match, and
+each match proposes a similarity transform.  Its scale is only that of two levels,
+so the matches that agree on scale, rotation and shift, in bins that overlap by
+half, propose again, by twos; the best of these transforms is fitted to all
+matches that it takes, again until they stay.  Enough of them, spread over more
+than a patch, no corner twice, and that are a share of the corners in the part
+that both images show, are a consensus and link the images.
 
 Images of equal bytes form a class, and only one of a class goes on.  A bucket is
 not expanded into pairs: first its images meet a pivot, the one of the least
@@ -47,12 +48,14 @@ from .components import components
 from .session import Scratch, ensure_importable
 
 #: Scales; every corner of each is kept.
-LEVELS = (1.0, 0.75, 0.5)
+LEVELS = tuple(1.2**-i for i in range(6))
 TABLES, BITS, MEET = 10, 48, 2
 #: Bits in which descriptors that match differ at most, and matches that must agree.
 NEAR, CONSENSUS = 32, 5
 #: Pixels, at the coarser of two corners' scales, that a match may lie off the transform of its consensus, and that it must spread over.
 OFF, WIDE = 2.0, 16.0
+#: Matches of a bin from which transforms are proposed, others that each is paired with, and numbers that are compared at once.
+ANCHORS, PARTNERS, CELLS = 12, 24, 1 << 20
 #: Share of the corners in the part that two images have in common that must match, as chance matches grow with corners.
 SHARE = 0.25
 #: Share of the corners of one of two images that must lie in the other, as a crop's do.
@@ -230,58 +233,93 @@ def _inside(at: np.ndarray, frame: np.ndarray) -> int:
     return int(((at.real >= frame.real.min()) & (at.real <= frame.real.max()) & (at.imag >= frame.imag.min()) & (at.imag <= frame.imag.max())).sum())
 
 
-def _on_one_transform(p: np.ndarray, q: np.ndarray, ours: np.ndarray, theirs: np.ndarray, consensus: int) -> bool:
-    """Whether a similarity through two of the matches (x, y, size, angle) takes enough corners p to their q, no corner twice.
+def _possible(scale):
+    """Whether corners can match at a scale: between those of the levels, and a little more."""
+    return (scale > 0.9 * LEVELS[-1]) & (scale * 0.9 * LEVELS[-1] < 1)
 
-    Enough are ``consensus``, and ``SHARE`` of all corners of either image
-    (``ours``, ``theirs``) that it takes into the other; they spread over
-    ``WIDE`` pixels, more than one patch; and it takes most of one image into the
-    other.
+
+def _proposed(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Similarities (turn, shift) through two matches each of a bin: evenly spread ones, each with those farthest from it."""
+    turns, shifts = [], []
+    for i in np.unique(np.linspace(0, len(u) - 1, ANCHORS).astype(int)):
+        far = np.abs(u - u[i])
+        other = np.argsort(-far, kind="stable")[:PARTNERS]
+        other = other[far[other] > 4]
+        turn = (v[other] - v[i]) / (u[other] - u[i])
+        turns.append(turn)
+        shifts.append(v[i] - turn * u[i])
+    turn, shift = np.concatenate(turns), np.concatenate(shifts)
+    real = _possible(np.abs(turn))
+    return turn[real], shift[real]
+
+
+def _on_one_transform(p: np.ndarray, q: np.ndarray, some: np.ndarray, ours: np.ndarray, theirs: np.ndarray, consensus: int) -> bool:
+    """Whether a similarity takes enough corners p to their q, no corner twice.
+
+    ``p`` and ``q`` are all matches (x, y, size, angle) of two images; those at
+    ``some`` propose similarities, as their own scales are coarse.  The one that
+    takes the most matches is fitted to these, again until they stay.  Enough are
+    ``consensus``, and ``SHARE`` of all corners of either image (``ours``,
+    ``theirs``) that it takes into the other; they spread over ``WIDE`` pixels,
+    more than one patch; and it takes most of one image into the other.
     """
     every, each = ours[:, 0] + 1j * ours[:, 1], theirs[:, 0] + 1j * theirs[:, 1]
     u, v = p[:, 0] + 1j * p[:, 1], q[:, 0] + 1j * q[:, 1]
     off = OFF * np.maximum(p[:, 2], q[:, 2])
-    names = [np.unique(x, axis=0, return_inverse=True)[1].ravel() for x in (p[:, :3], q[:, :3])]
-    for i in range(len(u)):
-        other = np.flatnonzero(np.abs(u - u[i]) > 4)
-        if not len(other):
-            continue
-        turn = (v[other] - v[i]) / (u[other] - u[i])
-        lies = np.abs(turn[:, None] * (u - u[i]) + v[i] - v) <= off
-        for row in np.flatnonzero(lies.sum(axis=1) >= consensus):
-            if not turn[row]:
-                continue
-            shown = _inside(turn[row] * (every - u[i]) + v[i], each), _inside((each - v[i]) / turn[row] + u[i], every)
-            if shown[0] < WITHIN * len(every) and shown[1] < WITHIN * len(each):
-                continue
-            most, on = min(shown), lies[row]
-            wide = abs(complex(np.ptp(u[on].real), np.ptp(u[on].imag))) >= WIDE * min(p[on, 2].min(), q[on, 2].min())
-            if wide and min(len(np.unique(n[on])) for n in names) >= max(consensus, SHARE * most):
-                return True
-    return False
+    turns, shifts = _proposed(u[some], v[some])
+    if not len(turns):
+        return False
+    step = max(1, CELLS // len(u))
+    taken = np.concatenate([(np.abs(turns[i : i + step, None] * u + shifts[i : i + step, None] - v) <= off).sum(axis=1) for i in range(0, len(turns), step)])
+    best = int(np.argmax(taken))
+    turn, shift = turns[best], shifts[best]
+    on = np.abs(turn * u + shift - v) <= off
+    for _ in range(8):
+        if on.sum() < consensus or not np.ptp(np.abs(u[on] - u[on][0])):
+            return False
+        x, y = u[on] - u[on].mean(), v[on] - v[on].mean()
+        turn = (np.conj(x) * y).sum() / (np.abs(x) ** 2).sum()
+        shift = v[on].mean() - turn * u[on].mean()
+        if not _possible(abs(turn)):
+            return False
+        now = np.abs(turn * u + shift - v) <= off
+        if (now == on).all():
+            break
+        on = now
+    if on.sum() < consensus:
+        return False
+    shown = _inside(turn * every + shift, each), _inside((each - shift) / turn, every)
+    if shown[0] < WITHIN * len(every) and shown[1] < WITHIN * len(each):
+        return False
+    wide = abs(complex(np.ptp(u[on].real), np.ptp(u[on].imag))) >= WIDE * min(p[on, 2].min(), q[on, 2].min())
+    return bool(wide and min(len(np.unique(x[on, :3], axis=0)) for x in (p, q)) >= max(consensus, SHARE * min(shown)))
 
 
 def _agreeing(p: np.ndarray, q: np.ndarray, image: np.ndarray, places: np.ndarray, consensus: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of images of which so many matches (corners p, q) lie in one bin of scale, rotation and shift, and on one transform."""
+    """Pairs of images that a transform links, proposed by a bin of scale, rotation and shift with so many of their matches (corners p, q)."""
     px, py, ps, pa = places[p].T
     qx, qy, qs, qa = places[q].T
     ratio, turn = qs / ps, qa - pa
     c, s = np.cos(turn) * ratio, np.sin(turn) * ratio
     dx, dy = qx - c * px + s * py, qy - s * px - c * py
     linked, known, first_of = [], set(), np.searchsorted(image, np.arange(image[-1] + 2))
+    by_pair = np.argsort(image[p], kind="stable")  # an image is in one pair here
+    pair_of = image[p][by_pair]
     for shift in (0.0, 0.5):
         half = lambda value, width: np.floor(value / width + shift).astype(np.int64)  # noqa: B023, E731
         bins = _joined([image[p], image[q], half(np.log2(ratio), 0.6), half(turn, math.pi / 6) % 12, half(dx, 12.0), half(dy, 12.0)])
         _, at = np.unique(_joined([np.unique(bins, return_inverse=True)[1], p]), return_index=True)
         _, first, votes = np.unique(bins[at], return_index=True, return_counts=True)
         order = np.argsort(bins, kind="stable")
-        for one in at[first[votes >= consensus]]:
+        rich = votes >= consensus
+        for one in at[first[rich]][np.argsort(-votes[rich], kind="stable")]:
             if (image[p[one]], image[q[one]]) in known:
                 continue
             low, high = np.searchsorted(bins, bins[one], "left", sorter=order), np.searchsorted(bins, bins[one], "right", sorter=order)
-            some = order[low:high]
+            every = by_pair[np.searchsorted(pair_of, image[p[one]], "left") : np.searchsorted(pair_of, image[p[one]], "right")]
+            some = np.flatnonzero(np.isin(every, order[low:high]))
             ours, theirs = (places[first_of[k] : first_of[k + 1]] for k in (image[p[one]], image[q[one]]))
-            if _on_one_transform(places[p[some]], places[q[some]], ours, theirs, consensus):
+            if _on_one_transform(places[p[every]], places[q[every]], some, ours, theirs, consensus):
                 known.add((image[p[one]], image[q[one]]))
                 linked.append(one)
     at = np.array(linked, np.int64)
