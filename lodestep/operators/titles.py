@@ -33,8 +33,9 @@ def first_match(page: DataFrame, query: str, most: int = 5) -> DataFrame:
 
 
 def random_page(page: DataFrame, seed: int | None = None, namespace: int = 0) -> DataFrame:
-    """A random page of a namespace."""
-    return page.where(F.col("namespace") == namespace).select("page_id", "title").orderBy(F.rand(seed)).limit(1)
+    """A random page of a namespace; with a seed, always the same one, however the pages are dealt out."""
+    order = F.rand() if seed is None else F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("page_id").cast("string")))
+    return page.where(F.col("namespace") == namespace).select("page_id", "title").orderBy(order, "page_id").limit(1)
 
 
 def default_language(databases: DataFrame, preferred: Sequence[str]) -> DataFrame:

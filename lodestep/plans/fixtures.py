@@ -54,6 +54,20 @@ FROM fx_page WHERE page_id % 100 = 0
 UNION ALL SELECT CAST(a AS BIGINT), CAST(b AS BIGINT), CAST(c AS BIGINT) FROM (VALUES """ + ", ".join(map(str, PAIRS)) + ") v(a, b, c)"
 
 
+#: Names of databases and files, some of them neither, from customers and their nations: a language may have many dates.
+NAMES = """
+SELECT concat('wp-', chr(CAST(97 + n_nationkey AS INT)), chr(CAST(97 + c_custkey % 5 AS INT)), '-', CAST(20200101 + c_custkey % 900 AS VARCHAR(20))) AS name FROM customer JOIN nation ON n_nationkey = c_nationkey WHERE c_custkey % 7 < 4
+UNION SELECT concat(chr(CAST(97 + n_nationkey AS INT)), chr(CAST(97 + c_custkey % 5 AS INT)), 'wiki-', CAST(20200101 + c_custkey % 900 AS VARCHAR(20)), '-', CASE c_custkey % 3 WHEN 0 THEN 'page' WHEN 1 THEN 'pagelinks' ELSE 'abstract-1' END, '.sql.gz') FROM customer JOIN nation ON n_nationkey = c_nationkey WHERE c_custkey % 7 = 4
+UNION SELECT concat('wp-', chr(CAST(97 + n_nationkey AS INT)), chr(CAST(97 + c_custkey % 5 AS INT)), '_x-', CAST(c_custkey AS VARCHAR(20))) FROM customer JOIN nation ON n_nationkey = c_nationkey WHERE c_custkey % 7 = 5
+UNION SELECT concat(lower(n_name), 'wiki-', CAST(c_custkey AS VARCHAR(20)), 'x-page.sql') FROM customer JOIN nation ON n_nationkey = c_nationkey WHERE c_custkey % 7 = 6
+"""
+#: Lines of a checksum list, in order: other files are passed over, and of a kind's files the first counts.
+SUMS = """
+SELECT s_suppkey AS line, concat('enwiki-20240101-', CASE s_suppkey % 5 WHEN 0 THEN 'abstract' WHEN 1 THEN 'page' WHEN 2 THEN 'redirect' WHEN 3 THEN 'linktarget' ELSE 'pagelinks' END, '.sql.gz') AS name, s_name AS content
+FROM supplier
+"""
+
+
 class Fixture:
     """Relations and clean graph of a folder of tables; what is shared is computed once per session and folder."""
 

@@ -11,8 +11,12 @@ from ..functions.text import saturating_minus
 from ..operators import clean, paths, search, titles
 from ..sources import dump, gzindex, store
 from ..streaming import ingest
+from . import fixtures
 from .fixtures import Fixture
 
+#: Languages that a user prefers, the first that there is.
+PREFERRED = ("it-IT", "fr-CA", "ja")
+
 
 def _ids(c: str) -> Column:
     return F.array_join(F.transform(c, lambda x: x.cast("string")), ",")
@@ -44,12 +48,9 @@ def build_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows[0].unionByName(rows[1]).withColumn("dropped", saturating_minus(F.col("before"), F.col("after")))
 
 
-#: Lines of a checksum list: other files are passed over, and of a kind's files the first counts.
-SUMS = tuple((f"enwiki-20240101-{kind}.sql.gz", f"content of {kind} {part}") for part in (1, 2) for kind in ("abstract", *names.KINDS))
-
-
 def checksum_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
-    table = spark.createDataFrame(SUMS, "name string, content string").coalesce(1)
+    supplier = spark.read.parquet(f"{sf_dir}/supplier.parquet")
+    table = spark.sql(fixtures.SUMS.replace("FROM supplier", "FROM {supplier}"), supplier=supplier).orderBy("line").coalesce(1)
     path = session.shared_path(spark, "sums")
     table.select(F.concat_ws("  ", F.sha1("content"), "name")).write.text(path)
     return dump.checksums(spark, path)
@@ -328,12 +329,13 @@ def title_suggest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return titles.suggest(_html_titles(spark, sf_dir), "EN", 5)
 
 
-NAMES = ("wp-en-20240101", "wp-en-20240301", "wp-de-20240201", "wp-de-20231201", "wp-fr-20240101", "wp-zh_min-20240101", "wp-en-2024x", "other", "enwiki-20240101-page.sql.gz")
+def _named(spark: SparkSession, sf_dir: str) -> DataFrame:
+    customer, nation = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("customer", "nation"))
+    return spark.sql(fixtures.NAMES.replace("FROM customer JOIN nation", "FROM {customer} JOIN {nation}"), customer=customer, nation=nation)
 
 
-def _names(spark: SparkSession) -> DataFrame:
-    table = spark.createDataFrame([(n,) for n in NAMES], "name string")
-    return table.select("name", *names.database_parts(F.col("name")))
+def _names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _named(spark, sf_dir).select("name", *names.database_parts(F.col("name")))
 
 
 def title_first_match(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -344,24 +346,23 @@ def title_first_match(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def name_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _names(spark)
+    return _names(spark, sf_dir)
 
 
 def dump_name_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    table = spark.createDataFrame([(n,) for n in (*NAMES, "dewiki-20240201-pagelinks.sql.gz", "dewiki-20240201-pagelinks.sql")], "name string")
-    return table.select("name", *names.dump_parts(F.col("name")))
+    return _named(spark, sf_dir).select("name", *names.dump_parts(F.col("name")))
 
 
 def catalog_newest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return store.newest(_names(spark))
+    return store.newest(_names(spark, sf_dir))
 
 
 def catalog_cleanup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return store.outdated(_names(spark), store.newest(_names(spark))).select("name")
+    return store.outdated(_names(spark, sf_dir), store.newest(_names(spark, sf_dir))).select("name")
 
 
 def default_language(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return titles.default_language(store.newest(_names(spark)), ["it-IT", "de-AT", "en"])
+    return titles.default_language(store.newest(_names(spark, sf_dir)), PREFERRED)
 
 
 def link_sources_missing_page(spark: SparkSession, sf_dir: str) -> DataFrame:

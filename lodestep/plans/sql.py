@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from ..functions.names import KINDS
 from . import fixtures as fx
-from .queries import BROKEN, NAMES, SUMS
+from .queries import BROKEN, PREFERRED
 
 _FX = ",\n".join(f"{name} AS ({body})" for name, body in fx.VIEWS.items())
 _PAIRS = "pairs AS (SELECT CAST(a AS BIGINT) AS pair_id, CAST(b AS BIGINT) AS source_in, CAST(c AS BIGINT) AS target_in FROM (VALUES " + ", ".join(map(str, fx.PAIRS)) + ") v(a, b, c))"
@@ -61,7 +61,7 @@ FROM {relation} r LEFT JOIN fx_page p ON p.namespace = r.{namespace} AND p.title
 _LINK_REASONS = "SELECT CASE WHEN target IS NULL THEN 'missing_linktarget' WHEN source = target THEN 'self_link' ELSE 'stored' END AS reason FROM g_all"
 _ADJACENT = "SELECT {0} AS page_id, CAST(count(*) AS BIGINT) AS n, string_agg(CAST({1} AS VARCHAR), ',' ORDER BY {1}) AS ids FROM g_links GROUP BY 1"
 _LOOKUP = "SELECT k.page_id, coalesce(string_agg(CAST({1} AS VARCHAR), ',' ORDER BY {1}), '') AS value FROM (" + fx.ALL_IDS + ") k LEFT JOIN g_links l ON l.{0} = k.page_id GROUP BY 1"
-_NAMES = "names AS (SELECT unnest([" + ", ".join(f"'{n}'" for n in NAMES) + "]) AS name), parsed AS (SELECT name, nullif(regexp_extract(name, '^wp-([a-zA-Z]+)-([0-9]+)$', 1), '') AS language_code, nullif(regexp_extract(name, '^wp-([a-zA-Z]+)-([0-9]+)$', 2), '') AS date_code FROM names)"
+_NAMES = f"names AS ({fx.NAMES}), parsed AS (SELECT name, nullif(regexp_extract(name, '^wp-([a-zA-Z]+)-([0-9]+)$', 1), '') AS language_code, nullif(regexp_extract(name, '^wp-([a-zA-Z]+)-([0-9]+)$', 2), '') AS date_code FROM names)"
 _NEWEST = "newest AS (SELECT language_code, max(date_code) AS date_code FROM parsed WHERE language_code IS NOT NULL GROUP BY 1)"
 _TITLES = "t AS (SELECT page_id, trim(regexp_extract(html, '<title>([^<]*)</title>', 1)) AS title FROM pages)"
 _DUMP = r"'^([a-zA-Z]+)wiki-([0-9]+)-(.+)\.sql\.gz$'"
@@ -126,7 +126,8 @@ LEFT JOIN (SELECT source, string_agg(CAST(target AS VARCHAR), ',' ORDER BY targe
 SELECT 'redirects' AS kind, (SELECT count(*) FROM raw) AS before, (SELECT count(*) FROM g_redirects) AS after
 UNION ALL SELECT 'links', (SELECT count(*) FROM g_all WHERE target IS NOT NULL AND source <> target), (SELECT count(*) FROM g_links))"""
     ),
-    "checksum_catalog": " UNION ALL ".join(f"SELECT '{kind}' AS kind, 'en' AS language_code, '20240101' AS date_code, '{name}' AS file_name, sha1('{content}') AS sha1" for kind in KINDS for name, content in SUMS if name.endswith(f"-{kind}.sql.gz") and content.endswith(" 1")),
+    "checksum_catalog": f"""WITH s AS ({fx.SUMS}), k AS (SELECT *, regexp_extract(name, {_DUMP}, 3) AS kind FROM s)
+SELECT kind, 'en' AS language_code, '20240101' AS date_code, arg_min(name, line) AS file_name, sha1(arg_min(content, line)) AS sha1 FROM k WHERE kind IN ({", ".join(f"'{x}'" for x in KINDS)}) GROUP BY kind""",
     "shortest_paths_page_arrays": _paths("SELECT pair_id, rank, string_agg(concat(page_id, coalesce(':' || title, '')), ' > ' ORDER BY position) AS pages FROM steps LEFT JOIN fx_page USING (page_id) GROUP BY ALL"),
     "title_first_match": f"""WITH {_TITLES}, f AS (SELECT page_id, title, lower(strip_accents(title)) AS folded FROM t), q AS (SELECT lower(strip_accents(upper(min(title)))) AS query FROM t WHERE title <> '')
 SELECT page_id, title FROM (SELECT page_id, title, folded = query AS same FROM f, q WHERE starts_with(folded, query) ORDER BY CASE WHEN folded = query THEN 0 ELSE 1 END, length(title), title, page_id LIMIT 5) WHERE same ORDER BY title, page_id LIMIT 1""",
@@ -166,9 +167,10 @@ FROM (SELECT pair_id, page_id AS id, min(title) AS title, CAST(min(position) AS
     "title_fold_match": f"WITH {_TITLES} SELECT q.query, t.page_id, t.title FROM t JOIN (SELECT DISTINCT upper(title) AS query FROM t WHERE page_id % 100 = 0) q ON lower(strip_accents(t.title)) = lower(strip_accents(q.query))",
     "title_suggest": f"WITH {_TITLES} SELECT page_id, title FROM t WHERE starts_with(lower(strip_accents(title)), 'en') ORDER BY CASE WHEN lower(strip_accents(title)) = 'en' THEN 0 ELSE 1 END, length(title), title, page_id LIMIT 5",
     "name_parse": f"WITH {_NAMES} SELECT * FROM parsed",
-    "dump_name_parse": f"WITH {_NAMES} SELECT name, nullif(regexp_extract(name, {_DUMP}, 1), '') AS language_code, nullif(regexp_extract(name, {_DUMP}, 2), '') AS date_code, nullif(regexp_extract(name, {_DUMP}, 3), '') AS kind FROM (SELECT name FROM names UNION ALL VALUES ('dewiki-20240201-pagelinks.sql.gz'), ('dewiki-20240201-pagelinks.sql'))",
+    "dump_name_parse": f"WITH {_NAMES} SELECT name, nullif(regexp_extract(name, {_DUMP}, 1), '') AS language_code, nullif(regexp_extract(name, {_DUMP}, 2), '') AS date_code, nullif(regexp_extract(name, {_DUMP}, 3), '') AS kind FROM names",
     "catalog_newest": f"WITH {_NAMES}, {_NEWEST} SELECT * FROM newest",
     "catalog_cleanup": f"WITH {_NAMES}, {_NEWEST} SELECT name FROM parsed p JOIN newest n ON p.language_code = n.language_code AND p.date_code <> n.date_code",
-    "default_language": f"WITH {_NAMES}, {_NEWEST} SELECT language_code FROM newest ORDER BY CASE WHEN contains(language_code, 'it') THEN 0 WHEN contains(language_code, 'de') THEN 1 WHEN contains(language_code, 'en') THEN 2 ELSE 3 END, language_code LIMIT 1",
+    "default_language": f"WITH {_NAMES}, {_NEWEST} SELECT language_code FROM newest ORDER BY CASE {' '.join(f"WHEN contains(language_code, '{x[:2]}') THEN {i}" for i, x in enumerate(PREFERRED))} ELSE {len(PREFERRED)} END, language_code LIMIT 1",
+    "random_page": _with("SELECT page_id FROM fx_page WHERE namespace = 0 ORDER BY md5('7:' || page_id), page_id LIMIT 1"),
     "link_sources_missing_page": _graph("SELECT count(DISTINCT source) AS n FROM g_links WHERE source NOT IN (SELECT page_id FROM fx_page)"),
 }
