@@ -5,8 +5,9 @@ at several scales by the Harris response; each gets an orientation from the
 intensity centroid around it, and a descriptor of 256 binary intensity tests in
 a pattern turned by that orientation.  Descriptors are entered into Hamming
 tables, each keyed by some of the bits.  Images that meet in ``MEET`` buckets are
-compared: corners whose descriptors differ in at most ``NEAR`` bits match, and
-each match proposes a similarity transform.  Its scale is only that of two levels,
+compared: corners match if one's descriptor is the nearest to the other's and they
+differ in at most ``NEAR`` bits, so that a pattern which stands all over two
+pictures isn't a match of each with each.  A match proposes a similarity transform.  Its scale is only that of two levels,
 so the matches that agree on scale, rotation and shift, in bins that overlap by
 half, propose again, by twos; the best of these transforms is fitted to all
 matches that it takes, again until they stay.  Enough of them, spread over more
@@ -328,14 +329,18 @@ def _agreeing(p: np.ndarray, q: np.ndarray, image: np.ndarray, places: np.ndarra
 
 
 def _near(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of corners of two images, as words of descriptors, that match."""
-    out = []
+    """Pairs of corners of two images, as words of descriptors, that match: within ``NEAR`` bits, and one's nearest is the other, ties included."""
+    out, least = [], np.full(len(b), NEAR, np.uint16)
     step = max(1, PAIRS // len(b))
     for i in range(0, len(a), step):
-        x, y = np.nonzero(np.bitwise_count(a[i : i + step, None, :] ^ b[None, :, :]).sum(2, dtype=np.uint16) <= NEAR)
-        out.append(np.stack([x + i, y]))
-    both = np.concatenate(out, axis=1)
-    return both[0], both[1]
+        bits = np.bitwise_count(a[i : i + step, None, :] ^ b[None, :, :]).sum(2, dtype=np.uint16)
+        least = np.minimum(least, bits.min(axis=0))
+        own = bits == bits.min(axis=1, keepdims=True)
+        x, y = np.nonzero((bits <= NEAR) & (own | (bits == least)))
+        out.append(np.stack([x + i, y, bits[x, y], own[x, y]]))
+    x, y, bits, own = np.concatenate(out, axis=1)
+    kept = (own > 0) | (bits == least[y])  # a later block may hold a nearer one
+    return x[kept], y[kept]
 
 
 def _verified(pairs: DataFrame, reps: DataFrame, consensus: int) -> DataFrame:

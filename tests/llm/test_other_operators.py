@@ -276,7 +276,6 @@ def test_resized_pairs_are_linked():
     assert not any(linked(picture(500 + i), picture(600 + i)) for i in range(5))
 
 
-@pytest.mark.xfail(reason="open: fails over the distributed part, while each pair alone is linked; see README", strict=False)
 def test_recall_of_resized_copies(spark):
     """Copies of odd scales, straight and turned: nine in ten of those that are planted, and no others."""
     edits = [(0.45, 0), (0.53, 7), (0.6, 0), (0.6, 15), (0.77, 7), (0.9, 0), (0.9, 15), (1.1, 7), (1.3, 0), (1.6, 7)]
@@ -289,6 +288,19 @@ def test_recall_of_resized_copies(spark):
     assert sum(got[i] == i // 100 * 100 for i in got) >= 0.9 * len(got), sorted(i for i in got if got[i] != i // 100 * 100)
 
 
+@pytest.mark.parametrize("pairs", [1 << 21, 200])
+def test_matches_are_nearest_ones(pairs, monkeypatch):
+    """In blocks as at once: within the bound, and nearest to one of both."""
+    monkeypatch.setattr(media, "PAIRS", pairs)
+    r = np.random.RandomState(3)
+    a = r.randint(0, 256, (60, 32)).astype(np.uint8)
+    b = np.concatenate([a[:40], a[20:50]]) ^ (r.rand(70, 32) < 0.15).astype(np.uint8)
+    words = [np.ascontiguousarray(x).view(np.uint64).reshape(-1, 4) for x in (a, b)]
+    bits = np.unpackbits(a[:, None] ^ b[None], axis=2).sum(2)
+    near = {(i, j) for i in range(60) for j in range(70) if bits[i, j] <= media.NEAR and bits[i, j] in (bits[i].min(), bits[:, j].min())}
+    assert set(zip(*(x.tolist() for x in media._near(*words)))) == near and len(near) > 60
+
+
 def test_a_consensus_of_many_corners_takes_bounded_memory():
     """Ten thousand matches, a third of them right, and as many wrong ones alone."""
     import tracemalloc
