@@ -279,6 +279,24 @@ def shortest_paths_first8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _flat(paths.enumerate_paths(Fixture(spark, sf_dir).search))
 
 
+def shortest_paths_numbered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every path of every pair, each made from its number alone."""
+    found = Fixture(spark, sf_dir).search
+    every = found.summary.where("count > 0").select("pair_id", F.explode(F.sequence(F.lit(1).cast("long"), "count")).alias("rank"))
+    return _flat(paths.numbered_paths(found, every))
+
+
+def shortest_paths_middle_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The middle one of the paths of every pair, those of every hundredth page included."""
+    found = Fixture(spark, sf_dir).search_all
+    return _flat(paths.numbered_paths(found, found.summary.select("pair_id", F.expr("(count + 1) div 2").alias("rank"))))
+
+
+def shortest_paths_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two paths of each pair at random."""
+    return _flat(paths.sample_paths(Fixture(spark, sf_dir).search, 2, seed=7))
+
+
 def shortest_paths_titled(spark: SparkSession, sf_dir: str) -> DataFrame:
     fx = Fixture(spark, sf_dir)
     return paths.with_titles(paths.enumerate_paths(fx.search), fx.page).select("pair_id", F.col("rank").cast("long").alias("rank"), F.col("position").cast("long").alias("position"), "page_id", "title")
@@ -380,7 +398,7 @@ def queries() -> dict:
         linktarget_skip_reasons, links_resolved, link_skip_reasons, links, incoming_adjacency, outgoing_adjacency, lookup_redirect, lookup_incoming, lookup_outgoing,
         shortest_path_summary_all, shortest_path_links_all, redirect_key_check, linktarget_key_check, build_counts, checksum_catalog, title_first_match, shortest_paths_page_arrays,
         bfs_levels, shortest_path_summary, shortest_path_summary_sparse, shortest_path_links, shortest_path_adjacency, shortest_path_json, shortest_paths_all,
-        shortest_paths_first8, shortest_paths_titled, pages_to_fetch, graph_nodes, graph_edges, path_summary_text, page_urls, title_fold_match, title_suggest,
+        shortest_paths_first8, shortest_paths_numbered, shortest_paths_middle_all, shortest_paths_sample, shortest_paths_titled, pages_to_fetch, graph_nodes, graph_edges, path_summary_text, page_urls, title_fold_match, title_suggest,
         indexed_lookups, list_parts, dump_split_pagelinks, batched_links, batched_incoming, name_parse, dump_name_parse, catalog_newest, catalog_cleanup, default_language, link_sources_missing_page, random_page,
     )
     return {f.__name__: f for f in own}

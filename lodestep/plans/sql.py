@@ -30,6 +30,9 @@ total AS (SELECT pr.pair_id, pr.s AS source, pr.sr AS source_is_redirect, pr.t A
   FROM pr LEFT JOIN whole ON whole.pair_id = pr.pair_id GROUP BY ALL)"""
 _STEPS = "steps AS (SELECT pair_id, rank, unnest(path) AS page_id, unnest(range(len(path))) AS position FROM shown)"
 
+_DRAWN = """drawn AS (SELECT pair_id, 1 + CAST('0x' || substr(md5('7:' || pair_id || ':1'), 1, 15) AS BIGINT) % (count - 1) AS first,
+  1 + CAST('0x' || substr(md5('7:' || pair_id || ':2'), 1, 15) AS BIGINT) % count AS second FROM total WHERE count > 2)"""
+
 
 def _with(body: str, *parts: str) -> str:
     return "WITH RECURSIVE " + ",\n".join((_FX, *parts)) + "\n" + body
@@ -152,6 +155,12 @@ FROM total LEFT JOIN (SELECT pair_id, string_agg(concat('"', source, '":[', targ
     ),
     "shortest_paths_all": _paths("SELECT pair_id, rank, array_to_string(path, ',') AS path FROM ranked"),
     "shortest_paths_first8": _paths("SELECT pair_id, rank, array_to_string(path, ',') AS path FROM shown"),
+    "shortest_paths_numbered": _paths("SELECT pair_id, rank, array_to_string(path, ',') AS path FROM ranked"),
+    "shortest_paths_middle_all": _paths_all("SELECT pair_id, rank, array_to_string(path, ',') AS path FROM ranked JOIN total USING (pair_id) WHERE rank = (count + 1) // 2"),
+    "shortest_paths_sample": _paths(
+        """SELECT pair_id, rank, array_to_string(path, ',') AS path FROM ranked JOIN total USING (pair_id) LEFT JOIN drawn USING (pair_id) WHERE count <= 2
+OR rank = first OR rank = CASE WHEN second = first THEN count ELSE second END"""
+    ).replace(_STEPS, _DRAWN),
     "shortest_paths_titled": _paths("SELECT pair_id, rank, CAST(position AS BIGINT) AS position, page_id, title FROM steps LEFT JOIN fx_page USING (page_id)"),
     "pages_to_fetch": _paths("SELECT pair_id, page_id, min(struct_pack(r := rank, p := position)).r AS rank, CAST(min(struct_pack(r := rank, p := position)).p AS BIGINT) AS position FROM steps GROUP BY ALL"),
     "graph_nodes": _paths(
