@@ -7,10 +7,15 @@ from pyspark.sql import functions as F
 
 from ..session import cut
 
+#: Namespaces that are broadcast; wikis have a few dozen.  Beyond, they are joined by a shuffle.
+SPACES = 10_000
+
 
 def _resolve(rows: DataFrame, page: DataFrame, namespace: str, title: str) -> DataFrame:
     """Add page_id of (namespace, title) and the reason why there is none."""
-    spaces = page.select(F.col("namespace").alias("_space")).distinct()
+    spaces = cut(page.select(F.col("namespace").alias("_space")).distinct())
+    if spaces.count() <= SPACES:  # most rows are of one namespace, which a shuffle would bring together
+        spaces = F.broadcast(spaces)
     found = rows.join(page.select(F.col("namespace").alias("_n"), F.col("title").alias("_t"), "page_id"), (F.col(namespace) == F.col("_n")) & (F.col(title) == F.col("_t")), "left")
     found = found.drop("_n", "_t").join(spaces, F.col(namespace) == F.col("_space"), "left")
     reason = F.when(F.col("page_id").isNotNull(), None).when(F.col("_space").isNull(), "missing_target_namespace").otherwise("missing_target_title")

@@ -60,3 +60,14 @@ def test_unique_keys(spark):
         clean.require_unique(rows.unionByName(spark.createDataFrame([(3, "B")], "page_id long, title string")), ["title"], "page_id", "page")
     with pytest.raises(ValueError):
         clean.require_rows(rows.where("false"), "page")
+
+
+@pytest.mark.parametrize("spaces", [10_000, 1])
+def test_reasons_with_namespaces_broadcast_or_not(spark, spaces, monkeypatch):
+    monkeypatch.setattr(clean, "SPACES", spaces)
+    page = spark.createDataFrame([(1, 0, "a"), (2, 0, "b"), (3, 4, "a"), (4, None, "c")], "page_id long, namespace int, title string")
+    rows = [(10, 0, "a"), (11, 4, "a"), (12, 4, "b"), (13, 9, "a"), (14, None, "c"), (15, 0, None)]
+    found = clean.linktarget_reasons(spark.createDataFrame(rows, "lt_id long, lt_namespace int, lt_title string"), page)
+    assert ("BroadcastHashJoin" in found.select("reason")._jdf.queryExecution().sparkPlan().toString()) or spaces == 1
+    wanted = {10: (1, None), 11: (3, None), 12: (None, "missing_target_title"), 13: (None, "missing_target_namespace"), 14: (None, "missing_target_namespace"), 15: (None, "missing_target_title")}
+    assert {r.linktarget_id: (r.page_id, r.reason) for r in found.collect()} == wanted
