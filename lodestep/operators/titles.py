@@ -7,29 +7,32 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import COLLATION, same_title, starts_with
+from .. import session
+from ..functions.text import fold, folded
 
 
 def matching(page: DataFrame, queries: DataFrame) -> DataFrame:
     """(query, page_id, title) of pages whose title is a query's, without regard to case and accents.
 
-    Both sides are joined by the collation's key, so this is an equality join.
+    Both sides are joined by their folded text, so this is an equality join.
     """
-    a = page.withColumn("_k", F.collate(F.col("title"), COLLATION))
-    b = queries.select("query", F.collate(F.col("query"), COLLATION).alias("_q"))
+    session.importable(page.sparkSession)
+    a = page.withColumn("_k", folded("title"))
+    b = queries.select("query", folded("query").alias("_q"))
     return a.join(b, F.col("_k") == F.col("_q")).select("query", "page_id", "title")
 
 
 def suggest(page: DataFrame, query: str, most: int = 5) -> DataFrame:
     """The first ``most`` pages whose title begins with the query: equal titles, then short ones, then by title and id."""
-    q = F.lit(query)
-    found = page.where(starts_with(F.col("title"), q)).withColumn("_far", F.when(same_title(F.col("title"), q), 0).otherwise(1))
+    session.importable(page.sparkSession)
+    q = F.lit(fold(query))
+    found = page.withColumn("_k", folded("title")).where(F.startswith("_k", q)).withColumn("_far", F.when(F.col("_k") == q, 0).otherwise(1))
     return found.orderBy("_far", F.length("title"), "title", "page_id").limit(most).select("page_id", "title")
 
 
 def first_match(page: DataFrame, query: str, most: int = 5) -> DataFrame:
     """The first suggestion that is the query, or nothing."""
-    return suggest(page, query, most).where(same_title(F.col("title"), F.lit(query))).orderBy("title", "page_id").limit(1)
+    return suggest(page, query, most).where(folded("title") == fold(query)).orderBy("title", "page_id").limit(1)
 
 
 def random_page(page: DataFrame, seed: int | None = None, namespace: int = 0) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import session
 from ..functions import names
-from ..functions.text import saturating_minus
+from ..functions.text import capitals, saturating_minus, upper
 from ..operators import clean, paths, search, titles
 from ..sources import dump, gzindex, store
 from ..streaming import ingest
@@ -338,8 +338,9 @@ def _html_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def title_fold_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page against every title's upper-case form: equal but for case and accents."""
+    session.importable(spark)
     page = _html_titles(spark, sf_dir)
-    wanted = page.where("page_id % 100 = 0").select(F.upper("title").alias("query")).distinct()
+    wanted = page.where("page_id % 100 = 0").select(upper("title").alias("query")).distinct()
     return titles.matching(page, wanted).select("query", "page_id", "title")
 
 
@@ -359,8 +360,8 @@ def _names(spark: SparkSession, sf_dir: str) -> DataFrame:
 def title_first_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The page whose title is the query's, here the least title in upper case, but for case and accents."""
     page = _html_titles(spark, sf_dir)
-    least = page.where("title <> ''").agg(F.upper(F.min("title")).alias("query")).first()
-    return titles.first_match(page, least.query or "EN")
+    least = page.where("title <> ''").agg(F.min("title").alias("title")).first()
+    return titles.first_match(page, capitals(least.title or "EN"))
 
 
 def name_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
