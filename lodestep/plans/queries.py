@@ -205,9 +205,9 @@ def dump_split_pagelinks(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = session.shared_path(spark, "dump")
     rows = dump_rows(Fixture(spark, sf_dir), "pagelinks").unionByName(spark.createDataFrame([(r,) for r in BROKEN["pagelinks"]], "row string"))
     text = rows.select(F.concat(F.lit("INSERT INTO `pagelinks` VALUES "), F.col("row"), F.lit(";")).alias("value"))
-    text.coalesce(1).write.text(path, compression="gzip")
-    file = next(name for name, _ in session.children(spark, path) if name.endswith(".gz"))
-    found = dump.parse(gzindex.lines(spark, f"{path}/{file}", span=256 << 10), "pagelinks").where("not malformed")
+    text.write.text(path, compression="gzip")
+    file = gzindex.joined(spark, path, f"{session.shared_path(spark, 'file')}/pagelinks.sql.gz")
+    found = dump.parse(gzindex.lines(spark, file, span=256 << 10), "pagelinks").where("not malformed")
     return found.select("pl_from", F.col("pl_target_id").cast("long").alias("pl_target_id"))
 
 

@@ -206,6 +206,37 @@ def opened(uri: str) -> pa.NativeFile:
     return files.open_input_file(path)
 
 
+def created(uri: str) -> pa.NativeFile:
+    if not urlsplit(uri).scheme:
+        return fs.LocalFileSystem().open_output_stream(uri, compression=None)
+    files, path = fs.FileSystem.from_uri(uri)
+    return files.open_output_stream(path, compression=None)
+
+
+def joined(spark: SparkSession, folder: str, path: str) -> str:
+    """``path``, one gzip file whose members are the gzip files of a folder, in order of their names.
+
+    Their bytes are copied as they are, by a task that holds ``READ`` of them.
+    """
+    session.importable(spark)
+    files, target = session.filesystem(spark, path)
+    files.mkdirs(target.getParent())
+    parts, uri = [address(spark, f"{folder}/{name}") for name, _ in session.children(spark, folder) if name.endswith(".gz")], address(spark, path)
+
+    def copy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for names in batch.column(0).to_pylist():
+                with created(uri) as out:
+                    for name in names:
+                        with opened(name) as file:
+                            while data := file.read(READ):
+                                out.write(data)
+                    yield pa.RecordBatch.from_pydict({"size": [out.tell()]})
+
+    spark.createDataFrame([(parts,)], "files array<string>").mapInArrow(copy, "size long").collect()
+    return path
+
+
 def index(spark: SparkSession, path: str, span: int = SPAN) -> str:
     """The path of the table of points of a gzip file, which is made if it isn't there or belongs to a file of another length."""
     session.importable(spark)

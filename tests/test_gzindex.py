@@ -8,6 +8,7 @@ import zlib
 import pyarrow as pa
 import pytest
 
+from lodestep.plans import queries
 from lodestep.sources import dump, gzindex
 
 
@@ -88,3 +89,25 @@ def test_broken_bytes_stay(spark, tmp_path):
     path.write_bytes(gzip.compress(b"VALUES " + b",".join([row % (b"1", b"ok"), row % (b"3", b"\xff")]) + b";\n"))
     for lines in (gzindex.lines(spark, str(path)), dump.lines(spark, str(path))):
         assert {(r.reason, r.n) for r in dump.statistics(dump.parse(lines, "page"), "page").collect()} == {("stored", 1), ("malformed", 1), ("attempted", 2)}
+
+
+def test_files_are_joined_as_members(spark, tmp_path):
+    """What many tasks wrote is one gzip file, in their order, which plain readers take too."""
+    rows = spark.range(5000, numPartitions=7).selectExpr("concat('line ', id) as value")
+    rows.write.text(str(tmp_path / "parts"), compression="gzip")
+    path = gzindex.joined(spark, str(tmp_path / "parts"), str(tmp_path / "new" / "whole.gz"))
+    wanted = [f"line {i}" for i in range(5000)]
+    assert gzip.decompress(open(path, "rb").read()).decode().split() == [w for line in wanted for w in line.split()]
+    assert sorted(r.value for r in gzindex.lines(spark, path, span=1000).collect()) == sorted(wanted)
+    assert sorted(r.value for r in dump.lines(spark, path).collect()) == sorted(wanted)
+
+
+def test_no_task_makes_the_whole_split_dump(spark, tmp_path, monkeypatch):
+    """The rows of the dump are sorted and packed by many tasks, not by the one that makes the file."""
+    read = []
+    monkeypatch.setattr(gzindex, "lines", lambda s, path, span: read.append(path) or dump.lines(s, path))
+    spark.range(30000).selectExpr("id div 5 as l_orderkey", "cast(id % 5 as int) as l_linenumber", "id % 700 as l_partkey").write.parquet(str(tmp_path / "lineitem.parquet"))
+    spark.range(700).selectExpr("id as p_partkey", "concat('p ', id) as p_name", "cast(id % 50 as int) as p_size").write.parquet(str(tmp_path / "part.parquet"))
+    monkeypatch.setattr(type(spark.range(1)), "coalesce", lambda self, n: pytest.fail("one task makes it all"))
+    assert queries.dump_split_pagelinks(spark, str(tmp_path)).count() == 24000
+    assert read[0].endswith("pagelinks.sql.gz")
