@@ -88,7 +88,8 @@ class Fixture:
 
     def _fill(self, spark: SparkSession, sf_dir: str, sparse: bool) -> None:
         self.spark, self._parts = spark, {}
-        part, lineitem = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("part", "lineitem"))
+        # Spark takes a table for as small as its compressed file, and would send all of it through the driver to be broadcast
+        part, lineitem = (spark.read.parquet(f"{sf_dir}/{t}.parquet").hint("merge") for t in ("part", "lineitem"))
         self.page = spark.sql(PAGE.replace("FROM part", "FROM {part}"), part=part)
         self.redirect = spark.sql(REDIRECT.replace("FROM part", "FROM {part}").replace("JOIN fx_page", "JOIN {page}"), part=part, page=self.page)
         self.linktarget = spark.sql(LINKTARGET.replace("FROM part", "FROM {part}"), part=part)

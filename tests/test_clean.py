@@ -5,6 +5,7 @@ import random
 import pytest
 
 from lodestep.operators import clean
+from lodestep.plans.fixtures import Fixture
 
 LINE = {i: i + 1 for i in range(20, 29)}
 RING = {i: 40 + (i - 39) % 5 for i in range(40, 45)}
@@ -71,3 +72,16 @@ def test_reasons_with_namespaces_broadcast_or_not(spark, spaces, monkeypatch):
     assert ("BroadcastHashJoin" in found.select("reason")._jdf.queryExecution().sparkPlan().toString()) or spaces == 1
     wanted = {10: (1, None), 11: (3, None), 12: (None, "missing_target_title"), 13: (None, "missing_target_namespace"), 14: (None, "missing_target_namespace"), 15: (None, "missing_target_title")}
     assert {r.linktarget_id: (r.page_id, r.reason) for r in found.collect()} == wanted
+
+
+def test_tables_are_not_broadcast_for_their_small_files(spark, tmp_path):
+    """Files of a few KB may hold many rows: pages and rows of the fixture are joined by a shuffle, only namespaces are broadcast."""
+    spark.range(3000).selectExpr("id div 5 as l_orderkey", "cast(id % 5 as int) as l_linenumber", "id % 700 as l_partkey").write.parquet(str(tmp_path / "lineitem.parquet"))
+    spark.range(700).selectExpr("id as p_partkey", "concat('p ', id) as p_name", "cast(id % 50 as int) as p_size").write.parquet(str(tmp_path / "part.parquet"))
+    fx = Fixture(spark, str(tmp_path))
+    assert fx.pagelinks.count() == 2400
+    plan = lambda df: df._jdf.queryExecution().sparkPlan().toString()
+    assert "BroadcastHashJoin" not in plan(fx.pagelinks) + plan(fx.redirect)
+    stored = spark.read.parquet(str(tmp_path / "part.parquet")).selectExpr("p_partkey as page_id", "p_size % 3 as namespace", "p_name as title")
+    found = plan(clean.linktarget_reasons(fx.linktarget, stored))
+    assert found.count("BroadcastHashJoin") == 1 and found.count("SortMergeJoin") == 1
