@@ -80,3 +80,15 @@ def test_a_stream_of_links(spark, tmp_path, batches):
 def test_runs_of_batches():
     assert ingest._joined([(5, 5), (0, 2), (3, 3), (7, 9), (8, 8)]) == [(0, 3), (5, 5), (7, 9)]
     assert ingest._within(2, [(0, 3)]) and not ingest._within(4, [(0, 3), (5, 6)])
+
+
+def test_a_batch_is_shuffled_once_each_way(spark, tmp_path):
+    """Repeated links go within the ranges in which links are written."""
+    folder, links = ingest.LinkFolder(spark, str(tmp_path), buckets=2), [(i % 50, i % 7) for i in range(2000)]
+    folder._write(frame(spark, links), f"{tmp_path}/x")
+    for way in ingest.WAYS:
+        assert sorted((r.source, r.target) for r in spark.read.parquet(f"{tmp_path}/x/{way}").collect()) == sorted(set(links))
+        dealt = folder._dealt(frame(spark, links), way)
+        dealt.collect()
+        plan = dealt._jdf.queryExecution().executedPlan().toString().partition("Initial Plan")[0]
+        assert plan.count("Exchange rangepartitioning") == 1 and "Exchange hashpartitioning" not in plan
