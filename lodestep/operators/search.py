@@ -12,9 +12,11 @@ driver holds them, and a level is one job, in which the level before is broadcas
 to the steps and the nodes one step on come back with their numbers of ways.  The
 links of the paths then take one job more.  Few nodes can also be answered by a
 lookup, which reads only the files that hold them.  When the nodes become more,
-the search goes on far, from where it is: each round writes the new level to the
-shared folder and returns two numbers per pair to the driver.  Pairs beyond
-``BATCH`` are searched in batches, so that what the driver holds stays bounded.
+the search goes on far, from where it is.  Each round writes the new level and the
+pairs' numbers to the shared folder; the driver gets sums only, however many pairs
+there are.  Steps stay where they are, sorted by their beginning, so a round
+shuffles the frontier, the nodes one step on, and the state of the pairs that go
+on; pairs that are done leave the state that is looked at.
 """
 
 from __future__ import annotations
@@ -32,9 +34,7 @@ from pyspark.sql import functions as F
 from ..session import cut
 
 COUNT = "decimal(38,0)"
-#: Pairs searched in one loop.
-BATCH = 10_000
-#: Rows of a level (44 bytes each at most) up to which it is broadcast to the links, and levels after which the state is written as one table.
+#: Rows of a level or of pairs (44 bytes each at most) up to which they are broadcast, and levels after which the state is written as one table.
 BROADCAST_ROWS, COMPACT = 100_000, 8
 #: Pairs, and nodes or links of all of them, up to which the driver holds a search.
 NEAR_PAIRS, NEAR = 500, 50_000
@@ -68,10 +68,14 @@ def resolve_pairs(pairs: DataFrame, redirects: DataFrame) -> DataFrame:
 
 
 def both_ways(graph: DataFrame) -> DataFrame:
-    """(dir, a, b): every link as a step forwards and as a step backwards, placed by a."""
+    """(dir, a, b): every link as a step forwards and as a step backwards, kept."""
+    return _both_ways(graph).persist(StorageLevel.MEMORY_AND_DISK)
+
+
+def _both_ways(graph: DataFrame) -> DataFrame:
     forward = graph.select(F.lit("F").alias("dir"), F.col("source").alias("a"), F.col("target").alias("b"))
     back = graph.select(F.lit("B").alias("dir"), F.col("target").alias("a"), F.col("source").alias("b"))
-    return forward.unionByName(back).persist(StorageLevel.MEMORY_AND_DISK)
+    return forward.unionByName(back)
 
 
 class Steps:
@@ -83,7 +87,7 @@ class Steps:
     """
 
     def __init__(self, graph: DataFrame, lookup: Callable[[list[int], list[int]], DataFrame] | None = None, frame: DataFrame | None = None):
-        self.graph, self.lookup, self._frame = graph, lookup, frame
+        self.graph, self.lookup, self._frame, self._placed = graph, lookup, frame, None
         self._lock = threading.Lock()
 
     @property
@@ -93,6 +97,16 @@ class Steps:
                 self._frame = both_ways(self.graph)
             return self._frame
 
+    @property
+    def placed(self) -> DataFrame:
+        """All steps, kept by their beginning and sorted, so that a join with them shuffles only its other side."""
+        with self._lock:
+            if self._placed is None:
+                every = _both_ways(self.graph) if self._frame is None else self._frame
+                parts = int(self.graph.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+                self._placed = every.repartition(parts, "a", "dir").sortWithinPartitions("a", "dir").persist(StorageLevel.MEMORY_AND_DISK)
+            return self._placed
+
     def near(self, nodes: set[tuple[str, int]]) -> DataFrame:
         """(dir, a, b) that hold all steps from the nodes (dir, node), and maybe others."""
         if self.lookup is None or len(nodes) > LOOKUP:
@@ -104,6 +118,13 @@ class Steps:
             if self._frame is not None:
                 self._frame.unpersist()
                 self._frame = None
+        self.unplace()
+
+    def unplace(self) -> None:
+        with self._lock:
+            if self._placed is not None:
+                self._placed.unpersist()
+                self._placed = None
 
 
 def _check(stop: Callable[[], bool]) -> None:
@@ -215,72 +236,97 @@ class _Near:
         return sorted(out)
 
 
-def _levels(ends: DataFrame, steps: DataFrame, force: str | None, stop: Callable[[], bool], near: _Near | None = None) -> DataFrame:
-    """(pair_id, dir, node, depth, cnt) of all that was reached; ``near`` has what was reached already."""
-    spark, parts = ends.sparkSession, 0
+def _few(df: DataFrame, rows: int) -> DataFrame:
+    """``df``, broadcast if it has few rows."""
+    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+
+
+_TURN = "case when not met and f > 0 and b > 0 then {} end"
+_REACHED = f"pair_id long, node long, df int, db int, ways {COUNT}"
+
+
+def _levels(ends: DataFrame, steps: Steps, force: str | None, stop: Callable[[], bool], near: _Near | None = None) -> tuple[DataFrame, DataFrame]:
+    """All that was reached as (pair_id, dir, node, depth, cnt), and where the sides met as (pair_id, node, df, db, ways).
+
+    ``near`` has what was reached already.  A side's level is new to it, and before
+    the sides meet no node is on both; so one join with what is known tells both.
+    """
+    spark = ends.sparkSession
     if near is None:
         state = cut(_seeds(ends))
-        near = _Near([])
-        near.met = {r.pair_id for r in ends.where("source = target").select("pair_id").collect()}
-        size: dict[tuple[int, str], int] = {(r.pair_id, d): 1 for r in ends.select("pair_id").collect() for d in "FB"}
-        depth = dict.fromkeys(size, 0)
+        met = ends.where("source = target").select("pair_id", F.col("source").alias("node"), F.lit(0).alias("df"), F.lit(0).alias("db"), F.lit(1).cast(COUNT).alias("ways"))
+        sides = ends.select("pair_id", (F.col("source") == F.col("target")).alias("met"), *(F.lit(1).cast("long").alias(c) for c in "fb"), *(F.lit(0).alias(c) for c in ("df", "db")))
     else:
-        state, size, depth = cut(near.state(spark)), near.size(), near.depth
-    met = near.met
+        state, size = cut(near.state(spark)), near.size()
+        met = spark.createDataFrame([(p, n, f, b, Decimal(w)) for p, nodes in near.meeting().items() for n, (f, b, w) in nodes.items()], _REACHED)
+        sides = spark.createDataFrame([(p, p in near.met, size[p, "F"], size[p, "B"], near.depth[p, "F"], near.depth[p, "B"]) for p, d in size if d == "F"], "pair_id long, met boolean, f long, b long, df int, db int")
+    turn = F.expr(_TURN.format(f"'{force}'" if force else "case when f < b then 'F' else 'B' end"))
+    sides = cut(sides.withColumn("turn", turn))
+    hits, live, looked, parts = cut(met), state, None, 0
     while True:
         _check(stop)
-        chosen = _turns(size, met, force)
-        if not chosen:
-            return state
-        turn = F.broadcast(spark.createDataFrame([(p, d, depth[p, d] + 1) for p, d in chosen], "pair_id long, dir string, next int"))
+        going = sides.where("turn is not null").select("pair_id", "turn", F.when(F.col("turn") == "F", F.col("df")).otherwise(F.col("db")).alias("at"))
+        n, rows = sides.where("turn is not null").agg(F.count("*"), F.sum(F.when(F.col("turn") == "F", F.col("f")).otherwise(F.col("b")))).first()
+        if not n:
+            return state, hits
+        lively, looked = live.join(_few(going.select("pair_id"), n), "pair_id", "left_semi"), looked or n
+        if 2 * n <= looked or parts % COMPACT == COMPACT - 1:
+            live = lively = cut(lively)
+            looked = n
         # a side's last level is what the state holds at its depth
-        now = state.join(turn, ["pair_id", "dir"]).where("depth = next - 1").select("pair_id", "dir", "node", F.col("next").alias("depth"), "cnt")
-        # the links stay where they are for a small level; a large one is shuffled to them
-        now = F.broadcast(now) if sum(size[x] for x in chosen) <= BROADCAST_ROWS else now
-        new = _expand(now, steps).join(state.select("pair_id", "dir", "node"), ["pair_id", "dir", "node"], "left_anti")
-        # the new level is written once, and what the driver needs is counted from that
-        new = cut(new)
-        other = state.select("pair_id", F.when(F.col("dir") == "F", "B").otherwise("F").alias("dir"), "node", F.lit(True).alias("hit"))
-        counts = {(r.pair_id, r.dir): (r.n, r.hits) for r in new.join(other, ["pair_id", "dir", "node"], "left").groupBy("pair_id", "dir").agg(F.count("*").alias("n"), F.count("hit").alias("hits")).collect()}
-        for pair, d in chosen:
-            n, hits = counts.get((pair, d), (0, 0))
-            size[pair, d] = n
-            depth[pair, d] += 1
-            if hits:
-                met.add(pair)
-        state, parts = state.unionByName(new), parts + 1
+        now = live.join(_few(going, n), "pair_id").where("dir = turn and depth = at").select("pair_id", "dir", "node", (F.col("at") + 1).alias("depth"), "cnt")
+        # the steps stay where they are; a large level is shuffled to them
+        found = _step(_few(now, rows), steps.placed, F.col("dir")).groupBy("pair_id", "node").agg(F.max("dir").alias("dir"), F.max("depth").alias("depth"), F.sum("cnt").cast(COUNT).alias("cnt"))
+        known = lively.select("pair_id", "node", F.col("dir").alias("_dir"), F.col("depth").alias("_depth"), F.col("cnt").alias("_cnt"))
+        # the new level is written once, and what else is asked is taken from that
+        written = cut(found.join(known, ["pair_id", "node"], "left").where("_dir is null or _dir <> dir"))
+        new, meets = written.select(*state.columns), written.where("_dir is not null")
+        forward = F.col("dir") == "F"
+        hits = hits.unionByName(meets.select("pair_id", "node", F.when(forward, F.col("depth")).otherwise(F.col("_depth")).alias("df"), F.when(forward, F.col("_depth")).otherwise(F.col("depth")).alias("db"), (F.col("cnt") * F.col("_cnt")).cast(COUNT).alias("ways")))
+        counts = written.groupBy("pair_id").agg(F.count("*").alias("n"), F.count("_dir").alias("hits"))
+        grown = sides.join(counts, "pair_id", "left")
+        ours = lambda d: F.coalesce(F.col("turn") == d, F.lit(False))
+        grown = grown.select(
+            "pair_id", (F.col("met") | (F.coalesce("hits", F.lit(0)) > 0)).alias("met"),
+            *(F.when(ours(d), F.coalesce("n", F.lit(0))).otherwise(F.col(d.lower())).alias(d.lower()) for d in "FB"),
+            *((F.col(f"d{d.lower()}") + ours(d).cast("int")).alias(f"d{d.lower()}") for d in "FB"),
+        )
+        sides = cut(grown.withColumn("turn", turn))
+        state, live, parts = state.unionByName(new), live.unionByName(new), parts + 1
         if parts % COMPACT == 0:
-            state = cut(state)
+            state, hits = cut(state), cut(hits)
 
 
-def _meeting(state: DataFrame) -> DataFrame:
-    f, b = state.where("dir = 'F'").alias("f"), state.where("dir = 'B'").alias("b")
-    return f.join(b, (F.col("f.pair_id") == F.col("b.pair_id")) & (F.col("f.node") == F.col("b.node"))).select(
-        "f.pair_id", "f.node", F.col("f.depth").alias("df"), F.col("b.depth").alias("db"), (F.col("f.cnt") * F.col("b.cnt")).cast(COUNT).alias("ways")
-    )
+def _step(nodes: DataFrame, placed: DataFrame, way) -> DataFrame:
+    """``nodes`` one step on in the direction ``way``: ``node`` is the step's end, ``before`` its beginning."""
+    asked = nodes.withColumn("_way", way)
+    ahead = placed.withColumnRenamed("dir", "_dir")
+    found = asked.join(ahead, (F.col("node") == F.col("a")) & (F.col("_way") == F.col("_dir")))
+    return found.select(*(c for c in nodes.columns if c != "node"), F.col("a").alias("before"), F.col("b").alias("node"))
 
 
-def _links(state: DataFrame, steps: DataFrame, meeting: DataFrame, stop: Callable[[], bool]) -> DataFrame:
+def _links(state: DataFrame, steps: Steps, meeting: DataFrame, stop: Callable[[], bool]) -> DataFrame:
     """(pair_id, source, target) of every link on a shortest path: from the meeting nodes back along both sides."""
-    current = cut(
-        meeting.select("pair_id", F.lit("F").alias("dir"), "node", F.col("df").alias("depth")).unionByName(meeting.select("pair_id", F.lit("B").alias("dir"), "node", F.col("db").alias("depth")))
-    ).where("depth > 0")
-    reached = state.select("pair_id", "dir", F.col("node").alias("parent"), F.col("depth").alias("parent_depth"))
+    ends = cut(meeting.groupBy("pair_id").agg(F.max("df").alias("_f"), F.max("db").alias("_b")))
+    # of a side's last level only the meeting nodes are on a path
+    reached = state.join(_few(ends, ends.count()), "pair_id").where("depth < case dir when 'F' then _f else _b end")
+    reached = cut(reached.select("pair_id", "dir", F.col("node").alias("parent"), F.col("depth").alias("parent_depth")))
+    inner = reached.count()
+    current = cut(meeting.select("pair_id", F.lit("F").alias("dir"), "node", F.col("df").alias("depth")).unionByName(meeting.select("pair_id", F.lit("B").alias("dir"), "node", F.col("db").alias("depth"))).where("depth > 0"))
     out = None
-    while True:
+    while n := current.count():
         _check(stop)
-        # a step (dir, a, b) leads from parent a to node b
-        walked = current.join(steps, (current["dir"] == steps["dir"]) & (F.col("node") == F.col("b"))).select("pair_id", current["dir"], "node", "depth", F.col("a").alias("parent"))
-        walked = cut(walked.join(reached, ["pair_id", "dir", "parent"]).where("parent_depth = depth - 1").select("pair_id", "dir", "node", "parent", "parent_depth").distinct())
-        if walked.isEmpty():
-            break
+        # back along a side is a step of the other direction
+        walked = _step(_few(current, n), steps.placed, F.when(F.col("dir") == "F", "B").otherwise("F"))
+        walked = walked.select("pair_id", "dir", F.col("before").alias("node"), F.col("node").alias("parent"), (F.col("depth") - 1).alias("parent_depth"))
+        walked = cut(walked.join(_few(reached, inner), ["pair_id", "dir", "parent", "parent_depth"]).distinct())
         found = walked.select(
             "pair_id", F.when(F.col("dir") == "F", F.col("parent")).otherwise(F.col("node")).alias("source"), F.when(F.col("dir") == "F", F.col("node")).otherwise(F.col("parent")).alias("target")
         )
         out = found if out is None else out.unionByName(found)
-        current = walked.where("parent_depth > 0").select("pair_id", "dir", F.col("parent").alias("node"), F.col("parent_depth").alias("depth")).distinct()
+        current = cut(walked.where("parent_depth > 0").select("pair_id", "dir", F.col("parent").alias("node"), F.col("parent_depth").alias("depth")).distinct())
     empty = meeting.where("false").select("pair_id", F.col("node").alias("source"), F.col("node").alias("target"))
-    return (empty if out is None else out).distinct()
+    return empty if out is None else out
 
 
 def _near_ends(pairs: DataFrame, redirects: DataFrame) -> list[tuple] | None:
@@ -308,7 +354,7 @@ def shortest_paths(graph: DataFrame, redirects: DataFrame, pairs: DataFrame, for
     it; what is made here is given back.  ``stop`` is asked before each round; if
     it says so, TimeoutError is raised.
     """
-    spark, own = graph.sparkSession, steps is None
+    spark, own, lent = graph.sparkSession, steps is None, isinstance(steps, DataFrame)
     steps = steps if isinstance(steps, Steps) else Steps(graph, frame=steps)
     try:
         known = _near_ends(pairs, redirects)
@@ -322,10 +368,12 @@ def shortest_paths(graph: DataFrame, redirects: DataFrame, pairs: DataFrame, for
             ends = spark.createDataFrame(known, _ENDS)
         else:
             ends = cut(resolve_pairs(pairs, redirects))
-        return _far(ends, near, steps.frame, force, with_links, stop)
+        return _far(ends, near, steps, force, with_links, stop)
     finally:
         if own:  # all rounds are written
             steps.unpersist()
+        elif lent:
+            steps.unplace()
 
 
 def _near_results(spark, known: list[tuple], near: _Near, links: list[tuple[int, int, int]]) -> Search:
@@ -339,17 +387,9 @@ def _near_results(spark, known: list[tuple], near: _Near, links: list[tuple[int,
     return Search(spark.createDataFrame(rows, f"{_ENDS}, length int, count long"), spark.createDataFrame(links, "pair_id long, source long, target long"))
 
 
-def _far(ends: DataFrame, near: _Near | None, steps: DataFrame, force: str | None, with_links: bool, stop: Callable[[], bool]) -> Search:
-    n = ends.count()
-    if near is None and n > BATCH:
-        batches = -(-n // BATCH)
-        parts = [_levels(ends.where(F.pmod(F.xxhash64("pair_id"), F.lit(batches)) == i), steps, force, stop) for i in range(batches)]
-    else:
-        parts = [_levels(ends, steps, force, stop, near)]
-    state = parts[0]
-    for part in parts[1:]:
-        state = state.unionByName(part)
-    meeting = cut(_meeting(state))
+def _far(ends: DataFrame, near: _Near | None, steps: Steps, force: str | None, with_links: bool, stop: Callable[[], bool]) -> Search:
+    state, met = _levels(ends, steps, force, stop, near)
+    meeting = cut(met)
     total = meeting.groupBy("pair_id").agg(F.max(F.col("df") + F.col("db")).alias("length"), F.sum("ways").cast(COUNT).alias("count"))
     summary = ends.join(total, "pair_id", "left").select(*ends.columns, F.coalesce("length", F.lit(0)).cast("int").alias("length"), F.coalesce("count", F.lit(0)).cast("long").alias("count"))
     links = _links(state, steps, meeting, stop) if with_links else meeting.where("false").select("pair_id", F.col("node").alias("source"), F.col("node").alias("target"))

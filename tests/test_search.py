@@ -135,3 +135,14 @@ def test_counts_beyond_64_bits_are_an_error(spark):
     with pytest.raises(OverflowError):
         run(spark, edges, [(0, 128)])
     assert results(run(spark, edges, [(0, 40)]))[0][:2] == (40, 2**20)
+
+
+def test_a_large_level_is_shuffled_to_the_steps(spark):
+    """Steps that are kept by their beginning stay where they are, whatever the level before."""
+    steps = search.Steps(spark.createDataFrame(HAND, "source long, target long"))
+    nodes = spark.createDataFrame([(0, "F", 1), (0, "B", 7)], "pair_id long, dir string, node long").hint("merge")
+    found = search._step(nodes, steps.placed, nodes["dir"])
+    assert sorted((r.dir, r.before, r.node) for r in found.collect()) == [("B", 7, 5), ("B", 7, 6), ("F", 1, 2), ("F", 1, 3)]
+    plan = found._jdf.queryExecution().sparkPlan().toString() + found._jdf.queryExecution().executedPlan().toString().partition("Initial Plan")[0]
+    assert "SortMergeJoin" in plan and plan.split("InMemoryRelation")[0].count("Exchange hashpartitioning(a") == 0
+    steps.unpersist()
