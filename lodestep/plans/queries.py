@@ -340,7 +340,7 @@ def title_fold_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page against every title's upper-case form: equal but for case and accents."""
     session.importable(spark)
     page = _html_titles(spark, sf_dir)
-    wanted = page.where("page_id % 100 = 0").select(upper("title").alias("query")).distinct()
+    wanted = page.select(upper("title").alias("query")).distinct()
     return titles.matching(page, wanted).select("query", "page_id", "title")
 
 

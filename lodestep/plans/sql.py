@@ -173,7 +173,7 @@ FROM (SELECT pair_id, page_id AS id, min(title) AS title, CAST(min(position) AS
  CASE WHEN count > least(count, 8) THEN concat(' A random sample of ', least(count, 8), ' paths is shown below.') ELSE '' END) END AS text FROM total"""
     ),
     "page_urls": _with("SELECT page_id, 'https://en.wikipedia.org/wiki/' || title AS url FROM fx_page"),
-    "title_fold_match": f"WITH {_TITLES} SELECT q.query, t.page_id, t.title FROM t JOIN (SELECT DISTINCT upper(title) AS query FROM t WHERE page_id % 100 = 0) q ON lower(strip_accents(t.title)) = lower(strip_accents(q.query))",
+    "title_fold_match": f"WITH {_TITLES} SELECT q.query, t.page_id, t.title FROM t JOIN (SELECT DISTINCT upper(title) AS query FROM t) q ON lower(strip_accents(t.title)) = lower(strip_accents(q.query))",
     "title_suggest": f"WITH {_TITLES} SELECT page_id, title FROM t WHERE starts_with(lower(strip_accents(title)), 'en') ORDER BY CASE WHEN lower(strip_accents(title)) = 'en' THEN 0 ELSE 1 END, length(title), title, page_id LIMIT 5",
     "name_parse": f"WITH {_NAMES} SELECT * FROM parsed",
     "dump_name_parse": f"WITH {_NAMES} SELECT name, nullif(regexp_extract(name, {_DUMP}, 1), '') AS language_code, nullif(regexp_extract(name, {_DUMP}, 2), '') AS date_code, nullif(regexp_extract(name, {_DUMP}, 3), '') AS kind FROM names",

@@ -19,3 +19,12 @@ def test_letters_stay_one_letter(spark, tmp_path, name):
     wanted = con.sql(sql.ORACLES[name])
     found = queries.queries()[name](spark, str(tmp_path)).select(*wanted.columns)
     assert sorted(map(tuple, found.collect())) == sorted(wanted.fetchall()) != []
+
+
+def test_every_title_is_a_query(spark, tmp_path):
+    """Whatever the page's id; pages without a title match nothing."""
+    rows = [(7, "Éa"), (31, "ea"), (100, "b"), (201, None), (250, "C")]
+    pages = [(i, f"<title>{t}</title>" if t else None) for i, t in rows]
+    spark.createDataFrame(pages, "page_id long, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    found = sorted(map(tuple, queries.title_fold_match(spark, str(tmp_path)).select("query", "page_id", "title").collect()))
+    assert found == [("B", 100, "b"), ("C", 250, "C"), ("EA", 7, "Éa"), ("EA", 31, "ea"), ("ÉA", 7, "Éa"), ("ÉA", 31, "ea")]
