@@ -14,9 +14,10 @@ links of the paths then take one job more.  Few nodes can also be answered by a
 lookup, which reads only the files that hold them.  When the nodes become more,
 the search goes on far, from where it is.  Each round writes the new level and the
 pairs' numbers to the shared folder; the driver gets sums only, however many pairs
-there are.  Steps stay where they are, sorted by their beginning, so a round
+there are.  Steps stay where they are, as lists sorted by their beginning, so a round
 shuffles the frontier, the nodes one step on, and the state of the pairs that go
-on; pairs that are done leave the state that is looked at.
+on; pairs that are done leave the state that is looked at.  What is shuffled goes to
+as many partitions as it has rows for.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut
+from ..session import cut, parts
 
 COUNT = "decimal(38,0)"
 #: Rows of a level or of pairs (44 bytes each at most) up to which they are broadcast, and levels after which the state is written as one table.
@@ -40,6 +41,8 @@ BROADCAST_ROWS, COMPACT = 100_000, 8
 NEAR_PAIRS, NEAR = 500, 50_000
 #: Nodes of a level up to which they are looked up, where there is a lookup.
 LOOKUP = 500
+#: Ends of steps in one list at most, so that a hub is no row.
+LIST = 4096
 #: Greatest number of paths that an answer can hold.
 MOST = 2**63 - 1
 _STATE = f"pair_id long, dir string, node long, depth int, cnt {COUNT}"
@@ -88,6 +91,7 @@ class Steps:
 
     def __init__(self, graph: DataFrame, lookup: Callable[[list[int], list[int]], DataFrame] | None = None, frame: DataFrame | None = None):
         self.graph, self.lookup, self._frame, self._placed = graph, lookup, frame, None
+        self._ends = 1.0
         self._lock = threading.Lock()
 
     @property
@@ -99,14 +103,22 @@ class Steps:
 
     @property
     def placed(self) -> DataFrame:
-        """All steps, kept by their beginning and sorted, so that a join with them shuffles only its other side."""
+        """(a, dir, ends): all steps as lists, kept by their beginning and sorted, so that a join with them shuffles only its other side."""
         with self._lock:
             if self._placed is None:
                 every = _both_ways(self.graph) if self._frame is None else self._frame
-                parts = int(self.graph.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-                self._placed = every.repartition(parts, "a", "dir").sortWithinPartitions("a", "dir").persist(StorageLevel.MEMORY_AND_DISK)
+                rows = every.count()
+                dealt = every.repartition(parts(self.graph.sparkSession, rows), "a", "dir").sortWithinPartitions("a", "dir")
+                # of so many rows one after another those of a beginning are a list
+                lists = dealt.withColumn("_block", F.expr(f"monotonically_increasing_id() div {LIST}")).groupBy("a", "dir", "_block").agg(F.collect_list("b").alias("ends"))
+                self._placed = lists.drop("_block").sortWithinPartitions("a", "dir").persist(StorageLevel.MEMORY_AND_DISK)
+                self._ends = rows / max(1, self._placed.count())
             return self._placed
 
+    def ahead(self, nodes: int) -> float:
+        """About how many steps begin at so many nodes."""
+        return nodes * max(1.0, self._ends)
+
     def near(self, nodes: set[tuple[str, int]]) -> DataFrame:
         """(dir, a, b) that hold all steps from the nodes (dir, node), and maybe others."""
         if self.lookup is None or len(nodes) > LOOKUP:
@@ -262,7 +274,7 @@ def _levels(ends: DataFrame, steps: Steps, force: str | None, stop: Callable[[],
         sides = spark.createDataFrame([(p, p in near.met, size[p, "F"], size[p, "B"], near.depth[p, "F"], near.depth[p, "B"]) for p, d in size if d == "F"], "pair_id long, met boolean, f long, b long, df int, db int")
     turn = F.expr(_TURN.format(f"'{force}'" if force else "case when f < b then 'F' else 'B' end"))
     sides = cut(sides.withColumn("turn", turn))
-    hits, live, looked, parts = cut(met), state, None, 0
+    hits, live, looked, levels = cut(met), state, None, 0
     while True:
         _check(stop)
         going = sides.where("turn is not null").select("pair_id", "turn", F.when(F.col("turn") == "F", F.col("df")).otherwise(F.col("db")).alias("at"))
@@ -270,20 +282,23 @@ def _levels(ends: DataFrame, steps: Steps, force: str | None, stop: Callable[[],
         if not n:
             return state, hits
         lively, looked = live.join(_few(going.select("pair_id"), n), "pair_id", "left_semi"), looked or n
-        if 2 * n <= looked or parts % COMPACT == COMPACT - 1:
+        if 2 * n <= looked or levels % COMPACT == COMPACT - 1:
             live = lively = cut(lively)
             looked = n
         # a side's last level is what the state holds at its depth
         now = live.join(_few(going, n), "pair_id").where("dir = turn and depth = at").select("pair_id", "dir", "node", (F.col("at") + 1).alias("depth"), "cnt")
         # the steps stay where they are; a large level is shuffled to them
-        found = _step(_few(now, rows), steps.placed, F.col("dir")).groupBy("pair_id", "node").agg(F.max("dir").alias("dir"), F.max("depth").alias("depth"), F.sum("cnt").cast(COUNT).alias("cnt"))
+        placed = steps.placed
+        ahead = _step(_few(now, rows), placed, F.col("dir")).withColumn("_f", F.col("dir") == "F").repartition(parts(spark, steps.ahead(rows)), "pair_id", "node")
+        found = ahead.groupBy("pair_id", "node").agg(F.max("_f").alias("_f"), F.max("depth").alias("depth"), F.sum("cnt").cast(COUNT).alias("cnt"))
+        found = found.withColumn("dir", F.when(F.col("_f"), "F").otherwise("B")).drop("_f")
         known = lively.select("pair_id", "node", F.col("dir").alias("_dir"), F.col("depth").alias("_depth"), F.col("cnt").alias("_cnt"))
         # the new level is written once, and what else is asked is taken from that
         written = cut(found.join(known, ["pair_id", "node"], "left").where("_dir is null or _dir <> dir"))
         new, meets = written.select(*state.columns), written.where("_dir is not null")
         forward = F.col("dir") == "F"
         hits = hits.unionByName(meets.select("pair_id", "node", F.when(forward, F.col("depth")).otherwise(F.col("_depth")).alias("df"), F.when(forward, F.col("_depth")).otherwise(F.col("depth")).alias("db"), (F.col("cnt") * F.col("_cnt")).cast(COUNT).alias("ways")))
-        counts = written.groupBy("pair_id").agg(F.count("*").alias("n"), F.count("_dir").alias("hits"))
+        counts = written.coalesce(spark.sparkContext.defaultParallelism).groupBy("pair_id").agg(F.count("*").alias("n"), F.count("_dir").alias("hits"))
         grown = sides.join(counts, "pair_id", "left")
         ours = lambda d: F.coalesce(F.col("turn") == d, F.lit(False))
         grown = grown.select(
@@ -292,8 +307,8 @@ def _levels(ends: DataFrame, steps: Steps, force: str | None, stop: Callable[[],
             *((F.col(f"d{d.lower()}") + ours(d).cast("int")).alias(f"d{d.lower()}") for d in "FB"),
         )
         sides = cut(grown.withColumn("turn", turn))
-        state, live, parts = state.unionByName(new), live.unionByName(new), parts + 1
-        if parts % COMPACT == 0:
+        state, live, levels = state.unionByName(new), live.unionByName(new), levels + 1
+        if levels % COMPACT == 0:
             state, hits = cut(state), cut(hits)
 
 
@@ -302,7 +317,7 @@ def _step(nodes: DataFrame, placed: DataFrame, way) -> DataFrame:
     asked = nodes.withColumn("_way", way)
     ahead = placed.withColumnRenamed("dir", "_dir")
     found = asked.join(ahead, (F.col("node") == F.col("a")) & (F.col("_way") == F.col("_dir")))
-    return found.select(*(c for c in nodes.columns if c != "node"), F.col("a").alias("before"), F.col("b").alias("node"))
+    return found.select(*(c for c in nodes.columns if c != "node"), F.col("a").alias("before"), F.explode("ends").alias("node"))
 
 
 def _links(state: DataFrame, steps: Steps, meeting: DataFrame, stop: Callable[[], bool]) -> DataFrame:
@@ -313,20 +328,23 @@ def _links(state: DataFrame, steps: Steps, meeting: DataFrame, stop: Callable[[]
     reached = cut(reached.select("pair_id", "dir", F.col("node").alias("parent"), F.col("depth").alias("parent_depth")))
     inner = reached.count()
     current = cut(meeting.select("pair_id", F.lit("F").alias("dir"), "node", F.col("df").alias("depth")).unionByName(meeting.select("pair_id", F.lit("B").alias("dir"), "node", F.col("db").alias("depth"))).where("depth > 0"))
-    out = None
+    out, rows = None, 0
     while n := current.count():
         _check(stop)
         # back along a side is a step of the other direction
         walked = _step(_few(current, n), steps.placed, F.when(F.col("dir") == "F", "B").otherwise("F"))
         walked = walked.select("pair_id", "dir", F.col("before").alias("node"), F.col("node").alias("parent"), (F.col("depth") - 1).alias("parent_depth"))
-        walked = cut(walked.join(_few(reached, inner), ["pair_id", "dir", "parent", "parent_depth"]).distinct())
+        keys = ["pair_id", "dir", "parent", "parent_depth"]
+        if inner > BROADCAST_ROWS:
+            walked = walked.repartition(parts(walked.sparkSession, max(inner, steps.ahead(n))), *keys)
+        walked = cut(walked.join(_few(reached, inner), keys).distinct())
         found = walked.select(
             "pair_id", F.when(F.col("dir") == "F", F.col("parent")).otherwise(F.col("node")).alias("source"), F.when(F.col("dir") == "F", F.col("node")).otherwise(F.col("parent")).alias("target")
         )
-        out = found if out is None else out.unionByName(found)
+        out, rows = found if out is None else out.unionByName(found), rows + n
         current = cut(walked.where("parent_depth > 0").select("pair_id", "dir", F.col("parent").alias("node"), F.col("parent_depth").alias("depth")).distinct())
     empty = meeting.where("false").select("pair_id", F.col("node").alias("source"), F.col("node").alias("target"))
-    return empty if out is None else out
+    return empty if out is None else out.coalesce(parts(out.sparkSession, rows))
 
 
 def _near_ends(pairs: DataFrame, redirects: DataFrame) -> list[tuple] | None:

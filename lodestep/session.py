@@ -87,13 +87,29 @@ def _sweep() -> None:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared folder and read from there, so that loops don't grow plans and lost executors don't matter."""
-    shared_dir(df.sparkSession)
+    """``df`` written to the shared folder and read from there, so that loops don't grow plans and lost executors don't matter.
+
+    A checkpoint keeps the estimated size of its plan.  Joins multiply these, so that
+    in a loop they become numbers of so many digits that planning takes longer than
+    the work; what is returned has no estimate.
+    """
+    spark = df.sparkSession
+    shared_dir(spark)
     out = df.checkpoint()
-    file = out._jdf.logicalPlan().rdd().getCheckpointFile()
-    if file.isDefined():
-        _made(df.sparkSession, file.get())
-    return out
+    rows = out._jdf.logicalPlan().rdd()
+    if rows.getCheckpointFile().isDefined():
+        _made(spark, rows.getCheckpointFile().get())
+    return DataFrame(spark._jsparkSession.internalCreateDataFrame(rows, out._jdf.schema(), False), spark)
+
+
+#: Rows of a task; and the partitions up to which every task that deals out rows opens a file for each of them.
+TASK_ROWS, FILES = 500_000, 200
+
+
+def parts(spark: SparkSession, rows: float) -> int:
+    """Partitions for so many rows: one for each core, or one for ``TASK_ROWS`` and then more than ``FILES``."""
+    cores, wanted = spark.sparkContext.defaultParallelism, int(rows // TASK_ROWS)
+    return cores if wanted <= cores else max(wanted, FILES + 1)
 
 
 @contextlib.contextmanager

@@ -7,6 +7,7 @@ from collections import deque
 import pytest
 
 from lodestep.operators import paths, search
+from lodestep.session import cut
 
 HAND = [(1, 2), (1, 3), (2, 4), (3, 4), (4, 5), (4, 6), (5, 7), (6, 7), (8, 1)]
 
@@ -146,3 +147,31 @@ def test_a_large_level_is_shuffled_to_the_steps(spark):
     plan = found._jdf.queryExecution().sparkPlan().toString() + found._jdf.queryExecution().executedPlan().toString().partition("Initial Plan")[0]
     assert "SortMergeJoin" in plan and plan.split("InMemoryRelation")[0].count("Exchange hashpartitioning(a") == 0
     steps.unpersist()
+
+
+def test_rounds_have_no_growing_estimate(spark):
+    """What a round writes doesn't multiply the estimated sizes of those before, which made planning slower each time."""
+    rows = spark.range(10)
+    for _ in range(6):
+        rows = cut(rows.join(rows.withColumnRenamed("id", "other"), rows["id"] <= 3).select("id").distinct())
+    assert rows.count() == 4 and len(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) < 30
+
+
+def test_lists_of_a_hub_and_tasks_by_rows(spark, monkeypatch):
+    """Ends of a hub are in several lists; there are as many tasks as cores for few steps, whatever the shuffle's default."""
+    edges = [(0, i) for i in range(1, 30)] + [(i, 50) for i in range(1, 30)] + [(50, 51)]
+    monkeypatch.setattr(search, "LIST", 4)
+    steps = search.Steps(spark.createDataFrame(edges, "source long, target long"))
+    lists = [(r.dir, r.a, r.ends) for r in steps.placed.collect()]
+    assert max(len(e) for *_, e in lists) == 4 and sorted((a, b) for d, a, e in lists if d == "F" for b in e) == sorted(edges)
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    try:
+        assert search.Steps(steps.graph).placed.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    monkeypatch.setattr(search, "NEAR", 0)
+    for rows in (0, search.BROADCAST_ROWS):
+        monkeypatch.setattr(search, "BROADCAST_ROWS", rows)
+        asked = [(0, 51), (51, 0), (3, 50)]
+        assert results(run(spark, edges, asked)) == {i: plain(edges, s, t) for i, (s, t) in enumerate(asked)}
+    steps.unpersist()
